@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plaza.plans import opinion_queries
 from plaza.plans.registry import oracles, queries
 
-__all__ = ["oracles", "queries"]
+__all__ = ["opinion_queries", "oracles", "queries"]
