@@ -4,9 +4,15 @@ Texts are UTF-8 bytes; repeats of at least ``least`` bytes (50) never cross docu
 
 Distribution. Every window of ``least`` bytes holds ``least - K + 1`` strings of K bytes; the one of smallest hash (the leftmost,
 if equal) is its anchor. Equal windows have equal anchors at equal offsets, so they meet if anchors are dealt by
-their hash. An anchor travels with its context, the bytes of all windows that it anchors (76 at most). Contexts that are equal in an
-Arrow batch travel once, with the list of their places, and the contexts for one bucket of anchor hashes travel as one compressed
-block; the number of buckets grows with the bytes of the corpus, so a bucket is of bounded size.
+their hash. That is done in two rounds, so that text which is nowhere repeated is not shuffled as contexts:
+
+1. Each document deals its short anchor hashes; a bucket of hashes answers the documents whose anchors another document has too.
+2. Documents meet their answers and deal those anchors with their contexts, the bytes of all windows that they anchor (76 at most,
+   of which the K of the anchor itself stay behind).
+
+All of it travels in compressed blocks for buckets, whose number grows with the bytes of the corpus, so a bucket is of bounded size. What
+many documents share is summed before it is dealt: hashes that several documents of one Arrow batch have are answered there, and of contexts
+that several documents of one block of documents have, only the smallest document's goes on, and the others are settled there.
 
 Suffix array. In a bucket the distinct contexts are suffixes that begin at the anchor: they are sorted by anchor and bytes, the
 longest common prefixes of neighbours are taken, and one stack scan gives the interval tree (``lcp_intervals``). The contexts of a
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from plaza.llm import textbytes as tb
 
 K = 24
-_SEGMENT = 4 << 20
+_SEGMENT = 2 << 20
 _BLOCK = "bucket bigint, block binary"
 _KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -116,45 +122,187 @@ def _segments(offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
 
 
 _CONTEXT = [np.uint64, np.uint8, np.uint8, np.uint8, np.uint32, np.int64, np.int64]
+_RANGE = [np.int64, np.int64, np.uint8]
+_SHARED = [np.int64, np.uint64]
+_TEXT = [np.int64, np.int64, np.uint8]
+_ROUTED = "to_docs boolean, bucket bigint, block binary"
+
+
+def _short(h: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of anchors, cut to so many bits; equal short hashes of different anchors only cost bytes."""
+    return tb.mix(h + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(64 - bits)
+
+
+def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (tb.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if not len(values):
+        return []
+    edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])).tolist()
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before."""
+    first = np.ones(len(columns[0]), bool)
+    if len(first):
+        first[1:] = False
+        for c in columns:
+            first[1:] |= c[1:] != c[:-1]
+    return first
 
 
-def _contexts(least: int, buckets: int):
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _routed(to_docs: bool, buckets: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([to_docs] * len(blocks), pa.bool_()), pa.array(buckets, pa.int64()), pa.array(blocks, pa.binary())], names=["to_docs", "bucket", "block"])
+
+
+def _to_docs(buckets: int, doc: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows about documents as blocks for the documents' buckets."""
+    home = _home(doc, buckets)
+    order = np.lexsort((columns[0], doc, home))
+    names, blocks = [], []
+    for lo, hi in _runs(home[order]):
+        at = order[lo:hi]
+        names.append(int(home[at[0]]))
+        blocks.append(pack([np.diff(doc[at], prepend=0), *[c[at] for c in columns]]))
+    return _routed(True, names, blocks)
+
+
+def _marks(least: int, buckets: int, bits: int):
+    """Round 1: (short hash, document) for the hashes' buckets; hashes of several documents of a batch are answered at once."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             docs = b.column(0).to_numpy()
             data, offsets = tb.flat(b.column(1))
-            starts, ends, rows = _segments(offsets, least)
-            cuts = np.concatenate([[0], np.cumsum(ends - starts)])
-            got = []
-            for lo, hi in tb.chunks(cuts, _SEGMENT):
-                part = data[ragged(starts[lo:hi], (ends - starts)[lo:hi])]
-                local = cuts[lo : hi + 1] - cuts[lo]
-                h, seg, start, count, left = anchors(part, local, least)
-                length = count + least - 1
-                same = tb.mix(tb.word_hashes(part, start, start + length) ^ (h + left.astype(np.uint64)))
-                place = starts[lo:hi][seg] + start - local[seg] - offsets[rows[lo:hi][seg]]
-                got.append((h, left, length, same, docs[rows[lo:hi][seg]], place, part[ragged(start, length)]))
-            if not got:
-                continue
-            h, left, length, same, doc, place, text = (np.concatenate(x) for x in zip(*got, strict=True))
-            where = np.cumsum(length) - length
-            bucket = (h >> np.uint64(20)) % np.uint64(buckets)
-            order = np.lexsort((same, h, bucket))
-            first = np.ones(len(order), bool)
-            first[1:] = (same[order][1:] != same[order][:-1]) | (h[order][1:] != h[order][:-1])
-            heads = order[first]
-            times = np.diff(np.append(np.flatnonzero(first), len(order)))
-            edges = np.flatnonzero(np.concatenate([[True], bucket[heads][1:] != bucket[heads][:-1], [True]])) if len(heads) else [0]
-            places = np.concatenate([[0], np.cumsum(times)])
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                e, p = heads[lo:hi], order[places[lo] : places[hi]]
-                delta = np.diff(h[e], prepend=np.uint64(0))
-                block = pack([delta, left[e].astype(np.uint8), length[e].astype(np.uint8), text[ragged(where[e], length[e])], times[lo:hi].astype(np.uint32), doc[p], place[p]])
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[e[0]])], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "block"])
+            found, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for part, local, rows, _ in _slices(data, offsets, least):
+                h, seg, *_ = anchors(part, local, least)
+                found.append(_short(h, bits))
+                owner.append(docs[rows[seg]])
+            h, doc = np.concatenate(found), np.concatenate(owner)
+            order = np.lexsort((doc, h))
+            order = order[_starts(h[order], doc[order])]
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(_starts(h))
+            times = np.diff(np.append(first, len(h)))
+            known = np.repeat(times > 1, times)
+            yield _to_docs(buckets, doc[known], h[known])
+            h, doc = h[first], doc[first]
+            bucket = h % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            runs = _runs(bucket[order])
+            yield _routed(False, [int(bucket[order[lo]]) for lo, _ in runs], [pack([doc[order[lo:hi]], np.diff(h[order[lo:hi]], prepend=np.uint64(0))]) for lo, hi in runs])
+
+    return marks
+
+
+def _answer(buckets: int):
+    def answer(table: pa.Table) -> pa.Table:
+        if table.column("to_docs")[0].as_py():
+            return table
+        got = [unpack(x, _SHARED) for x in table.column("block").to_pylist()]
+        doc, h = np.concatenate([g[0] for g in got]), np.concatenate([np.cumsum(g[1], dtype=np.uint64) for g in got])
+        order = np.lexsort((doc, h))
+        h, doc = h[order], doc[order]
+        first = np.flatnonzero(_starts(h))
+        times = np.diff(np.append(first, len(h)))
+        known = np.repeat(doc[first] != doc[np.append(first[1:], len(h)) - 1], times)
+        return pa.Table.from_batches([_to_docs(buckets, doc[known], h[known])])
+
+    return answer
+
+
+def _slices(data: np.ndarray, offsets: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Bytes, offsets of segments, their rows and their places in the rows, for slices of about ``_SEGMENT`` bytes."""
+    starts, ends, rows = _segments(offsets, least)
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)])
+    for lo, hi in tb.chunks(cuts, _SEGMENT):
+        yield data[ragged(starts[lo:hi], (ends - starts)[lo:hi])], cuts[lo : hi + 1] - cuts[lo], rows[lo:hi], starts[lo:hi] - offsets[rows[lo:hi]]
+
+
+def _contexts(least: int, buckets: int, bits: int, settle: bool):
+    """Round 2: the contexts of answered anchors for the hashes' buckets; with ``settle`` copies inside a block of documents end here."""
+
+    def contexts(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        doc, data, offsets = _unblocked(texts)
+        got = [unpack(x, _SHARED) for x in answers.column("block").to_pylist()]
+        asked = np.unique(np.concatenate([np.zeros(0, np.uint64), *[tb.mix(np.cumsum(g[0]).view(np.uint64)) ^ g[1] for g in got]]))
+        kept = []
+        for part, local, rows, place in _slices(data, offsets, least):
+            h, seg, start, count, left = anchors(part, local, least)
+            owner = doc[rows[seg]]
+            key = tb.mix(owner.view(np.uint64)) ^ _short(h, bits)
+            at = np.minimum(np.searchsorted(asked, key), max(0, len(asked) - 1))
+            known = np.flatnonzero(asked[at] == key) if len(asked) else np.zeros(0, np.int64)
+            h, seg, start, count, left, owner = (x[known] for x in (h, seg, start, count, left, owner))
+            length = count + least - 1
+            same = tb.mix(tb.word_hashes(part, start, start + length) ^ (h + left.astype(np.uint64)))
+            outer = part[ragged(np.stack([start, start + left + K], 1).ravel(), np.stack([left, length - left - K], 1).ravel())]
+            kept.append((h, left, length, same, owner, place[seg] + start - local[seg], outer))
+        if not kept:
+            return pa.Table.from_batches([_routed(False, [], [])])
+        h, left, length, same, owner, place, outer = (np.concatenate(x) for x in zip(*kept, strict=True))
+        where = np.cumsum(length - K) - (length - K)
+        bucket = (tb.mix(h) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((owner, same, h, bucket))
+        first = _starts(same[order], h[order])
+        heads, entry = order[first], np.cumsum(first) - 1
+        out = []
+        if settle and len(order):
+            late = owner[order] != owner[heads][entry]
+            out.append(_to_docs(buckets, owner[order[late]], place[order[late]], length[order[late]].astype(np.uint8)))
+            order, entry = order[~late], entry[~late]
+        times = np.bincount(entry, minlength=len(heads))
+        places = np.concatenate([[0], np.cumsum(times)])
+        names, blocks = [], []
+        for lo, hi in _runs(bucket[heads]):
+            e, p = heads[lo:hi], order[places[lo] : places[hi]]
+            names.append(int(bucket[e[0]]))
+            blocks.append(pack([np.diff(h[e], prepend=np.uint64(0)), left[e].astype(np.uint8), length[e].astype(np.uint8), outer[ragged(where[e], length[e] - K)], times[lo:hi].astype(np.uint32), owner[p], place[p]]))
+        return pa.Table.from_batches([*out, _routed(False, names, blocks)])
 
     return contexts
 
 
+def _deal(buckets: int):
+    """The texts as compressed blocks for the documents' buckets."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = b.column(0).to_numpy()
+            data, offsets = tb.flat(b.column(1))
+            home = _home(doc, buckets)
+            order = np.lexsort((doc, home))
+            for lo, hi in _runs(home[order]):
+                at = order[lo:hi]
+                length = offsets[at + 1] - offsets[at]
+                block = pack([np.diff(doc[at], prepend=0), length, data[ragged(offsets[at], length)]])
+                yield pa.RecordBatch.from_arrays([pa.array([int(home[at[0]])], pa.int64()), pa.array([block], pa.binary())], names=["bucket", "block"])
+
+    return deal
+
+
+def _unblocked(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, bytes and offsets of the blocks of texts."""
+    got = [unpack(x, _TEXT) for x in texts.column("block").to_pylist()]
+    doc = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(g[0]) for g in got]])
+    data = np.concatenate([np.zeros(0, np.uint8), *[g[2] for g in got]])
+    return doc, data, np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[g[1] for g in got]]))])
+
+
+def _outer_hashes(text: np.ndarray, where: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges, in slices, so that the sums stay small."""
+    out = np.zeros(len(where), np.uint64)
+    for lo, hi in tb.chunks(np.append(where, len(text)), _SEGMENT):
+        base = where[lo]
+        out[lo:hi] = tb.word_hashes(text[base : where[hi - 1] + length[hi - 1]], where[lo:hi] - base, where[lo:hi] - base + length[lo:hi])
+    return out
+
+
 def lcp_intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The interval tree of a suffix array by one stack scan: lo, hi, depth, and depth of the parent (or ``least - 1``).
 
@@ -184,8 +332,8 @@ class Bucket:
         h = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
         left, length, text, times, self.doc, self.place = (np.concatenate([g[i] for g in got]) for i in range(1, 7))
         left, length, times = left.astype(np.int64), length.astype(np.int64), times.astype(np.int64)
-        where = np.cumsum(length) - length
-        same = tb.mix(tb.word_hashes(text, where, where + length) ^ (h + left.astype(np.uint64)))
+        where = np.cumsum(length - K) - (length - K)
+        same = tb.mix(_outer_hashes(text, where, length - K) ^ (h + left.astype(np.uint64)))
         # Contexts that are equal in several blocks become one.
         order = np.lexsort((same, h))
         first = np.ones(len(order), bool)
@@ -206,18 +354,18 @@ class Bucket:
         more[1:] |= equal
         more[:-1] |= equal
         e = np.flatnonzero(more)
-        right = self.length[e] - self.left[e]
-        width = -(-self.least // 8) * 8
+        right = self.length[e] - self.left[e] - K
+        width = -(-(self.least - K) // 8) * 8
         suffix = np.zeros((len(e), width), np.uint8)
         suffix[np.repeat(np.arange(len(e)), right), ragged(np.zeros(len(e), np.int64), right)] = self.text[ragged(self.where[e] + self.left[e], right)]
         keys = suffix.view(">u8")
         order = np.lexsort((right, *[keys[:, i] for i in range(keys.shape[1] - 1, -1, -1)], self.hash[e]))
         self.suffixes, suffix, right = e[order], suffix[order], right[order]
-        self.right = right
+        self.right = right + K
         if len(order) > 1:
             differ = suffix[1:] != suffix[:-1]
             lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-            lcp = np.minimum(lcp, np.minimum(right[1:], right[:-1]))
+            lcp = K + np.minimum(lcp, np.minimum(right[1:], right[:-1]))
             lcp[self.hash[self.suffixes][1:] != self.hash[self.suffixes][:-1]] = 0
         else:
             lcp = np.zeros(0, np.int64)
@@ -312,11 +460,15 @@ def _buckets(docs: DataFrame, bucket_bytes: int) -> int:
     return max(1, -(-int(total) // bucket_bytes))
 
 
-def _blocks(docs: DataFrame, least: int, buckets: int) -> DataFrame:
-    return docs.mapInArrow(_contexts(least, buckets), _BLOCK)
+def _answered(docs: DataFrame, least: int, buckets: int, settle: bool) -> tuple[DataFrame, DataFrame]:
+    """The texts in blocks, and the routed contexts of anchors that several documents have."""
+    bits = min(64, 32 + max(1, buckets - 1).bit_length())
+    texts = docs.mapInArrow(_deal(buckets), _BLOCK)
+    answers = docs.mapInArrow(_marks(least, buckets, bits), _ROUTED).groupBy("to_docs", "bucket").applyInArrow(_answer(buckets), _ROUTED)
+    return texts, texts.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_contexts(least, buckets, bits, settle), _ROUTED)
 
 
-def maximal_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 8 << 20) -> DataFrame:
+def maximal_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(repeat_id, length, doc_id, start): all occurrences of each maximal repeat of ``docs`` (doc_id, text), as far as contexts reach."""
     docs = _documents(docs)
 
@@ -328,40 +480,31 @@ def maximal_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 8 << 2
         columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(np.int64)) for c in rows]
         return pa.Table.from_arrays(columns, names=["repeat_id", "length", "doc_id", "start"])
 
-    return _blocks(docs, least, _buckets(docs, bucket_bytes)).groupBy("bucket").applyInArrow(groups, "repeat_id bigint, length bigint, doc_id bigint, start bigint")
+    _, routed = _answered(docs, least, _buckets(docs, bucket_bytes), settle=False)
+    return routed.groupBy("bucket").applyInArrow(groups, "repeat_id bigint, length bigint, doc_id bigint, start bigint")
 
 
-def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (tb.mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-
-
-def covered_by_earlier(docs: DataFrame, least: int, buckets: int) -> DataFrame:
-    """Blocks (bucket, block) of the byte ranges that a document with a smaller doc_id holds too, dealt by the hash of doc_id."""
+def covered_by_earlier(docs: DataFrame, least: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The texts in blocks, and blocks of the byte ranges that a document with a smaller doc_id holds too, for the same buckets."""
 
     def ranges(table: pa.Table) -> pa.Table:
+        if table.column("to_docs")[0].as_py():
+            return table
         doc, start, length = Bucket(table.column("block").to_pylist(), least).ranges()
-        home = _home(doc, buckets)
-        order = np.lexsort((start, doc, home))
-        edges = np.flatnonzero(np.concatenate([[True], home[order][1:] != home[order][:-1], [True]])) if len(order) else [0]
-        names, blocks = [], []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            at = order[lo:hi]
-            names.append(int(home[at[0]]))
-            blocks.append(pack([np.diff(doc[at], prepend=0), start[at], length[at].astype(np.uint8)]))
-        return pa.Table.from_arrays([pa.array(names, pa.int64()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+        return pa.Table.from_batches([_to_docs(buckets, doc, start, length.astype(np.uint8))])
 
-    return _blocks(docs, least, buckets).groupBy("bucket").applyInArrow(ranges, _BLOCK)
+    texts, routed = _answered(docs, least, buckets, settle=True)
+    return texts, routed.groupBy("to_docs", "bucket").applyInArrow(ranges, _ROUTED)
 
 
-def _kept(table: pa.Table, blocks: pa.Table) -> pa.Table:
-    got = [unpack(b, [np.int64, np.int64, np.uint8]) for b in blocks.column("block").to_pylist()]
+def _kept(texts: pa.Table, blocks: pa.Table) -> pa.Table:
+    got = [unpack(b, _RANGE) for b in blocks.column("block").to_pylist()]
     doc = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(g[0]) for g in got]])
     start = np.concatenate([np.zeros(0, np.int64), *[g[1] for g in got]])
     length = np.concatenate([np.zeros(0, np.uint8), *[g[2] for g in got]]).astype(np.int64)
     order = np.argsort(doc, kind="stable")
     doc, start, length = doc[order], start[order], length[order]
-    ids = table.column("doc_id").to_numpy()
-    data, offsets = tb.flat(table.column("text"))
+    ids, data, offsets = _unblocked(texts)
     lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
     out = []
     for k in range(len(ids)):
@@ -380,23 +523,14 @@ def _kept(table: pa.Table, blocks: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _deal(buckets: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_home(b.column(0).to_numpy(), buckets)), b.column(0), b.column(1)], names=["bucket", "doc_id", "text"])
-
-    return deal
-
-
-def remove_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text)."""
     one = _documents(docs)
-    buckets = _buckets(one, bucket_bytes)
-    ranges = covered_by_earlier(one, least, buckets)
-    dealt = one.mapInArrow(_deal(buckets), "bucket bigint, doc_id bigint, text string")
-    kept = dealt.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_kept, _KEPT)
+    texts, ranges = covered_by_earlier(one, least, _buckets(one, bucket_bytes))
+    kept = texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_kept, _KEPT)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc_id"))
-    kept = rows.join(kept, "doc_id") if not rows.groupBy("doc_id").count().where("count > 1").isEmpty() else kept
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = rows.join(kept, "doc_id")
     return kept.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
 
 
