@@ -50,7 +50,7 @@ def non_negative_int(x: Column, strict: bool = True) -> Column:
 def split_urls(*columns: Column) -> Column:
     """Distinct trimmed parts of comma-separated URL columns, in the order of first sight."""
     parts = F.flatten(F.array(*[F.split(F.coalesce(c.cast("string"), F.lit("")), ",") for c in columns]))
-    return F.array_distinct(F.filter(F.transform(parts, F.trim), lambda p: p != ""))
+    return F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def uuid5(name: Column, namespace: bytes = NAMESPACE_URL.bytes) -> Column:
