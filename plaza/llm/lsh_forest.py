@@ -183,7 +183,8 @@ def near_duplicates(
     blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
     placed = sized.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(signed) else docs
-    placed = placed.join(text.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    # Hashed by hint, so that the plan is the same at every size: the side of the groups is built, the texts stream by.
+    placed = placed.hint("shuffle_hash").join(text.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "text")
     cells = cells.repartition(slices(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
     linked = staged(cells.mapInArrow(_linker(size, similarity), _CELL), "linked")
