@@ -164,16 +164,13 @@ def zhihu_kind(url: Column) -> Column:
 
 def gender(platform: str, code: Column) -> Column:
     """Gender by the codes of each platform; null or an empty text where it is unknown."""
-    c = code.cast("string")
-    if platform == "douyin":
-        return F.when(c == "0", "未知").when(c == "1", "男").when(c == "2", "女")
-    if platform == "xhs":
-        return F.when(c == "1", "女").when(c == "0", "男")
-    if platform == "weibo":
-        return F.when(c == "f", "女").otherwise("男")
-    if platform in ("tieba", "zhihu"):
-        male, female = ("1", "2") if platform == "tieba" else ("1", "0")
-        return F.when(c == male, "男").when(c == female, "女").otherwise("未知" if platform == "zhihu" else "")
+    codes = {"douyin": {"0": "Unknown", "1": "Male", "2": "Female"}, "xhs": {"1": "Female", "0": "Male"}, "weibo": {"f": "Female"}, "tieba": {"1": "Male", "2": "Female"}, "zhihu": {"1": "Male", "0": "Female"}}
+    other = {"weibo": "Male", "tieba": "Unknown", "zhihu": "Unknown"}
+    if platform in codes:
+        c, out = code.cast("string"), F.when(F.lit(False), F.lit(None).cast("string"))
+        for k, v in codes[platform].items():
+            out = out.when(c == k, v)
+        return out.otherwise(F.lit(other.get(platform)))
     raise ValueError(f"unknown platform {platform}")
 
 

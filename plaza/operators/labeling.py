@@ -40,18 +40,31 @@ def select_work(comments: DataFrame, analyses: DataFrame, model: str) -> tuple[D
 
 def rule_labels(text: Column) -> Column:
     """The default labeler: a JSON label by a few fixed words, in the JVM, so that jobs can be run and tested without a model."""
-    bad, good = F.regexp_count(F.lower(text), F.lit(r"\b(bad|slow|broken|angry|refund|trash|stupid)\b")), F.regexp_count(F.lower(text), F.lit(r"\b(good|fast|great|love|nice|thanks)\b"))
-    sentiment = F.when(bad > good, "negative").when(good > bad, "positive").otherwise("neutral")
-    score = F.when(bad + good > 0, F.round((good - bad) / (good + bad), 4)).otherwise(0.0)
-    return F.to_json(
-        F.struct(
-            sentiment.alias("sentiment"), score.alias("sentiment_score"), F.when(sentiment == "negative", "anger").when(sentiment == "positive", "joy").otherwise("neutral").alias("emotion"),
-            F.when(sentiment == "negative", "oppose").when(sentiment == "positive", "support").otherwise("neutral").alias("stance"), F.when(bad >= 3, "high").when(bad >= 1, "medium").otherwise("low").alias("risk_level"),
-            F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{9,})"))), 1, 3).alias("topics"), F.array().cast("array<string>").alias("risk_reasons"),
-            F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{7,})"))), 1, 5).alias("keywords"), F.substring(F.concat(F.lit("text: "), text), 1, 80).alias("summary"),
-        )
+    low = F.lower(text)
+    counts = F.struct(
+        F.regexp_count(low, F.lit(r"\b(bad|slow|broken|angry|refund|trash|stupid)\b")).alias("bad"), F.regexp_count(low, F.lit(r"\b(good|fast|great|love|nice|thanks)\b")).alias("good"),
+        F.slice(F.array_distinct(F.regexp_extract_all(low, F.lit(r"([a-z]{9,})"))), 1, 3).alias("topics"), F.slice(F.array_distinct(F.regexp_extract_all(low, F.lit(r"([a-z]{7,})"))), 1, 5).alias("keywords"),
+        F.substring(F.concat(F.lit("text: "), text), 1, 80).alias("summary"),
     )
 
+    def label(c: Column) -> Column:
+        bad, good = c["bad"], c["good"]
+        sentiment = F.when(bad > good, "negative").when(good > bad, "positive").otherwise("neutral")
+        return F.to_json(
+            F.struct(
+                sentiment.alias("sentiment"), F.when(bad + good > 0, F.round((good - bad) / (good + bad), 4)).otherwise(0.0).alias("sentiment_score"),
+                F.when(bad > good, "anger").when(good > bad, "joy").otherwise("neutral").alias("emotion"), F.when(bad > good, "oppose").when(good > bad, "support").otherwise("neutral").alias("stance"),
+                F.when(bad >= 3, "high").when(bad >= 1, "medium").otherwise("low").alias("risk_level"), c["topics"].alias("topics"), F.array().cast("array<string>").alias("risk_reasons"), c["keywords"].alias("keywords"), c["summary"].alias("summary"),
+            )
+        )
+
+    return _once(counts, label)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used (bound by a lambda)."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
 
 def apply_labeler(work: DataFrame, labeler: Labeler, text: str = "text", retries: int = 2) -> DataFrame:
     """Adds ``output`` (JSON) and ``failure``: ``labeler`` gets the texts of an Arrow batch; a batch that fails is halved down to the bad row."""
@@ -78,23 +91,29 @@ def apply_labeler(work: DataFrame, labeler: Labeler, text: str = "text", retries
 
 def validate_labels(df: DataFrame, output: str = "output") -> DataFrame:
     """Adds ``label`` (struct) and ``label_error``: the JSON must have exactly the fields of ``LABELS``, within their limits."""
-    x = F.from_json(output, LABELS)
-    names = [f.split()[0] for f in LABELS.split(", ")]
-    keys = F.array_sort(F.coalesce(F.json_object_keys(output), F.array().cast("array<string>")))
+    names = sorted(f.split()[0] for f in LABELS.split(", "))
     inside = lambda c, allowed: c.isNotNull() & c.isin(*allowed)
     short = lambda c, most: c.isNotNull() & (F.size(c) <= most)
-    error = (
-        F.when(F.col(output).isNull() | F.try_parse_json(output).isNull(), "not JSON")
-        .when(keys != F.array(*[F.lit(n) for n in sorted(names)]), "wrong fields")
-        .when(~inside(x["sentiment"], SENTIMENTS), "sentiment")
-        .when(x["sentiment_score"].isNull() | ~x["sentiment_score"].between(-1, 1), "sentiment_score")
-        .when(~inside(x["emotion"], EMOTIONS), "emotion")
-        .when(~inside(x["stance"], STANCES), "stance")
-        .when(~inside(x["risk_level"], RISKS), "risk_level")
-        .when(~short(x["topics"], 10) | ~short(x["risk_reasons"], 10) | ~short(x["keywords"], 15), "too many values")
-        .when(x["summary"].isNull() | ~F.length(x["summary"]).between(1, 200), "summary")
-    )
-    return df.withColumn("label_error", error).withColumn("label", F.when(error.isNull(), x))
+
+    def check(v: Column) -> Column:
+        x = v["x"]
+        error = (
+            F.when(v["keys"].isNull(), "not JSON")
+            .when(v["keys"] != F.array(*[F.lit(n) for n in names]), "wrong fields")
+            .when(~inside(x["sentiment"], SENTIMENTS), "sentiment")
+            .when(x["sentiment_score"].isNull() | ~x["sentiment_score"].between(-1, 1), "sentiment_score")
+            .when(~inside(x["emotion"], EMOTIONS), "emotion")
+            .when(~inside(x["stance"], STANCES), "stance")
+            .when(~inside(x["risk_level"], RISKS), "risk_level")
+            .when(~short(x["topics"], 10) | ~short(x["risk_reasons"], 10) | ~short(x["keywords"], 15), "too many values")
+            .when(x["summary"].isNull() | ~F.length(x["summary"]).between(1, 200), "summary")
+        )
+        return F.struct(error.alias("error"), x.alias("x"))
+
+    parsed = F.struct(F.from_json(output, LABELS).alias("x"), F.array_sort(F.json_object_keys(output)).alias("keys"))
+    checked = df.withColumn("_checked", _once(parsed, check))
+    out = checked.withColumn("label_error", F.col("_checked.error"))
+    return out.withColumn("label", F.when(F.col("_checked.error").isNull(), F.col("_checked.x"))).drop("_checked")
 
 
 def fan_out(labelled: DataFrame, comments: DataFrame, model: str) -> DataFrame:

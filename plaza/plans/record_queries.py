@@ -101,7 +101,7 @@ def d16(spark, sf_dir):
     )
 
 
-@query("d17_gender", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '未知' WHEN 1 THEN '男' ELSE '女' END AS g FROM customer")
+@query("d17_gender", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Male' ELSE 'Female' END AS g FROM customer")
 def d17(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", S.gender("douyin", F.col("c_custkey") % 3).alias("g"))
 

@@ -165,11 +165,11 @@ def h15(spark, sf_dir):
     return M.topic_names(M.topic_labels(assigned, newest), assigned, "run").select("cluster", "cluster_key")
 
 
-@query("h19_cost_range", """SELECT doc_id, round((CASE WHEN doc_id % 3 = 0 THEN n_chars * 0.111 ELSE n_chars * 0.111 END + 100 * 2.0) / 1000000, 6) AS min_cost,
-round((CASE WHEN doc_id % 3 = 0 THEN n_chars * 0.111 ELSE n_chars * 0.517 END + 100 * 2.0) / 1000000, 6) AS max_cost FROM documents""")
+@query("h19_cost_range", """SELECT doc_id, round((CASE WHEN doc_id % 3 = 0 THEN n_chars * 0.11171 ELSE n_chars * 0.11171 END + 100 * 2.0) / 1000000, 6) AS min_cost,
+round((CASE WHEN doc_id % 3 = 0 THEN n_chars * 0.11171 ELSE n_chars * 0.51733 END + 100 * 2.0) / 1000000, 6) AS max_cost FROM documents""")
 def h19(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("input_tokens"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).otherwise(0).alias("hit_tokens"), F.lit(0).alias("miss_tokens"), F.lit(100).alias("output_tokens"))
-    return L.cost_range(d, 0.517, 0.111, 2.0).select("doc_id", "min_cost", "max_cost")
+    return L.cost_range(d, 0.51733, 0.11171, 2.0).select("doc_id", "min_cost", "max_cost")
 
 
 @query("h20_label_quality", CAL + """SELECT count(*) AS sample, count(l.comment_id) AS analyzed, count(*) FILTER (l.comment_id IS NULL) AS missing, count(*) FILTER (g.quality = 1) AS eligible,
