@@ -7,7 +7,7 @@ are bounded, and the writer stores page indexes, so a reader that needs few docu
 in that range; the ids before a range are a running sum over one row for each range.
 
 Texts are encoded with a public tokenizer whose pre-tokens never cross white space, so each distinct run between spaces,
-tabs and line ends is encoded once a task and its ids are reused. That equals encoding the whole text (tests check it).
+tabs and line ends is encoded once and its ids are reused by all tasks of a worker process. That equals encoding the whole text (tests check it).
 
 Cases: a null or empty text has only the end id; rows that repeat a doc_id stand together, in the order of their texts; a
 null doc_id comes first; an empty table gives an empty file set; other columns are ignored.
@@ -16,13 +16,15 @@ null doc_id comes first; an empty table gives an empty file set; other columns a
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,36 +35,90 @@ from plaza.llm.shared import shared_dir, slices
 
 _FILE = "doc_id bigint, part int, at bigint, n_tokens int, ids array<int>"
 _RUNS = re.compile(r"[^ \t\r\n]+")
+_SYMBOLS = re.compile(r"[^\w\s]+")
+#: Latin-1 bytes as p (full stop or comma), s (other symbols), white space, or w.
+_KINDS = bytes(ord("p" if chr(b) in ".," else " " if chr(b).isspace() else "w" if chr(b).isalnum() else "s") for b in range(256))
 
 
 class Encoder:
-    """Ids of whole texts, with the ids of runs kept between texts."""
-
-    def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str | None) -> chain:
-        runs = _RUNS.findall(text or "")
-        new = list(set(runs).difference(self.known))
-        if new:
-            if len(self.known) > 500_000:
-                self.known.clear()
-                new = list(set(runs))
-            for run, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[run] = got.ids
-        return chain.from_iterable(map(self.known.__getitem__, runs))
+    """Ids of whole texts as little-endian bytes, with the ids of runs kept between texts.
+
+    What the tokenizer's normaliser and pre-tokenizer would do to Latin-1 texts is done ahead for the whole text: lower case, and a space at
+    the edges of runs of symbols, where the pre-tokenizer cuts (but not in texts with apostrophes, which it may join to letters). So equal words are equal runs. A run of letters is given
+    straight to the tokenizer's model; all other runs, and all other texts, pass through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the byte-level alphabet: other bytes follow from U+0100 on
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+    @classmethod
+    def of_process(cls, path: str) -> Encoder:
+        """One for all tasks of a worker process. Functions travel by value, so the library's module keeps it."""
+        kept = vars(tokenizers).setdefault("_encoders_of_process", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
+
+    def _of_run(self, run: str) -> bytes:
+        if run.isalpha() and run.islower():
+            if run.isascii():
+                return array("i", [t.id for t in self.tokenizer.model.tokenize(run)]).tobytes()
+            if max(run) < "\u0100":
+                letters = run.encode().decode("latin-1").translate(self.alphabet)
+                return array("i", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _runs(self, text: str) -> list[str]:
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, but not to the tokenizer
+            return _RUNS.findall(text)
+        try:
+            kinds = text.encode("latin-1").translate(_KINDS)
+        except UnicodeEncodeError:
+            return text.split()
+        if "<|" in text:  # special tokens are matched as they are written
+            return text.split()
+        text = text.lower()
+        if any(x in kinds for x in (b"ws", b"sw", b"ps", b"sp", b"pp")):
+            if "'" not in text and "_" not in text:
+                text = _SYMBOLS.sub(r" \g<0> ", text)
+        else:
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.split()
+
+    def __call__(self, texts: list[str | None], end: int) -> list[bytes]:
+        known, stop, out = self.known, array("i", [end]).tobytes(), []
+        for text in texts:
+            runs = self._runs(text or "")
+            ids = list(map(known.get, runs))
+            if None in ids:
+                i = -1
+                for _ in range(ids.count(None)):
+                    i = ids.index(None, i + 1)
+                    got = known.get(runs[i])
+                    if got is None:
+                        got = self._of_run(runs[i])
+                        if len(known) < self.most:
+                            known[runs[i]] = got
+                    ids[i] = got
+            ids.append(stop)
+            out.append(b"".join(ids))
+        return out
 
 
 def _encode(path: str, end: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, at = Encoder.of_process(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
-                ids = [np.fromiter(chain(encoder(t), (end,)), np.int32) for t in some.column(1).to_pylist()]
-                n = np.array([len(x) for x in ids], np.int64)
+            for lo in range(0, b.num_rows, 200):
+                some = b.slice(lo, 200)
+                ids = encoder(some.column(1).to_pylist(), end)
+                n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.concatenate(ids)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n.astype(np.int32)), lists], names=["doc_id", "part", "at", "n_tokens", "ids"])
                 at += int(ends[-1])
 
@@ -103,8 +159,6 @@ def checksums(tokens: DataFrame) -> DataFrame:
 
 def token_table(docs: DataFrame, name: str = "tokens") -> DataFrame:
     """Writes ``docs`` to token files in the shared folder and reads their digest back."""
-    import uuid
-
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     write_tokens(docs, path)
