@@ -85,9 +85,29 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle: i
     prefix = prefix.withColumn("rank", F.row_number().over(ordered)).where("rank = 1 and rarity > 0").drop("rank", "rarity", "window_id")
     prefix = staged(prefix, "prefix")
     n = prefix.count()
-    candidate = document_shingles(docs, sizes).join(_sized(prefix, n, broadcast_rows), ["key", "size"])
-    candidate = candidate.withColumn("start", F.col("pos") - F.col("at")).where("start >= 0 and start + length <= n_words")
-    return candidate.where(F.expr("slice(words, start + 1, length) = item_words")).select(*keys, "item_id", "start", "length").distinct()
+    out = None
+    for size in sizes:
+        found = _verified(docs, prefix.where(F.col("size") == size), size, keys, n <= broadcast_rows)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _verified(docs: DataFrame, prefix: DataFrame, size: int, keys: list[str], small: bool) -> DataFrame:
+    """Occurrences of the windows of ``prefix``, whose shingles have ``size`` words.
+
+    With a small prefix the join is broadcast and runs in one stage with the shingles before and the check after it, so the words of the text
+    are never copied. With a large one, positions alone are shuffled, and the few candidates meet the words again.
+    """
+    bounds = "start >= 0 and start + length <= n_words"
+    check = F.expr("slice(words, start + 1, length) = item_words")
+    if small:
+        near = document_shingles(docs, [size]).join(F.broadcast(prefix), ["key", "size"]).withColumn("start", F.col("pos") - F.col("at"))
+        return near.where(bounds).where(check).select(*keys, "item_id", "start", "length")
+    flat = document_shingles(docs, [size]).drop("words")
+    near = flat.join(prefix, ["key", "size"]).withColumn("start", F.col("pos") - F.col("at")).where(bounds).select(*keys, "item_id", "item_words", "start", "length").distinct()
+    texts = docs.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "words")
+    same = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
+    return near.join(texts, same).where(check).select(*keys, "item_id", "start", "length")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
