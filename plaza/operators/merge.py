@@ -47,6 +47,12 @@ def upsert_counters(stored: DataFrame, batch: DataFrame, key: Sequence[str], cou
     return upsert(stored, batch, key, {c: OVERWRITE for c in counters}, KEEP)
 
 
+def landing_upsert(stored: DataFrame, batch: DataFrame, key: Sequence[str], now: int) -> DataFrame:
+    """A landing table with a batch merged in: all columns given are overwritten; new rows get ``add_ts``, all touched rows ``last_modify_ts``."""
+    stamped = batch.withColumns({"add_ts": F.lit(now), "last_modify_ts": F.lit(now)})
+    return upsert(stored, stamped, key, {"add_ts": KEEP})
+
+
 def upsert_counts(stored: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row: items, inserted keys, and duplicates (items less inserted, so repeats within the batch count)."""
     new = batch.select(*key).distinct().join(stored.select(*key), list(key), "left_anti").agg(F.count("*").alias("inserted"))

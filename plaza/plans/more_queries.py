@@ -130,3 +130,121 @@ def g11(spark, sf_dir):
 def g11b(spark, sf_dir):
     t = O.trend(view(spark, sf_dir, "comments"), view(spark, sf_dir, "analyses"), "hour")
     return t.select("bucket_start", "total_comments").orderBy(F.desc("bucket_start")).limit(48)
+
+
+@query("b1_csv_append", "SELECT event_type AS kind, 2 * count(*) AS n FROM events GROUP BY event_type")
+def b1(spark, sf_dir):
+    """Two appends of text files with a header each; every file is read once."""
+    path = fresh(spark, "csvs")
+    e = load(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"))
+    for _ in range(2):
+        A.append(e.withColumnRenamed("kind", "what"), path, "csv", "douyin", "comments", F.lit("2024-01-01"))
+    return A.read_csv(spark, f"{path}/platform=douyin/kind=comments").groupBy(F.col("what").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("b3_json_array", "SELECT r_regionkey, r_name FROM region")
+def b3(spark, sf_dir):
+    path = fresh(spark, "array")
+    r = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    A.export_json_array(r, path)
+    return A.read_json_file(spark, path, r.schema)
+
+
+@query("b5_landing_upsert", """SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS nickname, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 20 ELSE 10 END AS add_ts,
+CASE WHEN c_custkey % 2 = 0 THEN 20 ELSE 10 END AS last_modify_ts FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0""")
+def b5(spark, sf_dir):
+    from plaza.operators import merge as U
+
+    c = load(spark, sf_dir, "customer")
+    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("nickname"), F.lit(10).alias("add_ts"), F.lit(10).alias("last_modify_ts"))
+    return U.landing_upsert(old, c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("nickname")), ["user_id"], 20)
+
+
+@query("b11_quality_artifacts", "SELECT 'labels' AS report, count(*) AS sample, count(*) FILTER (toxic = 1) AS toxic FROM labels")
+def b11(spark, sf_dir):
+    """A report is appended twice; the newest is read."""
+    path = fresh(spark, "reports")
+    g = load(spark, sf_dir, "labels")
+    for at in (1, 2):
+        g.agg(F.count("*").alias("sample"), F.count_if(F.col("toxic") == 1).alias("toxic")).select(F.lit("labels").alias("report"), F.lit(at).alias("generated_at"), "*").write.mode("append").json(path)
+    r = spark.read.schema("report string, generated_at int, sample bigint, toxic bigint").json(path)
+    return r.groupBy("report").agg(F.max_by(F.struct("sample", "toxic"), "generated_at").alias("x")).select("report", "x.*")
+
+
+@query("d2_required_string", "SELECT c_custkey, c_custkey % 4 = 0 AS missing FROM customer")
+def d2(spark, sf_dir):
+    raw = F.when(F.col("c_custkey") % 4 == 0, "  ").otherwise(F.col("c_name"))
+    return load(spark, sf_dir, "customer").select("c_custkey", S.optional_string(raw).isNull().alias("missing"))
+
+
+@query("d24_length_bucket", "SELECT doc_id, CASE WHEN n_chars <= 5 THEN 'short' WHEN n_chars <= 20 THEN 'medium' ELSE 'long' END AS bucket FROM documents")
+def d24(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", S.length_bucket(F.col("n_chars")).alias("bucket"))
+
+
+@query("f4_run_upsert", "SELECT n_nationkey AS id, CASE WHEN n_nationkey < 20 THEN 'done' ELSE 'new' END AS status FROM nation")
+def f4(spark, sf_dir):
+    from plaza.operators import merge as U
+
+    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    return U.upsert(n.where("id >= 10").withColumn("status", F.lit("new")), n.where("id < 20").withColumn("status", F.lit("done")), ["id"])
+
+
+@query("g6_page_bounds", cte("comments") + "SELECT comment_id FROM comments ORDER BY published_at ASC NULLS LAST, comment_id LIMIT 1000")
+def g6(spark, sf_dir):
+    for bad in ({"limit": 0}, {"limit": 1001}, {"limit": 5, "offset": -1}, {"depth": -1}):
+        try:
+            O.comments_page(view(spark, sf_dir, "comments"), **bad)
+        except ValueError:
+            continue
+        raise AssertionError(f"{bad} was accepted")
+    return O.comments_page(view(spark, sf_dir, "comments"), limit=1000).select("comment_id")
+
+
+@query("k5_drift_check", "SELECT false AS inputs_changed, true AS config_changed")
+def k5(spark, sf_dir):
+    from plaza.operators import semantic as M
+
+    x = view(spark, sf_dir, "texts").select("comment_id", F.sha2("text", 256).alias("text_hash"))
+    a, b = (M.new_run(spark, x, {"platform": "douyin"}, config, "m") for config in ("a", "b"))
+    return M.drifted(a, b).select("inputs_changed", "config_changed")
+
+
+@query("n1_null_last_page", cte("contents") + "SELECT content_id FROM contents ORDER BY published_at DESC NULLS LAST, content_id LIMIT 500")
+def n1(spark, sf_dir):
+    return O.contents_page(view(spark, sf_dir, "contents"), limit=500).select("content_id")
+
+
+@query("n2_top_frequency", "SELECT l_returnflag || l_linestatus AS value, count(*) AS count FROM lineitem GROUP BY 1 ORDER BY count DESC, value LIMIT 3")
+def n2(spark, sf_dir):
+    return O.frequency(load(spark, sf_dir, "lineitem").select(F.array(F.concat("l_returnflag", "l_linestatus")).alias("v")), "v", 3)
+
+
+@query("n5_search_top1", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_dot_product(q.v, e.v), 6) AS similarity FROM e q, e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s) SELECT query_id, item_id, similarity FROM r WHERE rank = 1""")
+def n5(spark, sf_dir):
+    from plaza.operators import semantic as M
+
+    v = load(spark, sf_dir, "embeddings")
+    got = M.search(v.select(F.col("vec_id").alias("item_id"), "embedding"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 2)
+    best = got.where("query_id <> item_id").groupBy("query_id").agg(F.min_by(F.struct("item_id", "similarity"), "rank").alias("b"))
+    return best.select("query_id", "b.item_id", "b.similarity")
+
+
+@query("q1_embedder", "SELECT doc_id AS comment_id, 'embedded' AS origin, 2 AS dimension FROM documents")
+def q1(spark, sf_dir):
+    """A caller's embedder, once for each distinct text."""
+    from plaza.operators import semantic as M
+
+    x = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("comment_id"), "text", F.sha2("text", 256).alias("text_hash"))
+    none = x.where("false").select("comment_id", "text_hash", F.array(F.lit(0.0).cast("float")).alias("embedding"), F.col("comment_id").alias("created_at"))
+    return M.embed(x, none, lambda texts: [[1.0 + len(t), 1.0] for t in texts]).select("comment_id", "origin", F.size("embedding").alias("dimension"))
+
+
+@query("q2_labeler", "SELECT doc_id, length(text) AS n, CAST(NULL AS VARCHAR) AS failure FROM documents")
+def q2(spark, sf_dir):
+    """A caller's labeler over the texts of Arrow batches."""
+    from plaza.operators import labeling as L
+
+    x = L.apply_labeler(load(spark, sf_dir, "documents").select("doc_id", "text"), lambda texts: [str(len(t)) for t in texts])
+    return x.select("doc_id", F.col("output").cast("bigint").alias("n"), "failure")
