@@ -209,4 +209,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: All pairs by an inverted index, and the closure of the links: for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+k AS (SELECT doc_id, w, least(5, len(w)) AS k FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p + 1:p + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM k) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, reach.root FROM reach JOIN l ON l.x = reach.doc_id),
+class AS (SELECT doc_id, min(root) AS class_id FROM reach GROUP BY doc_id),
+first AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(l.y), d.doc_id)) AS first FROM documents d LEFT JOIN l ON l.x = d.doc_id AND l.same GROUP BY d.doc_id),
+links AS (SELECT l.x AS doc_id, count(*) AS n_links, count(DISTINCT CASE WHEN NOT l.same THEN f.first END) AS n_texts, count(*) FILTER (l.same) AS copies FROM l JOIN first f ON f.doc_id = l.y GROUP BY l.x)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_texts, 0) AS n_texts, coalesce(copies, 0) + 1 AS n_copies
+FROM documents d JOIN class USING (doc_id) LEFT JOIN links USING (doc_id)
+"""
+
 QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+ORACLES = {"op3_ngram_jaccard_join": OP3_SQL}

@@ -215,4 +215,16 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Five hexadecimal digits are twenty bits, which are four base32 letters.
+_DIGIT = "(strpos('0123456789abcdef', substr(h, CAST(i // 4 * 5 + {k} AS INT), 1)) - 1)"
+_TWENTY = " + ".join(f"{16 ** (5 - k)} * {_DIGIT.format(k=k)}" for k in range(1, 6))
+OP7_SQL = f"""
+WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(floor(v / pow(32, 3 - i % 4)) AS INT) % 32 + 1, 1), '' ORDER BY i) AS payload_digest
+  FROM (SELECT h, i, {_TWENTY} AS v FROM (SELECT DISTINCT h FROM h) x, range(0, 32) r(i)) y GROUP BY h),
+b AS (SELECT h.*, payload_digest, min(page_id) OVER (PARTITION BY h.h) AS first FROM h JOIN d ON d.h = h.h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""
+
 QUERIES = {"op7_warc_zip": op7_warc_zip}
+ORACLES = {"op7_warc_zip": OP7_SQL}
