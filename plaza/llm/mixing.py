@@ -63,12 +63,11 @@ def exponent(totals: DataFrame, min_entropy: float = 0.95, max_repeats: float =
 def weights(totals: DataFrame, t: float, budget: int | None = None) -> DataFrame:
     """(source, docs, tokens, weight, epochs) at exponent ``t``; without a budget every source has at least one epoch."""
     x = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(t))).otherwise(0.0)
-    all_sources = totals.agg(F.sum(x).alias("z"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / x)).alias("need"))
-    one = all_sources.select("z", (F.lit(float(budget)) if budget is not None else F.col("need") * F.col("z")).alias("budget"))
-    share = F.when(F.col("z") > 0, x / F.col("z")).otherwise(0.0)
-    out = totals.join(F.broadcast(one)).withColumn("weight", share)  # one row: the sums over all sources
-    epochs = F.when(F.col("tokens") > 0, F.round(F.col("weight") * F.col("budget") / F.col("tokens"), 9)).otherwise(1.0)
-    return out.withColumn("epochs", epochs).drop("z", "budget")
+    z, need = totals.agg(F.sum(x), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / x))).first()
+    total = float(budget) if budget is not None else (need or 0.0) * (z or 0.0)
+    out = totals.withColumn("weight", x / F.lit(z) if z else F.lit(0.0))
+    epochs = F.when(F.col("tokens") > 0, F.round(F.col("weight") * F.lit(total) / F.col("tokens"), 9)).otherwise(1.0)
+    return out.withColumn("epochs", epochs)
 
 
 def realise(docs: DataFrame, weighted: DataFrame, seed: int = 11, block_docs: int = 2000) -> DataFrame:
