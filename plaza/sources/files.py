@@ -20,10 +20,11 @@ KINDS = ("author", "content", "comment")
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
     """Objects of JSON-lines files, and the bad lines as (path, line, message).
 
-    Each line keeps its file and its number within the file; blank lines and a leading byte-order mark are skipped.
+    Each line keeps its file and a number that grows with its place in the file (last wins by it); blank lines and a leading
+    byte-order mark are skipped.
     Without a schema the objects stay VARIANT values.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("_raw"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("_raw"))
     numbered = raw.where(F.trim("_raw") != "")
     value = F.try_parse_json("_raw")
     ok = value.isNotNull() & F.startswith(F.ltrim("_raw"), F.lit("{"))
@@ -152,7 +153,7 @@ def append(df: DataFrame, path: str, fmt: str, platform: str, kind: str, day: Co
     placed = df.withColumns({"platform": F.lit(platform), "kind": F.lit(kind), "dt": F.to_date(day)})
     keys = ["platform", "kind", "dt"]
     if fmt == "csv":
-        flat_values(placed.drop(*keys)).select("*").write.mode("append").option("header", True).csv(f"{path}/platform={platform}/kind={kind}")
+        flat_values(placed).write.mode("append").partitionBy(*keys).option("header", True).csv(path)
     elif fmt in ("json", "jsonl"):
         placed.write.mode("append").partitionBy(*keys).option("ignoreNullFields", False).json(path)
     elif fmt in ("parquet", "orc"):
