@@ -24,7 +24,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of near duplicates stays: the one with the smallest doc_id."""
     classes = lsh_forest.near_duplicates(docs.select("doc_id", "text"))
     gone = classes.where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    # Rows that repeat a doc_id are one document; rows without one are documents of their own.
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +40,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix has it; with the default budget each at least once."""
     counted = staged(mixing.with_tokens(docs).select("doc_id", "source", "n_tokens"), "counted")
-    copies = mixing.mix(counted).select("doc_id", "copies").distinct()
+    copies = mixing.mix(counted).select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), "copies").where("copies > 0").distinct()
     times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return docs.join(copies.where("copies > 0"), "doc_id").withColumn("_copy", times).select(docs.columns)
+    same = docs["doc_id"].eqNullSafe(copies["_doc_id"]) & docs["source"].eqNullSafe(copies["_source"])
+    return docs.join(copies, same).withColumn("_copy", times).select(*[docs[c] for c in docs.columns])
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
