@@ -2,7 +2,7 @@
 
 Writing. Pages with equal payloads are found by a grouped ``min`` over payload digests; the smallest page_id is the response
 and the others revisit it. Each task packs its pages into ZIP archives of a bounded number of records in the shared folder;
-an archive has two stored members, ``archive/data.warc`` and ``indexes/index.cdxj``. File names are unique for each attempt, and
+an archive has two stored members, ``archive/data.warc.gz`` (each record is a gzip member of its own, as is usual for WARC) and ``indexes/index.cdxj``. File names are unique for each attempt, and
 only archives named in the manifest, which is a table written by the successful attempts, are ever read.
 
 Reading (``read_archives``). From the end of the file the end-of-directory record is found, and with its ZIP64 locator and record if
@@ -17,6 +17,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plaza.llm.shared import shared_dir, staged
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdxj"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _MANIFEST = "path string, records bigint, bytes bigint"
 _RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -83,7 +84,7 @@ def _writer(folder: str, most: int):
             with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
                 with z.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as member:
                     for page_id, url, html, size, digest, revisit, refers_to in rows:
-                        raw = warc_record(page_id, url, None if revisit else (html or "").encode(), size, digest, refers_to)
+                        raw = gzip.compress(warc_record(page_id, url, None if revisit else (html or "").encode(), size, digest, refers_to), 5, mtime=0)
                         member.write(raw)
                         index.append(json.dumps({"page_id": page_id, "offset": at, "length": len(raw)}))
                         at += len(raw)
@@ -199,7 +200,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 index = zipped.read(*zipped.locate(INDEX)).decode().split("\n")
                 for lo in range(0, len(index), 500):
                     entries = [json.loads(x) for x in index[lo : lo + 500] if x]
-                    got = [parse_record(zipped.read(data + e["offset"], e["length"])) for e in entries]
+                    got = [parse_record(gzip.decompress(zipped.read(data + e["offset"], e["length"]))) for e in entries]
                     columns = list(zip(*got, strict=True)) or [()] * 6
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
