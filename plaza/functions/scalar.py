@@ -298,4 +298,5 @@ def verified(x: Column) -> Column:
 def hash_embedding(text: Column, dimension: int = 16) -> Column:
     """A deterministic unit vector for a text: the default test embedder, JVM only."""
     part = lambda i: F.conv(F.substring(F.sha2(F.concat(F.lit(f"{i}:"), text), 256), 1, 12), 16, 10).cast("double")
-    return unit_vector(F.array(*[(part(i) / float(1 << 47) - 1.0).cast("float") for i in range(dimension)]))
+    parts = F.array(*[(part(i) / float(1 << 47) - 1.0).cast("float") for i in range(dimension)])
+    return F.element_at(F.transform(F.array(parts), unit_vector), 1)  # bound by the lambda, so that the text is hashed once a dimension

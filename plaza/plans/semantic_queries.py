@@ -13,6 +13,7 @@ from plaza.operators import sampling as P
 from plaza.operators import semantic as M
 from plaza.plans.registry import load, query
 from plaza.plans.views import cte, view
+from plaza.sources.paths import fresh
 
 DIMS = ("sentiment", "emotion", "stance", "risk_level")
 CAL = cte("comments", "analyses", "latest")
@@ -305,12 +306,20 @@ def m5(spark, sf_dir):
 
 @query("m6_workflow")
 def m6(spark, sf_dir):
-    """Label, embed and cluster in a row; the topics with their dominant label."""
-    c = _texts(spark, sf_dir).where("depth = 0").select("comment_id", "text", F.sha2("text", 256).alias("input_hash"))
+    """Label, embed and cluster all comments in a row; the topics with their dominant label.
+
+    The embeddings table is the cache of vectors; texts that it lacks are embedded in as many dimensions as it has.
+    """
+    c = _texts(spark, sf_dir).select("comment_id", "text", F.sha2("text", 256).alias("input_hash"))
     todo = c.groupBy("input_hash").agg(F.any_value("text").alias("text"))
     rows = L.fan_out(L.validate_labels(todo.withColumn("output", L.rule_labels(F.col("text")))), c, "rules").drop("id", "input_hash")
-    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(c.select(F.col("comment_id").alias("id")), "id")
-    members, _ = M.linkage(vectors, 0.7)
+    texts = c.withColumnRenamed("input_hash", "text_hash")
+    known = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("comment_id"), "embedding", F.col("vec_id").alias("created_at"))
+    dimension = known.agg(F.max(F.size("embedding"))).first()[0] or 16
+    embedded = M.embed(texts, known.join(texts.select("comment_id", "text_hash"), "comment_id"), dimension=dimension)
+    path = fresh(spark, "vectors")  # read more than once by linkage
+    embedded.where("embedding is not null").select(F.col("comment_id").alias("id"), "embedding").write.parquet(path)
+    members, _ = M.linkage(spark.read.parquet(path), 0.7)
     return M.topic_labels(M.cut(members, 2), rows).select("cluster", "size", "analyzed", "dominant_sentiment", "dominant_risk_level")
 
 
