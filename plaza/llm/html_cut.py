@@ -29,7 +29,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title head canvas audio video select button".split())
+RAW = frozenset("script style noscript template iframe object svg textarea title head canvas audio video select button".split())
 OPAQUE = frozenset("script style textarea title iframe".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("ul ol dl table tr tbody thead tfoot article section div nav main aside header footer form body".split())
@@ -42,10 +42,14 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "boiler", "content", "hidden")
+    __slots__ = ("tag", "parent", "depth", "block", "jump", "boiler", "content", "hidden")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        # An ancestor at a distance that grows by doubling, by which a far one is found in few steps.
+        far = parent.jump if parent else self
+        self.jump = (far.jump if parent.depth - far.depth == far.depth - far.jump.depth else parent) if parent else self
         self.boiler, self.content, self.hidden = (parent.boiler, parent.content, parent.hidden) if parent else (0.0, 0.0, False)
         inside = self.content > 0
         if tag in RAW:
@@ -77,30 +81,40 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, without scripts, styles and other hidden elements."""
-    top = Element("html", None, "")
-    stack, out, held, links, at = [top], [], [], 0, 0
-    anchors = 0
-
-    def owner() -> Element:
-        for e in reversed(stack):
-            if e.tag in BLOCK:
-                return e
-        return top
+    """The text blocks of a page in order, without scripts, styles and other hidden elements.
+
+    Elements may be nested to any depth: where each tag is open is kept by tag, so that no lookup walks the ancestors.
+    """
+    stack, out, held, links, at = [Element("html", None, "")], [], [], 0, 0
+    opened: dict[str, list[int]] = {}
+    bounds: list[int] = []
+
+    def push(tag: str, attributes: str) -> None:
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BOUNDS:
+            bounds.append(len(stack))
+        stack.append(Element(tag, stack[-1], attributes))
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            if tag in BOUNDS:
+                bounds.pop()
 
     def flush() -> None:
         nonlocal links
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(Block(text, owner(), min(links, len(text))))
+            out.append(Block(text, stack[-1].block, min(links, len(text))))
         links = 0
 
     def add(raw: str) -> None:
         nonlocal links
         if raw and not stack[-1].hidden:
             held.append(raw)
-            if anchors:
+            if opened.get("a"):
                 links += len(raw.strip())
 
     while at < len(page):
@@ -117,40 +131,27 @@ def blocks(page: str) -> list[Block]:
         if slash:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    anchors -= sum(e.tag == "a" for e in stack[k:])
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                cut(opened[tag][-1])
             continue
         if tag in BLOCK:
             flush()
-            if closing := CLOSES.get(tag, {"p"}):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in closing:
-                        anchors -= sum(e.tag == "a" for e in stack[k:])
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BOUNDS:
-                        break
-        if tag == "body":
-            hidden = next((k for k in range(1, len(stack)) if stack[k].tag == "head"), None)
-            if hidden is not None:
-                del stack[hidden:]
+            last = max((opened[x][-1] for x in CLOSES.get(tag, {"p"}) if opened.get(x)), default=0)
+            if last and last >= (bounds[-1] if bounds else 0):
+                cut(last)
+        if tag == "body" and opened.get("head"):
+            cut(opened["head"][0])
         if tag in VOID:
             if tag == "br" or tag == "hr":
                 add(" ")
             continue
         if attributes.endswith("/") and tag not in BLOCK and tag != "a":
             continue
-        if len(stack) < 500:
-            stack.append(Element(tag, stack[-1], attributes))
-            anchors += tag == "a"
+        push(tag, attributes)
         if tag in OPAQUE:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if stack[-1].tag == tag:
-                stack.pop()
+            cut(len(stack) - 1)
     flush()
     return out
 
@@ -170,14 +171,14 @@ def block_score(b: Block) -> float:
 
 
 def _distance(a: Element, b: Element) -> int:
-    steps = 0
+    total = a.depth + b.depth
+    if a.depth < b.depth:
+        a, b = b, a
+    while a.depth > b.depth:
+        a = a.jump if a.jump.depth >= b.depth else a.parent
     while a is not b:
-        if a.depth >= b.depth:
-            a = a.parent
-        else:
-            b = b.parent
-        steps += 1
-    return steps
+        a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.parent, b.parent)
+    return total - 2 * a.depth
 
 
 def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:

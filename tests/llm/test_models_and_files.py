@@ -131,6 +131,17 @@ def test_html_main_text():
     assert html_cut.main_text("<p " + 'a="' * 2000) is not None
 
 
+def test_html_deep_elements_and_formulas():
+    words = "plain words of an article that goes on for a while, " * 4
+    tower = "<article>" + "<blockquote>" * 600 + f"<p>{words}</p><nav>Home and other places of this site</nav><template>{words}</template><select><option>One of many</select>"
+    assert html_cut.main_text(tower) == words.strip()
+    # The end tags of the deep elements close those, not the earlier ones.
+    found = html_cut.blocks("<nav>" + "<span>" * 600 + "<nav>deep</nav>still in the outer one</nav><p>out</p>")
+    assert [(b.text, b.element.boiler > 0) for b in found] == [("deep", True), ("still in the outer one", True), ("out", False)]
+    text = html_cut.main_text("<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stands in the middle of this sentence.</p></article>")
+    assert text == "The formula x=2 stands in the middle of this sentence."
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(60):
