@@ -24,9 +24,18 @@ def strata(comments: DataFrame, seed: str) -> DataFrame:
 
 
 def round_robin(df: DataFrame, stratum: str, rank: Column, tie: str) -> DataFrame:
-    """Adds ``turn`` and ``position``: one row of each stratum in turn, in the order of their ranks."""
+    """Adds ``turn`` and ``position``: one row of each stratum in turn, in the order of their ranks.
+
+    The position follows from the sizes of the strata: the rows of all earlier turns, and the strata up to this one that have this turn.
+    """
     turned = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(rank, tie)))
-    return turned.withColumn("position", F.row_number().over(Window.orderBy("turn", stratum)))
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    sizes = sizes.agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_sizes"))
+    own = sizes.select(F.col("_sizes._n").alias("_all"), F.posexplode("_sizes").alias("_i", "_own")).select("_all", "_i", F.col("_own._s").alias("_s"))
+    earlier = F.aggregate("_all", F.lit(0).cast("bigint"), lambda a, n: a + F.least(n, F.col("turn") - 1))
+    same = F.size(F.filter(F.slice("_all", F.lit(1), F.col("_i") + 1), lambda n: n >= F.col("turn")))
+    placed = turned.join(F.broadcast(own), F.col(stratum).eqNullSafe(F.col("_s")))  # a row for each stratum
+    return placed.withColumn("position", (earlier + same).cast("int")).drop("_all", "_i", "_s")
 
 
 def stratified_sample(comments: DataFrame, limit: int, seed: str) -> DataFrame:
