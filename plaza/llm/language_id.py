@@ -5,10 +5,11 @@ probability for each piece, and a word's probability is the sum over all its seg
 algorithm. Training is expectation maximisation with forward-backward counts over a table (language, word, count), which
 Spark builds from a bounded sample: about ``per_language`` training documents of each language, chosen by a hash of
 doc_id. The table, the expected counts and the sums are Spark jobs; only the model (pieces x languages) reaches the driver.
-Texts are scored whole: the distinct words of a slice of rows are scored together, without a Python loop over words.
+Texts are scored whole, in slices of bounded size that are cut between words: the distinct words of a slice are scored
+together, without a Python loop over words, and verdicts on words are kept between slices.
 
-Words are runs of ASCII letters (lower-cased) and non-ASCII bytes; a run of over ``LONGEST`` bytes is scored in parts of
-``LONGEST`` bytes, all of which count. The score is the posterior of the predicted language under equal priors.
+Words are runs of ASCII letters (lower-cased) and non-ASCII bytes, of any length; all pieces of the vocabulary count and
+no segmentation is left out. The score is the posterior of the predicted language under equal priors.
 
 Cases: a null text or one without a letter is ``und`` with score 0; without training rows every text is ``und``; ties go
 to the language that sorts first; rows with a null lang are predicted but not learned from; repeated rows are predicted
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
@@ -30,71 +30,136 @@ from pyspark.sql import functions as F
 from plaza.llm import textbytes as tb
 from plaza.llm.shared import staged
 
-LONGEST = 24
+_SLICE = 1 << 19
+_GIANT = 1 << 16
+_KNOWN = 200_000
 _FLOOR = 1e-8
 _WORDS = "lang string, word binary, n bigint"
 _SCORED = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 
-def vocabulary(path: str | None = None, longest: int = 12) -> list[bytes]:
-    """The pieces of a sentencepiece model of at most ``longest`` bytes, word starts as a space, without special pieces."""
+def vocabulary(path: str | None = None) -> list[bytes]:
+    """The pieces of a sentencepiece model, word starts as a space, without special pieces."""
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     found = set()
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if 0 < len(piece) <= longest:
-                found.add(piece)
-    return sorted(found)
+            found.add(model.id_to_piece(i).replace("▁", " ").encode())
+    return sorted(found - {b""})
 
 
 class Segmenter:
-    """Piece ids of all substrings of equally long words, and forward and backward sums over their segmentations."""
+    """Finds all pieces in words by a trie and sums over all segmentations of the words, in logarithms.
+
+    Piece ids are places in ``pieces``; ``size`` stands for a single byte that is no piece.
+    """
 
     def __init__(self, pieces: list[bytes]):
-        self.size, self.longest = len(pieces), max(map(len, pieces))
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum([len(p) for p in pieces])
-        h = tb.word_hashes(data, ends - np.array([len(p) for p in pieces]), ends)
-        self.order = np.argsort(h)
-        self.keys = h[self.order]
-
-    def ids(self, words: np.ndarray) -> np.ndarray:
-        """ids[:, i, k] of the piece words[:, i:i+k+1]; ``size`` where there is none and ``size + 1`` for an unknown single byte."""
-        n, width = words.shape
-        up, down = tb.powers(width), tb.powers(width, pow(tb.BASE, -1, 1 << 64))
-        total = np.zeros((n, width + 1), np.uint64)
-        np.cumsum((words.astype(np.uint64) + np.uint64(1)) * up[:width], axis=1, out=total[:, 1:])
-        out = np.full((n, width, min(self.longest, width)), self.size, np.int32)
-        for k in range(out.shape[2]):
-            h = tb.mix((total[:, k + 1 :] - total[:, : width - k]) * down[: width - k] + np.uint64(k + 1))
-            at = np.minimum(np.searchsorted(self.keys, h), self.size - 1)
-            out[:, : width - k, k] = np.where(self.keys[at] == h, self.order[at], self.size + (k == 0))
+        self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
+        children: list[dict[int, int]] = [{}]
+        piece_at = [-1]
+        for i, piece in enumerate(pieces):
+            node = 0
+            for byte in piece:
+                if byte not in children[node]:
+                    children[node][byte] = len(children)
+                    children.append({})
+                    piece_at.append(-1)
+                node = children[node][byte]
+            piece_at[node] = i
+        # Edges of the trie in ascending order of (node, byte).
+        flat = sorted((node << 8 | byte, to) for node, row in enumerate(children) for byte, to in row.items())
+        self.edges = np.array([e for e, _ in flat] or [-1], np.int64)
+        self.targets = np.array([t for _, t in flat] or [0], np.int64)
+        self.piece_at = np.array(piece_at, np.int64)
+
+    def matches(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and id of each piece in ``data``; a piece that starts at byte i ends at ``ends[i]`` at the latest."""
+        at, node, out = np.arange(len(data)), np.zeros(len(data), np.int64), []
+        for k in range(self.longest):
+            inside = at + k < ends[at]
+            at, node = at[inside], node[inside]
+            if not len(at):
+                break
+            key = node << 8 | data[at + k]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            found = self.edges[place] == key
+            node = self.targets[place]
+            piece = np.where(found, self.piece_at[node], -1)
+            if k == 0:
+                piece = np.where(piece < 0, self.size, piece)
+            some = piece >= 0
+            out.append((at[some], np.full(int(some.sum()), k + 1), piece[some]))
+            at, node = at[found], node[found]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+    @staticmethod
+    def _sums(word: np.ndarray, end: np.ndarray, length: np.ndarray, logs: np.ndarray, base: np.ndarray, longest: int) -> np.ndarray:
+        """Log sums over the segmentations of each beginning of each word: row ``base[w] + j`` is for the first j bytes of word w.
+
+        Words are numbered by falling length, so those that have a byte j are the first ones; each has a match that ends there.
+        """
+        order = np.lexsort((word, end))
+        word, end, length, logs = word[order], end[order], length[order], logs[order]
+        source, target = base[word] + end - length, base[word] + end
+        cuts = np.searchsorted(end, np.arange(1, longest + 2))
+        out = np.zeros((int(base[-1]) if len(base) else 0, logs.shape[1]))
+        first = np.flatnonzero(_starts(target))
+        heads = np.searchsorted(first, cuts)
+        for j in range(longest):
+            lo, hi = cuts[j], cuts[j + 1]
+            x = out[source[lo:hi]] + logs[lo:hi]
+            at = first[heads[j] : heads[j + 1]] - lo
+            most = np.maximum.reduceat(x, at, axis=0)
+            times = np.diff(np.append(at, hi - lo))
+            out[target[lo + at]] = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, times, axis=0)), at, axis=0))
         return out
 
-    def forward(self, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """alpha[j] (words x languages) is the summed probability of the first j bytes; p has a row for each id."""
-        n, width, longest = ids.shape
-        alpha = np.zeros((width + 1, n, p.shape[1]))
-        alpha[0] = 1
-        for j in range(1, width + 1):
-            for k in range(min(longest, j)):
-                alpha[j] += alpha[j - k - 1] * p[ids[:, j - k - 1, k]]
-        return alpha
-
-    def expected(self, ids: np.ndarray, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over words with ``counts``, for one language."""
-        n, width, longest = ids.shape
-        alpha, beta = self.forward(ids, p[:, None])[:, :, 0], np.zeros((width + 1, n))
-        beta[width] = 1
-        for i in range(width - 1, -1, -1):
-            for k in range(min(longest, width - i)):
-                beta[i] += p[ids[:, i, k]] * beta[i + k + 1]
-        out, scale = np.zeros(self.size + 2), counts / np.maximum(alpha[width], 1e-300)
-        for i in range(width):
-            for k in range(min(longest, width - i)):
-                out += np.bincount(ids[:, i, k], alpha[i] * p[ids[:, i, k]] * beta[i + k + 1] * scale, self.size + 2)
-        return out
+    def _lattice(self, data: np.ndarray, widths: np.ndarray):
+        """Word, start in the word, length and id of all pieces of words of falling ``widths`` that stand one after another in ``data``."""
+        last = np.cumsum(widths)
+        start, length, piece = self.matches(data, np.repeat(last, widths))
+        word = np.searchsorted(last, start, "right")
+        return word, start - (last - widths)[word], length, piece, np.concatenate([[0], np.cumsum(widths + 1)])
+
+    def forward(self, data: np.ndarray, widths: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """The log probability (words x languages) of each word, summed over all its segmentations; ``logp`` has a row for each id."""
+        word, start, length, piece, base = self._lattice(data, widths)
+        return self._sums(word, start + length, length, logp[piece], base, int(widths[0]))[base[:-1] + widths]
+
+    def forward_giant(self, data: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """The same for a single word of any length, which is walked in blocks with the sums of the last ``longest`` bytes."""
+        held = np.zeros((1, logp.shape[1]))  # the sums at the last bytes before the block, the nearest last
+        for lo in range(0, len(data), 4096):
+            hi, early = min(len(data), lo + 4096), lo - len(held) + 1
+            start, length, piece = self.matches(data[early:hi], np.full(hi - early, hi - early))
+            new = start + length > lo - early
+            start, length, piece = start[new], length[new], piece[new]
+            order = np.argsort(start + length, kind="stable")
+            source, logs = start[order], logp[piece[order]]
+            cuts = np.searchsorted((start + length)[order], np.arange(lo - early + 1, hi - early + 2))
+            out = np.concatenate([held, np.zeros((hi - lo, logp.shape[1]))])
+            for j in range(hi - lo):
+                x = out[source[cuts[j] : cuts[j + 1]]] + logs[cuts[j] : cuts[j + 1]]
+                most = x.max(axis=0)
+                out[len(held) + j] = most + np.log(np.exp(x - most).sum(axis=0))
+            held = out[-self.longest :]
+        return held[-1]
+
+    def expected(self, data: np.ndarray, widths: np.ndarray, logp: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over words with ``counts``, for one language (``logp`` has one column)."""
+        word, start, length, piece, base = self._lattice(data, widths)
+        logs, end = logp[piece], start + length
+        ahead = self._sums(word, end, length, logs, base, int(widths[0]))[:, 0]
+        back = self._sums(word, widths[word] - start, length, logs, base, int(widths[0]))[:, 0]  # the words read backwards
+        share = ahead[base[word] + start] + logs[:, 0] + back[base[word] + widths[word] - end] - ahead[base[word] + widths[word]]
+        return np.bincount(piece, np.exp(share) * counts[word], self.size + 1)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    return first
 
 
 def _letters() -> np.ndarray:
@@ -103,61 +168,116 @@ def _letters() -> np.ndarray:
     return lut
 
 
-def _runs(part: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word or part of a long word."""
-    starts, ends, rows = tb.words(part, offsets, _letters())
-    pieces = np.maximum(1, -(-(ends - starts) // LONGEST))
-    if len(pieces) and pieces.max() > 1:
-        inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        last = np.repeat(ends, pieces)
-        starts, rows = np.repeat(starts, pieces) + inner * LONGEST, np.repeat(rows, pieces)
-        ends = np.minimum(starts + LONGEST, last)
-    return starts, ends, rows
-
-
-def _distinct(part: np.ndarray, offsets: np.ndarray):
-    """Distinct words of a slice by length, as (positions among the distinct, bytes with a leading space), each word's index and row."""
-    starts, ends, rows = _runs(part, offsets)
-    _, first, index = np.unique(tb.word_hashes(part, starts, ends), return_index=True, return_inverse=True)
-    s, length = starts[first], (ends - starts)[first]
-    groups = []
-    for n in np.unique(length):
-        at = np.flatnonzero(length == n)
-        groups.append((at, np.concatenate([np.full((len(at), 1), 0x20, np.uint8), part[s[at][:, None] + np.arange(n)]], axis=1)))
-    return groups, len(first), index, rows
+def pieces_of(data: np.ndarray, offsets: np.ndarray, most: int = _SLICE) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``most`` bytes, cut between words or rows; only a longer word makes a longer range, which is then that word alone."""
+    member, at, n = _letters(), int(offsets[0]) if len(offsets) else 0, int(offsets[-1]) if len(offsets) else 0
+    while at < n:
+        end = min(n, at + most)
+        if end < n:
+            gaps = np.flatnonzero(~member[data[at:end]])
+            row = int(offsets[np.searchsorted(offsets, end, "right") - 1])
+            end = max(at + int(gaps[-1]) + 1 if len(gaps) else at, row)
+            if end <= at:  # one word fills the range
+                stop = int(offsets[np.searchsorted(offsets, at, "right")])
+                end = at + most
+                while end < stop and member[data[end]]:
+                    more = np.flatnonzero(~member[data[end : min(stop, end + most)]])
+                    end = end + int(more[0]) if len(more) else min(stop, end + most)
+        yield at, end
+        at = end
+
+
+def _part(data: np.ndarray, offsets: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The lower-cased bytes of a range, the offsets of the rows in it, and its first row."""
+    lo, hi = int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
+    return tb.lower_table()[data[at:end]], np.clip(offsets[lo : hi + 1], at, end) - at, lo
+
+
+def _spaced(part: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The words one after another, each after a space."""
+    out = np.full(int((lengths + 1).sum()), 0x20, np.uint8)
+    ends = np.cumsum(lengths)
+    source = np.repeat(starts - ends + lengths, lengths) + np.arange(int(lengths.sum()))
+    out[np.arange(len(source)) + np.repeat(np.arange(len(lengths)), lengths) + 1] = part[source]
+    return out
+
+
+class Scorer:
+    """Log probabilities of the words of whole texts in each language. Verdicts on words are kept between slices while they are few."""
+
+    def __init__(self, seg: Segmenter, logp: np.ndarray):
+        self.seg, self.logp = seg, logp
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.logs = np.zeros(0, np.uint64), np.zeros((0, self.logp.shape[1]))
+
+    def _learn(self, part: np.ndarray, keys: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        if len(self.keys) > _KNOWN:
+            self._forget()
+        new = np.zeros((len(keys), self.logp.shape[1]))
+        order = np.argsort(-lengths, kind="stable")
+        for k in np.flatnonzero(lengths >= _GIANT):
+            new[k] = self.seg.forward_giant(np.concatenate([[np.uint8(0x20)], part[starts[k] : starts[k] + lengths[k]]]), self.logp)
+        order = order[lengths[order] < _GIANT]
+        for lo, hi in tb.chunks(np.concatenate([[0], np.cumsum(lengths[order])]), 1 << 17):
+            at = order[lo:hi]
+            new[at] = self.seg.forward(_spaced(part, starts[at], lengths[at]), lengths[at] + 1, self.logp)
+        keys, logs = np.concatenate([self.keys, keys]), np.concatenate([self.logs, new])
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], logs[order]
+
+    def __call__(self, part: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows x languages: the summed logarithms of the words of each row."""
+        starts, ends, rows = tb.words(part, offsets, _letters())
+        if not len(starts):
+            return np.zeros((len(offsets) - 1, self.logp.shape[1]))
+        keys, first, index = np.unique(tb.word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            if len(self.keys) > _KNOWN:
+                new[:] = True
+            self._learn(part, keys[new], starts[first[new]], (ends - starts)[first[new]])
+        logs = self.logs[np.searchsorted(self.keys, keys)][index]
+        return np.stack([np.bincount(rows, logs[:, x], len(offsets) - 1) for x in range(logs.shape[1])], axis=1)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lower = tb.lower_table()
     for b in batches:
         langs = b.column(0).dictionary_encode()
         codes, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
         data, offsets = tb.flat(b.column(1))
-        for lo, hi in tb.chunks(offsets, 4 << 20):
-            groups, n, index, rows = _distinct(lower[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo])
-            if not n:
+        for at, end in pieces_of(data, offsets):
+            part, local, row = _part(data, offsets, at, end)
+            starts, ends, rows = tb.words(part, local, _letters())
+            if not len(starts):
                 continue
-            by = np.bincount(codes[lo:hi][rows] * n + index, minlength=len(names) * n).reshape(len(names), n)
-            for at, words in groups:
-                for code in range(len(names)):
-                    got = np.flatnonzero(by[code, at])
-                    if len(got):
-                        raw = [w.tobytes() for w in words[got]]
-                        yield pa.RecordBatch.from_arrays([pa.array([names[code]] * len(got)), pa.array(raw, pa.binary()), pa.array(by[code, at[got]].astype(np.int64))], names=["lang", "word", "n"])
+            _, first, index = np.unique(tb.word_hashes(part, starts, ends), return_index=True, return_inverse=True)
+            both, times = np.unique(codes[row + rows].astype(np.int64) * len(first) + index, return_counts=True)
+            code, word = both // len(first), first[both % len(first)]
+            raw = [part[s:e].tobytes() for s, e in zip(starts[word].tolist(), ends[word].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in code]), pa.array(raw, pa.binary()), pa.array(times.astype(np.int64))], names=["lang", "word", "n"])
 
 
 def _expect(pieces: list[bytes], model: dict[str, np.ndarray]):
-    def expect(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(pieces)
         sums: dict[str, np.ndarray] = {}
-        for pdf in frames:
-            for (lang, _), part in pdf.groupby([pdf["lang"], pdf["word"].str.len()]):
-                words = np.stack([np.frombuffer(w, np.uint8) for w in part["word"]])
-                got = seg.expected(seg.ids(words), model[lang], part["n"].to_numpy(float))
-                sums[lang] = sums.get(lang, 0) + got
+        for b in batches:
+            langs, counts = np.array(b.column(0).to_pylist(), object), b.column(2).to_numpy().astype(float)
+            part, offsets = tb.flat(b.column(1))
+            lengths = np.diff(offsets)
+            for lang in set(langs):
+                mine = np.flatnonzero(langs == lang)
+                mine = mine[np.argsort(-lengths[mine], kind="stable")]
+                for lo, hi in tb.chunks(np.concatenate([[0], np.cumsum(lengths[mine])]), 1 << 17):
+                    at = mine[lo:hi]
+                    got = seg.expected(_spaced(part, offsets[at], lengths[at]), lengths[at] + 1, np.log(model[lang])[:, None], counts[at])
+                    sums[lang] = sums.get(lang, 0) + got
         for lang, got in sums.items():
             some = np.flatnonzero(got[: seg.size])
-            yield pd.DataFrame({"lang": lang, "piece": some, "n": got[some]})
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(got[some])], names=["lang", "piece", "n"])
 
     return expect
 
@@ -173,45 +293,35 @@ def train(labelled: DataFrame, pieces: list[bytes], per_language: int = 2000, ro
     share = labelled.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
     chosen = labelled.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))  # one row for each language
     table = staged(chosen.select("lang", "text").mapInArrow(_count_words, _WORDS).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    model = {r[0]: np.full(len(pieces) + 2, 1.0 / len(pieces)) for r in table.select("lang").distinct().collect()}
-    for p in model.values():
-        p[-2:] = 0, _FLOOR
+    model = {r[0]: np.append(np.full(len(pieces), 1.0 / len(pieces)), _FLOOR) for r in table.select("lang").distinct().collect()}
     for _ in range(rounds):
-        got = table.mapInPandas(_expect(pieces, model), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        got = table.mapInArrow(_expect(pieces, model), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         for lang, part in got.groupby("lang"):
-            p = np.full(len(pieces) + 2, 0.02)
+            p = np.full(len(pieces), 0.02)
             p[part["piece"].to_numpy()] += part["n"].to_numpy()
-            model[lang] = p / p[:-2].sum()
-            model[lang][-2:] = 0, _FLOOR
+            model[lang] = np.append(p / p.sum(), _FLOOR)
     return model
 
 
 def _scorer(pieces: list[bytes], model: dict[str, np.ndarray]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg, lower, names = Segmenter(pieces), tb.lower_table(), sorted(model)
-        p = np.stack([model[x] for x in names], axis=1) if names else np.zeros((len(pieces) + 2, 0))
+        names = sorted(model)
+        scorer = Scorer(Segmenter(pieces), np.log(np.stack([model[x] for x in names], axis=1))) if names else None
         ascii_letters = _letters()
         ascii_letters[0x80:] = False
         for b in batches:
-            data, offsets = tb.flat(b.column(2))
-            best, sure = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
-            for lo, hi in tb.chunks(offsets, 4 << 20):
-                part = lower[data[offsets[lo] : offsets[hi]]]
-                groups, n, index, rows = _distinct(part, offsets[lo : hi + 1] - offsets[lo])
-                logs = np.zeros((n, len(names)))
-                for at, words in groups:
-                    for k in range(0, len(at), 1 << 14):
-                        logs[at[k : k + (1 << 14)]] = np.log(np.maximum(seg.forward(seg.ids(words[k : k + (1 << 14)]), p)[-1], 1e-300))
-                if not names:
-                    continue
-                total = np.stack([np.bincount(rows, logs[index, x], hi - lo) for x in range(len(names))], axis=1)
-                best[lo:hi] = total.argmax(axis=1)
-                sure[lo:hi] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            mark = np.concatenate([[0], np.cumsum(ascii_letters[data])])
-            letter = mark[offsets[1:]] > mark[offsets[:-1]]
-            for i in np.flatnonzero(~letter):
-                letter[i] = any(map(str.isalpha, b.column(2)[int(i)].as_py() or ""))
-            letter &= bool(names)
+            texts = b.column(2)
+            data, offsets = tb.flat(texts)
+            total, letter = np.zeros((b.num_rows, len(names))), np.zeros(b.num_rows, bool)
+            for at, end in pieces_of(data, offsets) if names else ():
+                part, local, row = _part(data, offsets, at, end)
+                total[row : row + len(local) - 1] += scorer(part, local)
+                seen = np.concatenate([[0], np.cumsum(ascii_letters[part])])
+                letter[row : row + len(local) - 1] |= seen[local[1:]] > seen[local[:-1]]
+            for i in np.flatnonzero(~letter) if names else ():
+                letter[i] = any(map(str.isalpha, texts[int(i)].as_py() or ""))
+            best = total.argmax(axis=1) if names else np.zeros(b.num_rows, int)
+            sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1) if names else np.zeros(b.num_rows)
             pred = [names[x] if ok else "und" for x, ok in zip(best, letter, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(np.where(letter, sure, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
 

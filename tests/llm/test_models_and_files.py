@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -21,12 +22,8 @@ from tests.llm import helpers as H
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def test_forward_sums_all_segmentations():
-    pieces = [b" ", b" a", b"a", b"b", b"ab", b"ba", b"aba"]
-    seg = language_id.Segmenter(pieces)
-    p = np.append(np.linspace(0.05, 0.3, len(pieces)), [0, 1e-8])
-    word = b" abab"
-    ids = seg.ids(np.frombuffer(word, np.uint8)[None])
+def all_segmentations(word, pieces, p):
+    """(summed probability, expected uses of each piece times that sum), over all segmentations."""
     total, used = 0.0, np.zeros(len(pieces))
     for cuts in itertools.product([0, 1], repeat=len(word) - 1):
         edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(word)]
@@ -36,8 +33,52 @@ def test_forward_sums_all_segmentations():
             total += q
             for x in parts:
                 used[pieces.index(x)] += q
-    assert seg.forward(ids, p[:, None])[-1, 0, 0] == pytest.approx(total)
-    assert seg.expected(ids, p, np.array([2.0]))[: len(pieces)] == pytest.approx(2 * used / total)
+    return total, used
+
+
+def test_forward_sums_all_segmentations():
+    pieces = [b" ", b" a", b"a", b"b", b"ab", b"ba", b"aba"]
+    seg = language_id.Segmenter(pieces)
+    p = np.append(np.linspace(0.05, 0.3, len(pieces)), 1e-8)
+    words = [b" abab", b" bab", b" a"]
+    data, widths = np.frombuffer(b"".join(words), np.uint8), np.array([5, 4, 2])
+    got, used = seg.forward(data, widths, np.log(p)[:, None]), seg.expected(data, widths, np.log(p)[:, None], np.array([2.0, 1.0, 3.0]))
+    want = [all_segmentations(w, pieces, p) for w in words]
+    assert np.exp(got[:, 0]) == pytest.approx([t for t, _ in want])
+    assert used[: len(pieces)] == pytest.approx(sum(n * u / t for n, (t, u) in zip((2, 1, 3), want, strict=True)))
+
+
+def test_long_words_are_summed_without_cuts():
+    """A word of 200 bytes, and one longer than a block, against the plain recursion in big floats."""
+    pieces = language_id.vocabulary()
+    assert max(map(len, pieces)) > 12  # no piece is left out
+    seg, rng = language_id.Segmenter(pieces), np.random.default_rng(3)
+    p = rng.random((len(pieces) + 1, 2)) / len(pieces)
+    p[-1] = 1e-8
+    known = {x: i for i, x in enumerate(pieces)}
+    for word in (b" " + b"unbelievably" * 17, ("é中文字dieses" * 700).encode()):
+        alpha = [np.zeros(2)]
+        for j in range(1, len(word) + 1):
+            x = [alpha[i] + np.log(p[known.get(word[i:j], -1)]) for i in range(max(0, j - seg.longest), j) if word[i:j] in known or i == j - 1]
+            alpha.append(np.logaddexp.reduce(x, axis=0))
+        data = np.frombuffer(word, np.uint8)
+        assert seg.forward(data, np.array([len(word)]), np.log(p))[0] == pytest.approx(alpha[-1])
+        assert seg.forward_giant(data, np.log(p)) == pytest.approx(alpha[-1])
+
+
+def test_slices_of_texts_do_not_change_scores(monkeypatch):
+    pieces = language_id.vocabulary()
+    model = {x: np.append(np.random.default_rng(k).random(len(pieces)), 1e-8) for k, x in enumerate(("a", "b"))}
+    texts = ["some words here", None, "", "x" * 500 + " y", "12 34", "längere wörter " * 200, "中" * 300, "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], names=["doc_id", "held_out", "text"])
+    whole = next(language_id._scorer(pieces, model)(iter([batch]))).to_pylist()
+    pieces_of = language_id.pieces_of
+    monkeypatch.setattr(language_id, "pieces_of", lambda d, o: pieces_of(d, o, 40))
+    monkeypatch.setattr(language_id, "_KNOWN", 3)
+    monkeypatch.setattr(language_id, "_GIANT", 100)
+    cut = next(language_id._scorer(pieces, model)(iter([batch]))).to_pylist()
+    assert [r["lang_pred"] for r in cut] == [r["lang_pred"] for r in whole]
+    assert [r["score"] for r in cut] == pytest.approx([r["score"] for r in whole])
 
 
 def test_language_id(spark):
