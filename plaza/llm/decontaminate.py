@@ -7,129 +7,139 @@ corpus, and as containment must be full, the necessary prefix is the one rarest
 lacks it cannot contain the window. A candidate passes the positional and length bounds (the window must start at or
 after the first word and end within the text) and is then verified word by word.
 
-The benchmark side is broadcast only while its row count is at most ``broadcast_rows`` (a bound on bytes, as a row has
-``window`` words); beyond it the same join is shuffled.
+Texts are parsed once (``scan``): of all positions of a text only those stay whose shingle stands in the benchmark, each
+with the words around it that a window through it can have, and one row that carries the number of words. Rarity, the
+join by the prefix and the check all work on this small table.
+
+The scan holds the benchmark's shingle hashes as a broadcast table of ``keys_per_scan`` numbers of 8 bytes at most; a benchmark
+with more is scanned for in that many blocks, each against all texts. No other side is broadcast by hint.
 
 Cases: a null or empty text has no words, so it is never contaminated and a null item has no windows; repeated documents
 are judged alike and each row is returned; repeated items with one id count once; an empty benchmark contaminates
-nothing; very long texts are exploded to one row a word, so no task holds more than it reads; other columns are ignored.
+nothing; very long texts are exploded to one row a word, so no task holds more than it reads; other columns stay as they are, and
+those of ``contamination``'s own names (n_words, n_hit, item_ids) are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plaza.llm.shared import staged
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_DOCUMENT = 0  # the key of the row that a document has for itself
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, with A to Z lower-cased; none for null."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def item_windows(items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
-    """Distinct windows (item_id, words, length, size, shingles); ``size`` is the words in a shingle, fewer for short windows."""
+def item_windows(items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
+    """(item_id, length, words, size, shingles) of each window of ``items`` (item_id, text).
+
+    ``shingles`` are (at, key); ``size`` is the words in a shingle, fewer for short windows.
+    """
     w = items.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("length", F.least(F.lit(window), F.size("w")))
     w = w.select("item_id", "length", F.explode(F.expr("transform(sequence(0, size(w) - length), i -> slice(w, i + 1, length))")).alias("words")).distinct()
     w = w.withColumn("size", F.least(F.lit(shingle), F.col("length")))
-    keys = "transform(sequence(0, length - size), i -> struct(i as at, xxhash64(array_join(slice(words, i + 1, size), ' ')) as key))"
-    return w.withColumn("shingles", F.expr(keys))
-
-
-def document_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row for each shingle of each document: its key, its position and the words of the whole text.
-
-    The word array is carried by reference and is not copied before a join keeps the row.
-    """
-    parts = []
-    for size in sizes:
-        shifted = [f"slice(words, {j + 1}, n_words)" for j in range(size)]
-        zipped = F.expr(f"arrays_zip({', '.join(shifted)})")
-        flat = docs.where(f"n_words >= {size}").select("*", F.posexplode(zipped).alias("pos", "s")).where(f"pos <= n_words - {size}")
-        key = F.xxhash64(F.concat_ws(" ", *[F.col("s").getField(str(j)) for j in range(size)]))
-        parts.append(flat.withColumn("key", key).withColumn("size", F.lit(size)).drop("s"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
+    # The key of a shingle hashes its words one after another, and the number of them tells shorter ones apart.
+    keys = [f"WHEN {k} THEN xxhash64({', '.join(f'words[i + {j}]' for j in range(k))})" for k in range(1, shingle + 1)]
+    return w.withColumn("shingles", F.expr(f"transform(sequence(0, length - size), i -> struct(i as at, CASE size {' '.join(keys)} END as key))"))
 
-def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
 
+def scan(docs: DataFrame, keys: DataFrame, sizes: list[int], window: int, n_keys: int, keys_per_scan: int = 4_000_000) -> DataFrame:
+    """(doc, n_words, size, pos, key, first, near) of ``docs`` (doc, words): the shingles of ``sizes`` words whose key is in ``keys`` (key).
 
-def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
-    """All verified occurrences (the key columns of ``docs``, item_id, start, length) of item windows in ``docs``.
-
-    ``docs`` has key columns besides words (array) and n_words.
+    ``near`` are the words from place ``first`` on that a window through the shingle can have. A row with pos = n_words and
+    without a key stands for the document itself.
     """
-    keys = [c for c in docs.columns if c not in ("words", "n_words")]
+    blocks, out = max(1, -(-n_keys // keys_per_scan)), []
+    n, pos = F.col("n_words"), F.col("pos")
+    at = docs.withColumn("n_words", F.size("words")).select("*", F.explode(F.sequence(F.lit(0), n)).alias("pos"))
+    for block in range(blocks):
+        known = keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)
+        for size in sizes:
+            hashed = F.when(pos <= n - size, F.xxhash64(*[F.col("words")[pos + j] for j in range(size)]))
+            if not out:  # one of the scans has a row for each document
+                hashed = hashed.when(pos == n, F.lit(_DOCUMENT))
+                known = known.union(keys.sparkSession.range(1).select(F.lit(_DOCUMENT).alias("key"))).distinct()
+            found = at.withColumn("key", hashed).join(F.broadcast(known), "key", "left_semi")
+            whole, first = pos == n, F.greatest(pos - (window - size), F.lit(0))
+            near = F.when(~whole, F.slice("words", first + 1, F.lit(2 * window - size)))
+            out.append(found.select("doc", "n_words", F.lit(size).alias("size"), "pos", F.when(~whole, F.col("key")).alias("key"), first.alias("first"), near.alias("near")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def find_windows(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, keys_per_scan: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc, n_words) of ``docs`` (doc, words), and all occurrences (doc, item_id, start, length) of item windows in them."""
     windows = staged(item_windows(items, window, shingle), "windows")
     flat = windows.select(F.monotonically_increasing_id().alias("window_id"), "*")
     flat = staged(flat.select("window_id", "item_id", F.col("words").alias("item_words"), "length", "size", F.explode("shingles").alias("x")).select("*", "x.at", "x.key").drop("x"), "shingles")
-    n = flat.count()
-    sizes = sorted(r[0] for r in flat.select("size").distinct().collect()) or [shingle]  # at most ``shingle`` values
+    keys = flat.select("key").distinct()
+    sizes = sorted((r[0] for r in flat.select("size").distinct().collect()), reverse=True) or [shingle]  # at most ``shingle`` values
+    scanned = staged(scan(docs, keys, sizes, window, keys.count(), keys_per_scan), "scanned")
+    hits = scanned.where("key is not null")
     # Rarity: how often each shingle of the benchmark occurs in the whole corpus.
-    known = flat.select("key", "size").distinct()
-    seen = document_shingles(docs.select("words", "n_words"), sizes).select("key", "size")
-    rarity = seen.join(_sized(known, n, broadcast_rows), ["key", "size"]).groupBy("key", "size").agg(F.count("*").alias("rarity"))
+    rarity = hits.groupBy("key", "size").agg(F.count("*").alias("rarity"))
     ordered = Window.partitionBy("window_id").orderBy("rarity", "key", "at")
     prefix = flat.join(rarity, ["key", "size"], "left").withColumn("rarity", F.coalesce("rarity", F.lit(0)))
     # A window with a shingle that never occurs cannot occur either.
-    prefix = prefix.withColumn("rank", F.row_number().over(ordered)).where("rank = 1 and rarity > 0").drop("rank", "rarity", "window_id")
-    prefix = staged(prefix, "prefix")
-    n = prefix.count()
-    out = None
-    for size in sizes:
-        found = _verified(docs, prefix.where(F.col("size") == size), size, keys, n <= broadcast_rows)
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    prefix = staged(prefix.withColumn("rank", F.row_number().over(ordered)).where("rank = 1 and rarity > 0").select("key", "size", "item_id", "item_words", "length", "at"), "prefix")
+    near = hits.join(prefix, ["key", "size"]).withColumn("start", F.col("pos") - F.col("at")).where("start >= 0 and start + length <= n_words")
+    found = near.where(F.expr("slice(near, start - first + 1, length) = item_words")).select("doc", "item_id", "start", "length")
+    return scanned.where("key is null").select("doc", "n_words"), found.distinct()
 
 
-def _verified(docs: DataFrame, prefix: DataFrame, size: int, keys: list[str], small: bool) -> DataFrame:
-    """Occurrences of the windows of ``prefix``, whose shingles have ``size`` words.
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc, n_words) of ``docs`` (doc, text), and (doc, n_hit, item_ids) of those that hold a window of ``items``."""
+    rows, found = find_windows(docs.select("doc", words_of(F.col("text")).alias("words")), items, window)
+    found = staged(found, "found")
+    spans = found.select("doc", "start", "length").distinct()
+    hit = spans.select("doc", F.explode(F.expr("sequence(start, start + length - 1)")).alias("p")).distinct().groupBy("doc").agg(F.count("*").alias("n_hit"))
+    named = found.select("doc", F.col("item_id").cast("string").alias("item_id")).distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    return rows, hit.join(named, "doc")
 
-    With a small prefix the join is broadcast and runs in one stage with the shingles before and the check after it, so the words of the text
-    are never copied. With a large one, positions alone are shuffled, and the few candidates meet the words again.
-    """
-    bounds = "start >= 0 and start + length <= n_words"
-    check = F.expr("slice(words, start + 1, length) = item_words")
-    if small:
-        near = document_shingles(docs, [size]).join(F.broadcast(prefix), ["key", "size"]).withColumn("start", F.col("pos") - F.col("at"))
-        return near.where(bounds).where(check).select(*keys, "item_id", "start", "length")
-    flat = document_shingles(docs, [size]).drop("words")
-    near = flat.join(prefix, ["key", "size"]).withColumn("start", F.col("pos") - F.col("at")).where(bounds).select(*keys, "item_id", "item_words", "start", "length").distinct()
-    texts = docs.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "words")
-    same = [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys]
-    return near.join(texts, same).where(check).select(*keys, "item_id", "start", "length")
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What rows have in common that are judged alike: the id and the text."""
+    return F.struct(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text and any more columns), with n_words, n_hit and the sorted item_ids added."""
-    keyed = docs.withColumn("_words", words_of(F.col("text"))).withColumn("n_words", F.size("_words").cast("long"))
-    key = F.xxhash64("doc_id", "text")
-    found = staged(find_windows(keyed.select(F.col("doc_id").alias("_doc"), key.alias("_key"), F.col("_words").alias("words"), "n_words"), items, window), "found")
-    doc = ["_doc", "_key"]
-    hit = found.select(*doc, F.explode(F.expr("sequence(start, start + length - 1)")).alias("p")).distinct().groupBy(*doc).agg(F.count("*").alias("n_hit"))
-    named = found.select(*doc, "item_id").distinct().groupBy(*doc).agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
-    result = hit.join(named, (hit["_key"] == named["_key"]) & hit["_doc"].eqNullSafe(named["_doc"])).select(hit["_doc"], hit["_key"], "n_hit", "item_ids")
-    base = keyed.withColumn("_k", key).drop("_words")
-    out = base.join(result, (base["_k"] == result["_key"]) & base["doc_id"].eqNullSafe(result["_doc"]), "left").drop("_doc", "_key", "_k")
-    out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
-    return out.withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+    plain = docs.drop("n_words", "n_hit", "item_ids")
+    held = plain.select(F.struct(*[plain[c] for c in plain.columns]).alias("held"))
+    doc = row_key(F.col("held.doc_id"), F.col("held.text"))
+    rows, result = contaminated(held.select(doc.alias("doc"), F.col("held.text").alias("text")), items, window)
+    result = rows.distinct().join(result, "doc", "left")
+    out = held.withColumn("doc", doc).join(result, "doc")
+    n_hit, item_ids = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("item_ids", F.array().cast("array<string>"))
+    return out.select("held.*", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), item_ids.alias("item_ids"))
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any more columns), with all their columns, that hold no window of ``items``."""
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("held"))
+    doc = row_key(F.col("held.doc_id"), F.col("held.text"))
+    _, result = contaminated(held.select(doc.alias("doc"), F.col("held.text").alias("text")), items, window)
+    return held.withColumn("doc", doc).join(result, "doc", "left_anti").select("held.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
-    ids = F.sha2(F.array_join("item_ids", ","), 256)
-    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(row_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
+    rows, result = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    out = rows.join(result, "doc", "left")
+    ids, n_hit = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    return out.select(
+        "doc.doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+    )
 
 
 _WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -54,24 +54,30 @@ def test_components(spark):
 
 def test_decontamination(spark, texts, docs):
     long_item = " ".join(H.words(texts[4])[3:25])
-    items = [(1, long_item), (2, "two words"), (3, None), (4, ""), (5, " ".join(H.words(texts[6])[:12])), (5, " ".join(H.words(texts[6])[:12])), (30, "not in any text at all " * 3)]
-    got = rows(decontaminate.contamination(docs.drop("n_words", "n_hit"), spark.createDataFrame(items, "item_id int, text string")), "doc_id", "n_words", "n_hit", "item_ids")
+    items = [(1, long_item), (2, "two words"), (3, None), (4, ""), (5, " ".join(H.words(texts[6])[:12])), (5, " ".join(H.words(texts[6])[:12])), (6, "ONE"), (7, " ".join(H.words(texts[7])[5:12])), (30, "not in any text at all " * 3)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    clash = docs.withColumns({c: F.lit("x") for c in ("doc", "key", "words", "pos", "size", "held", "start", "length", "item_ids", "n_keys", "copies", "_words", "_key", "_doc")})
+    out = decontaminate.contamination(clash, bench)
+    got = rows(out, "doc_id", "n_words", "n_hit", "item_ids")
     want = H.contamination(texts, items)
     assert got == {d: (n, h, sorted(map(str, i))) for d, (n, h, i) in want.items()}
-    assert got[4][1] >= 22 and got[1004][1] == 2
+    assert got[4][1] >= 22 and got[1004][1] == 2 and out.where("doc <> 'x' or _key <> 'x' or rep <> 'x'").count() == 0
+    kept = decontaminate.without_contaminated(clash, bench)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == {d for d, x in want.items() if not x[1]}
     none = decontaminate.contamination(docs.select("doc_id", "text"), spark.createDataFrame([], "item_id int, text string"))
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(texts)
-    assert decontaminate.contamination(docs.select("doc_id", "text").limit(0), spark.createDataFrame(items, "item_id int, text string")).count() == 0
+    assert decontaminate.contamination(docs.select("doc_id", "text").limit(0), bench).count() == 0
 
 
-def test_decontamination_shuffled_and_repeated(spark, texts):
-    twice = spark.createDataFrame([(1, texts[4]), (1, texts[4]), (None, texts[4])], "doc_id bigint, text string")
-    items = spark.createDataFrame([(9, " ".join(H.words(texts[4])[:15]))], "item_id int, text string")
+def test_decontamination_in_blocks_and_repeated(spark, texts):
+    twice = spark.createDataFrame([(1, texts[4]), (1, texts[4]), (None, texts[4]), (1, "another text of the same id")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(9, " ".join(H.words(texts[4])[:15])), (10, "same id")], "item_id int, text string")
     got = decontaminate.contamination(twice, items)
-    assert [r.n_hit >= 15 for r in got.collect()] == [True] * 3
-    keyed = twice.select("doc_id", decontaminate.words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
-    a = decontaminate.find_windows(keyed, items, broadcast_rows=0).where("doc_id = 1").count()
-    assert a == decontaminate.find_windows(keyed, items).where("doc_id = 1").count() > 0
+    assert sorted(r.n_hit for r in got.collect()) == [2, 15, 15, 15]
+    assert decontaminate.without_contaminated(twice, items).count() == 0
+    keyed = twice.where("text is not null").select(F.struct("doc_id", F.length("text").alias("key")).alias("doc"), decontaminate.words_of(F.col("text")).alias("words"))
+    a = {tuple(r) for r in decontaminate.find_windows(keyed, items, keys_per_scan=3)[1].collect()}
+    assert a == {tuple(r) for r in decontaminate.find_windows(keyed, items)[1].collect()} and len(a) == 2 * 6 + 1
 
 
 def test_near_duplicates(docs, texts):
