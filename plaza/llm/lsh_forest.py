@@ -1,24 +1,32 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Documents are sets of shingles of five words (ASCII lower-cased runs of letters, digits and non-ASCII characters). Equal
-sets are first collapsed to one representative. Each of ``trees`` prefix tries holds the representatives sorted by their
-own MinHash values; two documents are candidates if some trie has them under one node of depth k. The depth starts at
-``depth`` and is shortened until documents of the wanted similarity meet with probability ``recall`` in at least one trie:
-``1 - (1 - s**k)**trees``. Trie nodes are stored as hashes of their prefix, so matching is a shuffle by node, and each node
-is represented by its smallest member, not by its pairs.
+sets are first collapsed to one set with an id. Then:
 
-The nodes chain candidates into groups, and every pair of a group is verified exactly, on shingle sets: a group is cut
-into blocks of bounded size and each pair of blocks is one cell, whose intersections come from a few matrix products
-(frequent shingles) and pair counts (rare ones). A cell returns a row for each of its documents (number of links, root of
-its links), never the pairs, so results stay linear while no link is left out.
+1. Forest. Each of ``trees`` prefix tries holds the sets sorted by ``depth`` MinHash values of their own. A prefix is
+   shortened, from ``depth`` values down, for a set only until sets at the wanted similarity meet it with probability
+   ``recall`` in at least one trie: ``1 - (1 - s**k)**trees``, where s is the least similarity that a set of its
+   size can have with another one and still be linked (``shortest_prefixes``; a set of up to three shingles has no such
+   partner at all). The forest is walked from long prefixes to short ones, and a node in which all sets belong to one
+   group already is not walked any further.
+2. Sketches. Candidates are verified before anything is grouped: a sketch of 512 bits (one bit of each of 512 MinHash
+   values) tells the similarity to within 0.03, and pairs under ``similarity - slack`` are no links; the margin is six standard deviations.
+   First every set meets the first set of each of its nodes; sets linked this way are one group already. Nodes
+   that still hold several groups are walked as sorted tries (``_walk``): from the longest shared prefix
+   to the shorter ones, and sets of different groups alone are compared.
+3. Exact check. Groups of sketch-verified links are small; all pairs of a group are checked on the shingle sets. A group is cut
+   into blocks of bounded size and each pair of blocks is one cell, whose intersections come from a few matrix products
+   (frequent shingles) and pair counts (rare ones). A cell returns a row for each of its sets (number of links, root of
+   its links), never the pairs, so results stay linear while no link is left out.
 
-The result has a row for each document: ``class_id`` (the smallest doc_id that it is linked to, over any number of links),
-``n_links`` (other documents at the wanted similarity or above, equal ones included), ``n_texts`` (such different texts)
-and ``n_copies`` (documents of an equal set, itself included).
+The result has a row for each row of the input: ``class_id`` (the smallest doc_id that it is linked to, over any number of
+links), ``n_links`` (other documents at the wanted similarity or above, equal ones included), ``n_texts`` (such different
+texts) and ``n_copies`` (documents of an equal set, itself included).
 
 Cases: a null or empty text has no shingles, no links and a class of its own; a text of fewer than five words is one
-shingle of them all; rows that repeat a doc_id are one document to others, and each row is returned; a null doc_id gets
-no class; an empty table gives an empty result; other columns are ignored.
+shingle of them all; rows that repeat a doc_id with an equal text are one document, and each row is returned; rows that repeat a doc_id
+with different texts are documents of their own, each with its own class and links; a null doc_id gets
+no class and is no document to others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +42,40 @@ from plaza.llm import textbytes as tb
 from plaza.llm.graph import components
 from plaza.llm.shared import slices, staged
 
-_SIGNED = "doc_id bigint, n bigint, set_a bigint, set_b bigint, nodes array<bigint>"
-_CELL = "rep bigint, linked_docs bigint, linked_texts bigint, root bigint"
+SKETCH = 8  # numbers of 64 bits
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
+_SIGNED = "doc_id bigint, text_key bigint, n bigint, set_a bigint, set_b bigint, nodes array<bigint>, tails array<bigint>, " + ", ".join(f"{c} bigint" for c in _SKETCH)
+_EDGE = "a bigint, b bigint"
+_CELL = "set_id bigint, linked_docs bigint, linked_texts bigint, root bigint"
 
 
-def trie_depth(trees: int, depth: int, similarity: float, recall: float) -> int:
+def least_similarity(n: int, similarity: float) -> float:
+    """The least Jaccard similarity of at least ``similarity`` that a set of n elements can have with a different set; 1 if there is none."""
+    best = 1.0
+    for size in range(int(n * similarity), int(n / similarity) + 2):
+        for both in range(min(n, size) + 1):
+            got = both / (n + size - both) if n + size > both else 1.0
+            if similarity - 1e-9 <= got < best:
+                best = got
+    return best
+
+
+def prefix_length(trees: int, depth: int, similarity: float, recall: float) -> int:
     """The longest prefix, at most ``depth``, with which the forest reaches ``recall`` at ``similarity``."""
     while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def shortest_prefixes(trees: int, depth: int, similarity: float, recall: float, sizes: int = 64) -> np.ndarray:
+    """For sets of n elements, the length down to which their prefixes are shortened; the last entry holds for all larger sets.
+
+    ``depth + 1`` stands for sets that are linked to equal ones only.
+    """
+    found = [least_similarity(n, similarity) for n in range(sizes)]
+    return np.array([*[depth + 1 if s == 1 else prefix_length(trees, depth, s, recall) for s in found], prefix_length(trees, depth, similarity, recall)])
+
+
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For row ranges [lo, hi) of ``texts``: the distinct shingle hashes, sorted within rows, and their rows from lo on."""
     data, offsets = tb.flat(texts)
@@ -62,38 +93,116 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndar
         yield lo, hi, h, r
 
 
-def _signer(size: int, trees: int, depth: int, seed: int):
+def _signer(size: int, trees: int, depth: int, floor: int, seed: int):
+    """Signs texts. A node is the prefix of ``floor`` values in a tree, a tail holds the other values, the first ones highest."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        mul = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        add = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
+        count = max(trees * depth, 64 * SKETCH)
+        mul = rng.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        add = rng.integers(0, 1 << 32, count, dtype=np.uint32)
+        width = 62 // max(1, depth - floor) if depth > floor else 0  # bits of each value in a tail
         for b in batches:
             n = np.zeros(b.num_rows, np.int64)
             sums, xors = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
-            nodes = np.zeros((b.num_rows, trees), np.uint64)
-            for lo, hi, h, r in shingle_sets(b.column(1), size):
+            nodes, tails = np.zeros((b.num_rows, trees), np.uint64), np.zeros((b.num_rows, trees), np.uint64)
+            sketch = np.zeros((b.num_rows, SKETCH), np.uint64)
+            for lo, hi, h, r in shingle_sets(b.column(2), size):
                 if not len(h):
                     continue
-                count = np.bincount(r, minlength=hi - lo)
-                some = np.flatnonzero(count)
-                at = (np.cumsum(count) - count)[some]
-                n[lo:hi] = count
+                times = np.bincount(r, minlength=hi - lo)
+                some = np.flatnonzero(times)
+                at = (np.cumsum(times) - times)[some]
+                n[lo:hi] = times
                 sums[lo + some] = np.add.reduceat(tb.mix(h ^ np.uint64(0x5BF03635)), at)
                 xors[lo + some] = np.bitwise_xor.reduceat(tb.mix(h + np.uint64(0x27D4EB2F)), at)
                 short = (h >> np.uint64(32)).astype(np.uint32)
-                for t in range(trees):
-                    node = np.full(len(some), t + 1, np.uint64)
-                    for j in range(t * depth, (t + 1) * depth):
-                        least = np.minimum.reduceat(short * mul[j] + add[j], at)
-                        node = tb.mix(node * np.uint64(0x9E3779B97F4A7C15) + least)
-                    nodes[lo + some, t] = node
-            width = np.where(n > 0, trees, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.array(nodes[n > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), lists], names=["doc_id", "n", "set_a", "set_b", "nodes"])
+                for j in range(count):
+                    least = np.minimum.reduceat(short * mul[j] + add[j], at).astype(np.uint64)
+                    mixed = tb.mix(least + (np.uint64(j) << np.uint64(32)))
+                    if j < 64 * SKETCH:
+                        sketch[lo + some, j // 64] |= (mixed & np.uint64(1)) << np.uint64(j % 64)
+                    t, k = divmod(j, depth)
+                    if t >= trees:
+                        continue
+                    if k < floor:
+                        nodes[lo + some, t] = tb.mix(nodes[lo + some, t] * np.uint64(0x9E3779B97F4A7C15) + mixed + np.uint64(1))
+                    else:
+                        tails[lo + some, t] = tails[lo + some, t] << np.uint64(width) | mixed >> np.uint64(64 - width)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, trees, 0))]), pa.int32()), pa.array(x[n > 0].ravel().view(np.int64))) for x in (nodes, tails)]
+            columns = [b.column(0), b.column(1), pa.array(n), *[pa.array(x.view(np.int64)) for x in (sums, xors)], *lists, *[pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "set_a", "set_b", "nodes", "tails", *_SKETCH])
 
     return sign
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """Rows arrive sorted by ``key``; one table for each key, held one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        marks = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in key], axis=1)
+        cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            now = tuple(marks[lo])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = now
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def link_node(group: np.ndarray, side: np.ndarray, tail: np.ndarray, shortest: np.ndarray, sketch: np.ndarray, floor: int, depth: int, most: int) -> list[tuple[int, int]]:
+    """Links (places of two members) that join the groups of a node's members, which are sorted by ``tail``.
+
+    From the longest shared prefix to the shorter ones, members of different groups that share it, and are on different
+    sides if there are two, are linked if their sketches differ in at most ``most`` bits. A member takes part down to its
+    ``shortest`` prefix, so of a pair the longer of the two decides: the pair is at least as similar as both sizes demand.
+    """
+    _, now = np.unique(group, return_inverse=True)
+    links, two = [], bool((side != side[0]).any())
+    width = 62 // max(1, depth - floor) if depth > floor else 0
+    for k in range(depth, floor - 1, -1):
+        prefix = tail >> np.uint64(width * (depth - k))
+        edges = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1], [True]]))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            names, size = np.unique(now[lo:hi], return_counts=True)
+            if len(names) < 2:
+                continue
+            members = np.arange(lo, hi)
+            free = shortest[lo:hi] <= k
+            for x in members[free & (now[lo:hi] != names[size.argmax()])]:  # pairs within the largest group need no look
+                other = members[free & (now[lo:hi] != now[x])]
+                if two:
+                    other = other[side[other] != side[x]]
+                if not len(other):
+                    continue
+                near = other[np.bitwise_count(sketch[other] ^ sketch[x]).sum(axis=1) <= most]
+                for name in np.unique(now[near]):
+                    links.append((int(x), int(near[now[near] == name][0])))
+                    now[now == name] = now[x]
+    return links
+
+
+def _walk(floor: int, depth: int, most: int):
+    """Walks the sorted tries of nodes, which arrive sorted by (node, i, j, tail)."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["node", "i", "j"]):
+            column = lambda c: t.column(c).to_numpy()  # noqa: B023, E731
+            side = column("block") if t.column("i")[0] != t.column("j")[0] else np.zeros(t.num_rows, np.int64)
+            sketch = np.stack([column(c).view(np.uint64) for c in _SKETCH], axis=1)
+            got = link_node(column("grp"), side, column("tail").view(np.uint64), column("shortest"), sketch, floor, depth, most)
+            at, ids = np.array(got, np.int64).reshape(-1, 2), column("set_id")
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["a", "b"])
+
+    return walk
+
+
 def intersections(rows: np.ndarray, hashes: np.ndarray, m: int, rare: int = 48) -> np.ndarray:
     """Sizes of the pairwise intersections of m sets given as (row, hash) entries."""
     order = np.argsort(hashes, kind="stable")
@@ -119,14 +228,14 @@ def intersections(rows: np.ndarray, hashes: np.ndarray, m: int, rare: int = 48)
 
 
 def _linker(size: int, similarity: float):
-    def link_cell(part: pa.Table) -> pa.RecordBatch | None:
+    def link_cell(part: pa.Table) -> pa.RecordBatch:
         hashes, rows = [], []
         for lo, _, h, r in shingle_sets(part.column("text").combine_chunks(), size):
             hashes.append(h)
             rows.append(r + lo)
         m = part.num_rows
         h, r = np.concatenate(hashes), np.concatenate(rows)
-        rep, copies, side = (part.column(c).to_numpy() for c in ("rep", "copies", "block"))
+        ids, copies, side = (part.column(c).to_numpy() for c in ("set_id", "copies", "block"))
         n = np.bincount(r, minlength=m)
         both = intersections(r, h, m)
         union = n[:, None] + n[None, :] - both
@@ -134,79 +243,94 @@ def _linker(size: int, similarity: float):
         np.fill_diagonal(linked, False)
         if part.column("i")[0].as_py() != part.column("j")[0].as_py():
             linked &= side[:, None] != side[None, :]
-        root = rep.copy()
+        root = ids.copy()
         while True:
             now = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
             if (now == root).all():
                 break
             root = now
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(linked @ copies), pa.array(linked.sum(axis=1).astype(np.int64)), pa.array(root)], names=["rep", "linked_docs", "linked_texts", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ copies), pa.array(linked.sum(axis=1).astype(np.int64)), pa.array(root)], names=["set_id", "linked_docs", "linked_texts", "root"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by cell; the rows of one cell are held at a time."""
-        held: list[pa.RecordBatch] = []
-        key = None
-        for b in batches:
-            marks = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("grp", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(marks)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                now = tuple(marks[lo])
-                if held and now != key:
-                    yield link_cell(pa.Table.from_batches(held))
-                    held = []
-                key = now
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield link_cell(pa.Table.from_batches(held))
+        for t in _groups(batches, ["grp", "i", "j"]):
+            yield link_cell(t)
 
     return link
 
 
+def _cells(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` (with block and blocks) once for each cell, that is pair of blocks of one ``key``, in which they are; sorted by cell."""
+    spread = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    spread = spread.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other", "blocks")
+    return spread.repartition(slices(rows.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j", *order)
+
+
+def candidate_groups(sets: DataFrame, floor: int, depth: int, shortest: np.ndarray, most: int, node_block: int) -> DataFrame:
+    """(node, component): sets of ``sets`` (set_id, n, nodes, tails, sketch) that sketch-verified links of the forest join; see the module's docstring."""
+    least = F.element_at(F.array(*[F.lit(int(x)) for x in shortest]), F.least(F.col("n"), F.lit(len(shortest) - 1)).cast("int") + 1)
+    member = sets.where(least <= depth).select("set_id", least.alias("shortest"), F.explode(F.arrays_zip("nodes", "tails")).alias("x")).select("set_id", "shortest", "x.nodes", "x.tails").toDF("set_id", "shortest", "node", "tail")
+    node = member.groupBy("node").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("last"), F.count("*").alias("members")).where("hub < last").drop("last")
+    shared = staged(member.join(node, "node"), "shared")
+    sketch = sets.select("set_id", *_SKETCH)
+    # Every set and the first set of its nodes. A set is first in as many nodes as there are trees at most.
+    pairs = shared.where("set_id <> hub").select("set_id", "hub").distinct()
+    both = pairs.join(sketch, "set_id").join(sketch.select(F.col("set_id").alias("hub"), *[F.col(c).alias(f"h{c}") for c in _SKETCH]), "hub")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"h{c}"))) for c in _SKETCH), F.lit(0))
+    first = staged(both.where(apart <= most).select(F.col("set_id").alias("a"), F.col("hub").alias("b")), "first")
+    joined = staged(components(first), "joined")
+    # Nodes with sets of different groups are walked.
+    named = shared.join(joined.select(F.col("node").alias("set_id"), F.col("component").alias("grp")), "set_id", "left").withColumn("grp", F.coalesce("grp", "set_id"))
+    mixed = named.groupBy("node").agg(F.min("grp").alias("least"), F.max("grp").alias("largest")).where("least < largest").select("node")
+    rows = named.join(mixed, "node").join(sketch, "set_id").withColumn("blocks", F.ceil(F.col("members") / node_block).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("long")).select("node", "block", "blocks", "set_id", "grp", "tail", "shortest", *_SKETCH)
+    more = staged(_cells(rows, "node", ["tail"]).mapInArrow(_walk(floor, depth, most), _EDGE).distinct(), "more")
+    return components(first.union(more))
+
+
 def near_duplicates(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, trees: int = 32, depth: int = 8, recall: float = 0.9999, seed: int = 7, block_docs: int = 2000, block_shingles: int = 1_000_000
+    docs: DataFrame, size: int = 5, similarity: float = 0.8, trees: int = 32, depth: int = 8, recall: float = 0.9999, slack: float = 0.16, seed: int = 7, block_docs: int = 2000, block_shingles: int = 1_000_000, node_block: int = 4000
 ) -> DataFrame:
-    """(doc_id, class_id, n_links, n_texts, n_copies) for each row of ``docs`` (doc_id, text); see the module's docstring."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    depth = trie_depth(trees, depth, similarity, recall)
-    signed = staged(docs.mapInArrow(_signer(size, trees, depth, seed), _SIGNED), "signed")
+    """(doc_id, text_key, class_id, n_links, n_texts, n_copies) for each row of ``docs`` (doc_id, text); see the module's docstring.
+
+    ``text_key`` is xxhash64 of the text.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    shortest = shortest_prefixes(trees, depth, similarity, recall)
+    floor, most = int(shortest.min()), int(64 * SKETCH * (1 - similarity + slack) / 2)
+    signed = staged(docs.mapInArrow(_signer(size, trees, depth, floor, seed), _SIGNED), "signed")
     known = signed.where("doc_id is not null and n > 0")
-    reps = staged(known.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("nodes").alias("nodes")), "reps")
-    member = reps.select("rep", F.explode("nodes").alias("node"))
-    node = member.groupBy("node").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    grouped = components(member.join(node, "node").where("rep <> hub").select("rep", "hub").distinct(), "rep", "hub")
+    first = F.min(F.struct("doc_id", "text_key"))
+    repeats = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+    count = F.count_distinct("doc_id") if repeats else F.count("*")
+    sets = known.groupBy("set_a", "set_b", "n").agg(first.alias("first"), count.alias("copies"), *[F.any_value(c).alias(c) for c in ("nodes", "tails", *_SKETCH)])
+    sets = staged(sets.select(F.monotonically_increasing_id().alias("set_id"), "*"), "sets")
+    grouped = candidate_groups(sets, floor, depth, shortest, most, node_block)
     # Blocks and cells: a group of bounded size is one cell.
-    sized = reps.select("rep", "n", "copies").join(grouped.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "rep")
-    sized = staged(sized.groupBy("rep", "grp").agg(F.max("n").alias("n"), F.sum("copies").alias("copies")), "groups")
+    sized = staged(sets.select("set_id", "n", "copies", "first").join(grouped.select(F.col("node").alias("set_id"), F.col("component").alias("grp")), "set_id"), "groups")
     blocks = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    placed = sized.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    text = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(signed) else docs
+    placed = sized.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("long")).select("grp", "blocks", "block", "set_id", "copies", "first.*")
+    text = docs.where("doc_id is not null")
+    text = text.groupBy("doc_id", "text_key").agg(F.min("text").alias("text")) if repeats else text
     # Hashed by hint, so that the plan is the same at every size: the side of the groups is built, the texts stream by.
-    placed = placed.hint("shuffle_hash").join(text.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "text")
-    cells = cells.repartition(slices(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
-    linked = staged(cells.mapInArrow(_linker(size, similarity), _CELL), "linked")
-    links = linked.groupBy("rep").agg(F.sum("linked_docs").alias("linked_docs"), F.sum("linked_texts").alias("n_texts"), F.min("root").alias("root"))
-    if blocks.where("blocks > 1").isEmpty():
-        links = links.withColumnRenamed("root", "class_id")
-    else:
-        joined = components(linked.where("rep <> root").select("rep", "root"), "rep", "root")
-        links = links.drop("root").join(joined.withColumnsRenamed({"node": "rep", "component": "class_id"}), "rep", "left")
-    out = signed.select("doc_id", "n", "set_a", "set_b").join(reps.drop("nodes"), ["set_a", "set_b", "n"], "left").join(links, "rep", "left")
-    linked_docs = F.coalesce("linked_docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
-    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "rep", "doc_id"))
-    return out.select("doc_id", class_id.alias("class_id"), linked_docs.alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
-
-
-def _repeats(signed: DataFrame) -> bool:
-    """Whether a doc_id stands in two rows."""
-    return not signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    placed = placed.hint("shuffle_hash").join(text, ["doc_id", "text_key"]).drop("doc_id", "text_key")
+    linked = staged(_cells(placed, "grp", ["set_id"]).mapInArrow(_linker(size, similarity), _CELL), "linked")
+    links = linked.groupBy("set_id").agg(F.sum("linked_docs").alias("linked_docs"), F.sum("linked_texts").alias("n_texts"), F.min("root").alias("root"))
+    if not blocks.where("blocks > 1").isEmpty():
+        joined = components(linked.where("set_id <> root").select("set_id", "root"), "set_id", "root")
+        links = links.join(joined.withColumnsRenamed({"node": "set_id", "component": "whole"}), "set_id", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
+    links = sets.select("set_id", "set_a", "set_b", "n", "copies", F.col("first.doc_id").alias("first_doc")).join(links, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = links.groupBy("root").agg(F.min("first_doc").alias("class"))
+    links = staged(links.join(named, "root").select("set_a", "set_b", "n", "copies", "linked_docs", "n_texts", "class"), "links")
+    # The only join with all rows: equal sets may be many rows, of which Spark splits a partition that is too large.
+    out = signed.select("doc_id", "text_key", "n", "set_a", "set_b").join(links, ["set_a", "set_b", "n"], "left")
+    copies = F.coalesce("copies", F.lit(1))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
+    linked_docs = F.coalesce("linked_docs", F.lit(0)) + copies - F.when(F.col("doc_id").isNull() & F.col("copies").isNotNull(), 0).otherwise(1)
+    return out.select("doc_id", "text_key", class_id.alias("class_id"), linked_docs.alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), copies.alias("n_copies"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 #: All pairs by an inverted index, and the closure of the links: for small tables.

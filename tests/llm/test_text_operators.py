@@ -81,17 +81,62 @@ def test_decontamination_in_blocks_and_repeated(spark, texts):
 
 
 def test_near_duplicates(docs, texts):
-    got = rows(lsh_forest.near_duplicates(docs), "doc_id", "class_id", "n_links")
+    clash = docs.withColumns({c: F.lit("x") for c in ("set_id", "grp", "node", "copies", "class", "text_key", "n", "block")})
+    got = rows(lsh_forest.near_duplicates(clash), "doc_id", "class_id", "n_links")
     assert got == H.near_duplicates(texts)
-    split = rows(lsh_forest.near_duplicates(docs, block_docs=2), "doc_id", "class_id", "n_links")  # groups of several cells
+    split = rows(lsh_forest.near_duplicates(docs, block_docs=2, node_block=2), "doc_id", "class_id", "n_links")  # groups and nodes of several cells
     assert split == got
     assert lsh_forest.near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_near_duplicates_odd_ids(spark, texts):
-    df = spark.createDataFrame([(None, texts[2]), (1, texts[2]), (1, texts[2]), (2, texts[2] + " more")], "doc_id bigint, text string")
-    got = lsh_forest.near_duplicates(df).collect()
-    assert len(got) == 4 and {r.class_id for r in got if r.doc_id is not None} == {1}
+    a, b = texts[2], texts[3]
+    data = [(None, a), (1, a), (1, a), (2, a + " more"), (3, b), (3, "zz " + a), (4, b + " x"), (None, "alone"), (5, None), (5, None)]
+    got = lsh_forest.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"))
+    found = sorted(((r.doc_id, r.class_id, r.n_links, r.n_texts, r.n_copies) for r in got.collect()), key=str)
+    # Documents are (id, text): 1, 2 and the second text of 3 are one class, 4 and the first text of 3 another.
+    want = [(None, None, 3, 2, 1), (1, 1, 2, 2, 1), (1, 1, 2, 2, 1), (2, 1, 2, 2, 1), (3, 3, 1, 1, 1), (3, 1, 2, 2, 1), (4, 3, 1, 1, 1), (None, None, 0, 0, 1), (5, 5, 0, 0, 1), (5, 5, 0, 0, 1)]
+    assert found == sorted(want, key=str)
+
+
+def test_prefixes_shorten_to_the_recall_of_each_size():
+    # A set of 6 that is linked to another has at least 5/6 in common, one of up to 3 has no such partner.
+    assert [lsh_forest.least_similarity(n, 0.8) for n in (1, 3, 4, 6, 8)] == [1.0, 1.0, 0.8, pytest.approx(5 / 6), 0.8]
+    found = lsh_forest.shortest_prefixes(32, 8, 0.8, 0.9999)
+    assert found[3] == 9 and found[-1] == 6 and found[7] > 6
+    for n in range(4, len(found)):
+        assert 1 - (1 - lsh_forest.least_similarity(n, 0.8) ** float(found[n])) ** 32 >= 0.9999
+
+
+def test_walk_of_a_node_equals_all_pairs():
+    """Groups after the walk of a trie node against all pairs that share an allowed prefix."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        m, floor, depth, most = 30, 2, 4, 10
+        values, sides = rng.integers(0, 3, (m, 2)), rng.integers(0, int(rng.integers(1, 3)), m)
+        tail = (values[:, 0] << 31 | values[:, 1]).astype(np.uint64)
+        order = np.argsort(tail, kind="stable")
+        tail, values = tail[order], values[order]
+        shortest, group = rng.integers(2, 6, m), rng.integers(0, 20, m)
+        centre = rng.integers(0, 1 << 63, (6, lsh_forest.SKETCH)).astype(np.uint64)
+        sketch = centre[rng.integers(0, 6, m)] ^ (np.uint64(1) << rng.integers(0, 60, (m, lsh_forest.SKETCH)).astype(np.uint64))
+        links = lsh_forest.link_node(group, sides, tail, shortest, sketch, floor, depth, most)
+        two = len(set(sides)) > 1
+
+        def parts(pairs, m=m, group=group):
+            at = list(range(m))
+            for a, b in [*pairs, *[(a, b) for a in range(m) for b in range(a) if group[a] == group[b]]]:
+                at = [at[a] if x == at[b] else x for x in at]
+            return {frozenset(i for i in range(m) if at[i] == x) for x in at}
+
+        want = []
+        for a in range(m):
+            for b in range(a):
+                shared = 2 if values[a, 0] != values[b, 0] else 3 if values[a, 1] != values[b, 1] else 4
+                bits = int(np.bitwise_count(sketch[a] ^ sketch[b]).sum())
+                if shared >= max(shortest[a], shortest[b]) and bits <= most and not (two and sides[a] == sides[b]):
+                    want.append((a, b))
+        assert parts(links) == parts(want) and all(np.bitwise_count(sketch[a] ^ sketch[b]).sum() <= most for a, b in links)
 
 
 def test_recall_of_forest(spark):
@@ -108,7 +153,7 @@ def test_recall_of_forest(spark):
             texts[g * 10 + k] = " ".join(copy)
     got = rows(lsh_forest.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")), "doc_id", "class_id", "n_links")
     assert got == H.near_duplicates(texts)
-    assert lsh_forest.trie_depth(32, 8, 0.8, 0.9999) == 6 and lsh_forest.trie_depth(4, 8, 0.8, 0.99) < 3
+    assert lsh_forest.prefix_length(32, 8, 0.8, 0.9999) == 6 and lsh_forest.prefix_length(4, 8, 0.8, 0.99) < 3
 
 
 def test_repeats(docs, texts):
