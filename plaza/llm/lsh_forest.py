@@ -290,9 +290,10 @@ def candidate_groups(sets: DataFrame, floor: int, depth: int, shortest: np.ndarr
 def near_duplicates(
     docs: DataFrame, size: int = 5, similarity: float = 0.8, trees: int = 32, depth: int = 8, recall: float = 0.9999, slack: float = 0.16, seed: int = 7, block_docs: int = 2000, block_shingles: int = 1_000_000, node_block: int = 4000
 ) -> DataFrame:
-    """(doc_id, text_key, class_id, n_links, n_texts, n_copies) for each row of ``docs`` (doc_id, text); see the module's docstring.
+    """(doc_id, text_key, class_id, is_first, n_links, n_texts, n_copies) for each row of ``docs`` (doc_id, text); see the module's docstring.
 
-    ``text_key`` is xxhash64 of the text.
+    ``text_key`` is xxhash64 of the text. ``is_first`` marks the one document of each class that has the smallest doc_id
+    (then text_key), and rows that are no document to others.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     shortest = shortest_prefixes(trees, depth, similarity, recall)
@@ -318,19 +319,20 @@ def near_duplicates(
     if not blocks.where("blocks > 1").isEmpty():
         joined = components(linked.where("set_id <> root").select("set_id", "root"), "set_id", "root")
         links = links.join(joined.withColumnsRenamed({"node": "set_id", "component": "whole"}), "set_id", "left").withColumn("root", F.coalesce("whole", "root")).drop("whole")
-    links = sets.select("set_id", "set_a", "set_b", "n", "copies", F.col("first.doc_id").alias("first_doc")).join(links, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = links.groupBy("root").agg(F.min("first_doc").alias("class"))
+    links = sets.select("set_id", "set_a", "set_b", "n", "copies", "first").join(links, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = links.groupBy("root").agg(F.min("first").alias("class"))
     links = staged(links.join(named, "root").select("set_a", "set_b", "n", "copies", "linked_docs", "n_texts", "class"), "links")
     # The only join with all rows: equal sets may be many rows, of which Spark splits a partition that is too large.
     out = signed.select("doc_id", "text_key", "n", "set_a", "set_b").join(links, ["set_a", "set_b", "n"], "left")
     copies = F.coalesce("copies", F.lit(1))
-    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class.doc_id", "doc_id"))
+    is_first = F.coalesce((F.col("class.doc_id") == F.col("doc_id")) & (F.col("class.text_key") == F.col("text_key")), F.lit(True))
     linked_docs = F.coalesce("linked_docs", F.lit(0)) + copies - F.when(F.col("doc_id").isNull() & F.col("copies").isNotNull(), 0).otherwise(1)
-    return out.select("doc_id", "text_key", class_id.alias("class_id"), linked_docs.alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), copies.alias("n_copies"))
+    return out.select("doc_id", "text_key", class_id.alias("class_id"), is_first.alias("is_first"), linked_docs.alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), copies.alias("n_copies"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "is_first")
 
 
 #: All pairs by an inverted index, and the closure of the links: for small tables.

@@ -306,3 +306,21 @@ def test_pipeline_odd_rows(spark, sf):
     got = [stage(spark, odd, sf).select("doc_id").collect() for _, stage in corpus_pipeline.STAGES]
     assert [len(x) for x in got] == [5, 4, 5, len(got[3]), 5]
     assert {r.doc_id for r in got[3]} == {None, 1, 2} and len(got[3]) >= 5
+
+
+def test_pipeline_keeps_clashing_columns(spark, sf):
+    """Extra columns with the names that stages use come through, and rows that repeat a doc_id with another text are not lost."""
+    names = ["copies", "_copy", "n_hit", "n_words", "_words", "_key", "_doc", "doc", "held", "held_out", "text_key", "is_first", "class_id", "n_tokens", "block", "weight", "rank", "set_id", "key"]
+    one, two = "the first text of this id stands here for a while", "an altogether different second text that has no word like it"
+    data = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (1, two, "fr", "a", 1), (2, one, "en", "b", 1), (3, two + " again", "en", "b", 1), (4, None, None, None, None)]
+    docs = spark.createDataFrame(data, DOCS).withColumns({c: F.lit(f"<{c}>") for c in names})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[c] == f"<{c}>" for r in kept for c in names)
+        if stage is corpus_pipeline.one_of_each_group:
+            assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, two), (1, one), (4, "")]  # 3 is a near copy
+        else:
+            assert {(r.doc_id, r.text) for r in kept} == {(d, t) for d, t, *_ in data}
+    assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() == 6

@@ -97,6 +97,8 @@ def test_near_duplicates_odd_ids(spark, texts):
     # Documents are (id, text): 1, 2 and the second text of 3 are one class, 4 and the first text of 3 another.
     want = [(None, None, 3, 2, 1), (1, 1, 2, 2, 1), (1, 1, 2, 2, 1), (2, 1, 2, 2, 1), (3, 3, 1, 1, 1), (3, 1, 2, 2, 1), (4, 3, 1, 1, 1), (None, None, 0, 0, 1), (5, 5, 0, 0, 1), (5, 5, 0, 0, 1)]
     assert found == sorted(want, key=str)
+    first = [(r.doc_id, r.class_id) for r in got.where("is_first and doc_id is not null").collect()]
+    assert sorted(first) == [(1, 1), (1, 1), (3, 3), (5, 5), (5, 5)]
 
 
 def test_prefixes_shorten_to_the_recall_of_each_size():
