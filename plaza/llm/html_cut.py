@@ -3,12 +3,18 @@
 A page is split into text blocks (runs between block-level tags). A linear classifier over tags, class and id words, link density and
 length gives each block a cost of being called content and a cost of being called boilerplate; these are its capacities to
 the two terminals. Neighbouring blocks, and successive blocks of one parent element, are joined by smoothness edges that weaken with
-their distance in the DOM. The minimum cut, found by maximum flow, labels all blocks at once.
-Blocks whose own costs outweigh all their edges are fixed first, which leaves few for the flow.
+their distance in the DOM, and weigh enough to turn a block that the classifier alone is not sure of. The minimum cut, found by
+maximum flow, labels all blocks at once. Blocks whose own costs outweigh all their edges are fixed first, which leaves few for the flow.
+
+The classifier is fitted (``fit``): pages of which a known text holds the longest block are labelled by that text, a block being
+content if the text has it as a line. About ``sample`` such pages are used at most, chosen by a hash of page_id; logistic regression starts from the weights of
+``prior`` and is drawn back to them, so features that the sample does not show keep them. Headlines are not learned from, as they may be
+shortened. Without known texts the prior is the classifier.
 
 Cases: a null or empty page has an empty text; broken markup is read like browsers do in the main (unclosed paragraphs and
 items end at the next, stray end tags are ignored, an unclosed comment or script runs to the end); repeated rows are
-extracted alike; an empty table gives an empty result; other columns are ignored. Very long pages are handled by one row.
+extracted alike; a null page_id is kept and not learned from; an empty table gives an empty result; other columns are ignored. Very long
+pages are handled by one row, in time linear in their tags.
 """
 
 from __future__ import annotations
@@ -19,30 +25,54 @@ from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plaza.llm.shared import staged
+
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg textarea title head canvas audio video select button".split())
+RAW = frozenset("script style noscript template iframe object textarea title head canvas audio video select button".split())
 OPAQUE = frozenset("script style textarea title iframe".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = frozenset("ul ol dl table tr tbody thead tfoot article section div nav main aside header footer form body".split())
-BOILER_TAGS = {"nav": 6.0, "menu": 5.0, "footer": 6.0, "aside": 5.0, "form": 6.0, "header": 5.0, "dialog": 6.0, "search": 6.0, "fieldset": 4.0}
+BOILER_TAGS = {"nav": 4.5, "menu": 4.0, "footer": 4.5, "aside": 4.0, "form": 4.5, "header": 4.0, "dialog": 4.5, "search": 4.5, "fieldset": 3.0}
+#: Class and id words that name a part outside of the article. Such a part inside an article does not count as in it.
 BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus respond related recommended share sharing social newsletter subscribe subscription signup login search widget toolbar copyright legal disclaimer pagination pager tags skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr sidebar nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond related recommended newsletter subscribe subscription signup contentinfo complementary dialog".split()
+)
+#: Words that parts of an article have too.
+DOUBTFUL_WORDS = frozenset(
+    "promotion banner notice notices alert popup modal overlay side menu footer header masthead reply replies share sharing social login search widget toolbar copyright legal disclaimer pagination pager tags skip".split()
 )
 CONTENT_WORDS = frozenset("article content post entry story body main text".split())
 _WORDS = re.compile(r"[a-z]+")
+Weights = dict[str, float]
+
+
+def prior(feature: str) -> float:
+    """The weight of a feature before any page is seen."""
+    kind, _, value = feature.partition(":")
+    if kind == "in":
+        return 2.5 if value == "article" else -0.8 if value == "article-header" else -BOILER_TAGS[value]
+    if kind == "word":
+        return -4.5 if value in BOILER_WORDS else -1.2 if value in DOUBTFUL_WORDS else 0.8 if value in CONTENT_WORDS else 0.0
+    if kind == "chars":
+        return min(1.5, 0.35 * math.log(1 + 2 ** int(value) / 20))
+    if kind == "links":
+        return -0.75 * int(value)
+    return {"bias": -0.5, "paragraph": 1.0, "heading": 0.8, "short": -0.7}[kind]
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "block", "jump", "boiler", "content", "hidden")
+    __slots__ = ("tag", "parent", "depth", "block", "jump", "marks", "outside", "hidden")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent, self.depth = tag, parent, parent.depth + 1 if parent else 0
@@ -50,27 +80,29 @@ class Element:
         # An ancestor at a distance that grows by doubling, by which a far one is found in few steps.
         far = parent.jump if parent else self
         self.jump = (far.jump if parent.depth - far.depth == far.depth - far.jump.depth else parent) if parent else self
-        self.boiler, self.content, self.hidden = (parent.boiler, parent.content, parent.hidden) if parent else (0.0, 0.0, False)
-        inside = self.content > 0
+        # Features that the element and its ancestors give to blocks, and whether one of them is outside of any article.
+        self.marks, self.outside, self.hidden = (parent.marks, parent.outside, parent.hidden) if parent else (frozenset(["bias"]), False, False)
+        new = set()
         if tag in RAW:
             self.hidden = True
-        if tag in ("article", "main"):
-            self.content = 3.0
+        if tag in ("article", "main") and not self.outside:
+            new.add("in:article")
         if tag in BOILER_TAGS:
             # The header of an article holds its title.
-            self.boiler = max(self.boiler, 1.0 if tag == "header" and inside else BOILER_TAGS[tag])
+            new.add("in:article-header" if tag == "header" and "in:article" in self.marks else f"in:{tag}")
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "hidden" in attributes or "style" in attributes):
             found = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(attributes)}
-            words = set()
-            for k in ("class", "id", "role"):
-                words.update(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found.get(k, "")).lower()))
-            if words & BOILER_WORDS or words & {"contentinfo", "complementary", "dialog"}:
-                own = tag in ("article", "main", "body", "html")
-                self.boiler = max(self.boiler, 0.0 if own else 5.0)
-            elif words & CONTENT_WORDS and self.boiler == 0:
-                self.content = max(self.content, 1.5)
+            if tag not in ("article", "main", "body", "html"):
+                for k in ("class", "id", "role"):
+                    if k in found:
+                        new.update("word:" + w for w in _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found[k]).lower()))
             if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
                 self.hidden = True
+        if new:
+            self.marks |= new
+            if any(x[5:] in BOILER_WORDS if x[:5] == "word:" else x[3:] in BOILER_TAGS for x in new):
+                self.outside = True
+                self.marks -= {"in:article"}
 
 
 class Block:
@@ -156,18 +188,37 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def block_score(b: Block) -> float:
-    """The classifier's log odds that a block is content."""
-    e = b.element
-    density = b.links / max(1, len(b.text))
-    score = -0.5 + min(1.5, 0.35 * math.log(1 + len(b.text) / 20)) + e.content - e.boiler - 3.0 * density
-    if e.tag in ("p", "pre", "blockquote"):
-        score += 1.0
-    elif e.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        score += 0.8
-    if e.tag in ("body", "html", "div", "td", "section") and len(b.text) < 40:
-        score -= 0.7
-    return score
+def features(b: Block) -> list[str]:
+    """The features of a block."""
+    tag, out = b.element.tag, list(b.element.marks)
+    out.append(f"chars:{min(12, len(b.text).bit_length())}")
+    if b.links:
+        out.append(f"links:{math.ceil(4 * b.links / len(b.text))}")
+    if tag in ("p", "pre", "blockquote"):
+        out.append("paragraph")
+    elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        out.append("heading")
+    elif tag in ("body", "html", "div", "td", "section") and len(b.text) < 40:
+        out.append("short")
+    return out
+
+
+class Classifier:
+    """The log odds that a block is content."""
+
+    def __init__(self, weights: Weights | None = None):
+        self.weights = dict(weights or {})
+
+    def __call__(self, b: Block) -> float:
+        total = 0.0
+        for f in features(b):
+            w = self.weights.get(f)
+            if w is None:
+                w = self.weights[f] = prior(f)
+            total += w
+        if len(self.weights) > 100_000:
+            self.weights = {f: w for f, w in self.weights.items() if w != prior(f)}
+        return total
 
 
 def _distance(a: Element, b: Element) -> int:
@@ -187,7 +238,7 @@ def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
     last: dict[Element, int] = {}
     for k, b in enumerate(found):
         if k:
-            edges[k - 1, k] = 0.6 / (1 + _distance(found[k - 1].element, b.element))
+            edges[k - 1, k] = 1.2 / (1 + _distance(found[k - 1].element, b.element))
         parent = b.element.parent or b.element
         if parent in last:
             edges[last[parent], k] = edges.get((last[parent], k), 0.0) + 0.2
@@ -249,33 +300,113 @@ def min_cut(content: list[float], boiler: list[float], edges: dict[tuple[int, in
     return label
 
 
-def labelled_blocks(page: str | None) -> list[tuple[str, float, bool]]:
+def labelled_blocks(page: str | None, score: Classifier | None = None) -> list[tuple[str, float, bool]]:
     """(text, classifier score, label) of each block of a page."""
     found = blocks(page or "")
-    scores = [block_score(b) for b in found]
+    scores = list(map(score or Classifier(), found))
     label = min_cut([max(0.0, -x) for x in scores], [max(0.0, x) for x in scores], smoothness(found))
     return [(b.text, x, y) for b, x, y in zip(found, scores, label, strict=True)]
 
 
-def main_text(page: str | None) -> str:
-    return "\n".join(text for text, _, keep in labelled_blocks(page) if keep)
+def main_text(page: str | None, score: Classifier | None = None) -> str:
+    return "\n".join(text for text, _, keep in labelled_blocks(page, score) if keep)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_key(line: str) -> int:
+    return xxhash.xxh64_intdigest(" ".join(line.split())) - (1 << 63)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, key) of each line of a known text that is not empty."""
+    for b in batches:
+        doc, key = [], []
+        for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            mine = {_line_key(x) for x in text.split("\n") if x and not x.isspace()}
+            doc += [d] * len(mine)
+            key += mine
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key, pa.int64())], names=["doc", "key"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, key, chars, features) of the blocks of pages, without headlines."""
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            text = [main_text(x) for x in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for lo in range(0, b.num_rows, 500):
+            part, out = b.slice(lo, 500), []
+            for page, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                out += [(page, _line_key(x.text), len(x.text), sorted(features(x))) for x in blocks(html) if x.element.tag not in ("h1", "h2", "h3", "h4", "h5", "h6")]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "key", "chars", "features"])
+
+
+def labelled_sample(pages: DataFrame, known: DataFrame, sample: int) -> DataFrame:
+    """(features, content, n): how many blocks of about ``sample`` pages have which features and label."""
+    pages = pages.where("page_id is not null and html is not null").select(F.col("page_id").cast("bigint").alias("page_id"), "html")
+    share = F.lit(int((1 << 20) * min(1.0, sample / max(1, pages.count()))))
+    held = staged(pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < share).mapInArrow(_blocks, "page_id bigint, key bigint, chars bigint, features array<string>"), "blocks")
+    texts = known.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    lines = staged(texts.mapInArrow(_lines, "doc bigint, key bigint"), "lines")
+    # The text of a page is the first one that has the page's longest block as a line.
+    longest = held.groupBy("page_id").agg(F.max_by("key", F.struct("chars", "key")).alias("key"))
+    text = lines.join(longest.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
+    owner = staged(longest.join(text, "key").select("page_id", "doc"), "owners")
+    own = lines.join(owner.select("doc").distinct(), "doc", "left_semi").withColumn("content", F.lit(1)).distinct()
+    marked = held.join(owner, "page_id").join(own, ["doc", "key"], "left").withColumn("content", F.coalesce("content", F.lit(0)))
+    return marked.groupBy("features", "content").agg(F.count("*").alias("n"))
+
+
+def regress(rows: list[tuple[list[str], int, int]], spread: float = 0.5, rounds: int = 25) -> Weights:
+    """Logistic regression by Newton's method over (features, label, count), with normal priors of deviation ``spread`` around ``prior``."""
+    names = sorted({f for r in rows for f in r[0]})
+    at = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names)))
+    for k, (found, _, _) in enumerate(rows):
+        x[k, [at[f] for f in found]] = 1
+    y, n = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    start = np.array([prior(f) for f in names])
+    w = start.copy()
+    for _ in range(rounds if rows else 0):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (n * (y - q)) - (w - start) / spread**2
+        curve = (x * (n * q * (1 - q))[:, None]).T @ x + np.eye(len(names)) / spread**2
+        step = np.linalg.solve(curve, slope)
+        w += step / max(1.0, np.abs(step).max())
+    return dict(zip(names, w.tolist(), strict=True))
+
+
+def fit(pages: DataFrame, known: DataFrame, sample: int = 2000, least: int = 5) -> Weights:
+    """Weights of a classifier from ``pages`` (page_id, html) of which ``known`` (doc_id, text) has the text.
+
+    Features of fewer than ``least`` blocks of the sample keep their prior.
+    """
+    rows = [(r.features, r.content, r.n) for r in labelled_sample(pages, known, sample).collect()]  # different feature lists of the sample
+    times: dict[str, int] = {}
+    for found, _, n in rows:
+        for f in found:
+            times[f] = times.get(f, 0) + n
+    return regress([([f for f in found if times[f] >= least], content, n) for found, content, n in rows])
+
+
+def _extractor(weights: Weights):
+    def extract_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Classifier(weights)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                text = [main_text(x, score) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return extract_batch
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
-    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(_extractor(weights or {}), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op5_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return extract(pages, fit(pages, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
 
 
 QUERIES = {"op5_html_cut": op5_html_cut}

@@ -178,11 +178,56 @@ def test_html_deep_elements_and_formulas():
     assert html_cut.main_text(tower) == words.strip()
     # The end tags of the deep elements close those, not the earlier ones.
     found = html_cut.blocks("<nav>" + "<span>" * 600 + "<nav>deep</nav>still in the outer one</nav><p>out</p>")
-    assert [(b.text, b.element.boiler > 0) for b in found] == [("deep", True), ("still in the outer one", True), ("out", False)]
+    assert [(b.text, "in:nav" in b.element.marks) for b in found] == [("deep", True), ("still in the outer one", True), ("out", False)]
     text = html_cut.main_text("<article><p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stands in the middle of this sentence.</p></article>")
     assert text == "The formula x=2 stands in the middle of this sentence."
 
 
+def test_html_cut_turns_blocks_that_the_classifier_misses():
+    """Blocks whose sign of the score is wrong and whose label is right, in both directions."""
+    long = "plain words of a text that goes on for a while and does not say much about anything, "
+    page = f"<div><p>{long * 3}</p><div>Short remark.</div><p>{long * 2}</p></div>"
+    assert [(x > 0, y) for _, x, y in html_cut.labelled_blocks(page)] == [(True, True), (False, True), (True, True)]
+    links = "".join(f"<p><a href=/{k}>Another page {k}</a></p>" for k in range(3))
+    page = f"<div>{links}<p>More of it</p>{links}</div>"
+    got = html_cut.labelled_blocks(page)
+    assert got[3][1] > 0 and not any(y for _, _, y in got)
+
+
+def test_html_words_do_not_veto_inside_articles():
+    long = "plain words of an article that goes on for a while, " * 3
+    for name in ("side-by-side", "legal", "share tags", "copyright"):
+        assert html_cut.main_text(f'<article><div class="{name}"><p>{long}</p></div></article>') == long.strip()
+    for name in ("ad", "comments", "newsletter-signup", "sidebar"):
+        assert html_cut.main_text(f'<article><p>{long}</p><div class="{name}"><p>{long} of others</p></div></article>') == long.strip()
+    assert html_cut.main_text(f'<article><p>{long}</p></article><div class=comments><article class=comment-body><p>{long} of others</p></article></div>') == long.strip()
+
+
+def test_html_classifier_is_fitted(spark, sf):
+    """Weights move from the prior towards known texts, and a feature that the prior does not know is learned."""
+    text = [f"line {k} of the text number {k * 7} with some words of its own" for k in range(40)]
+    page = lambda k: f"<div class=zone><p>{text[k]} and a good deal more of it</p></div><div class=fluff><p>{text[(k + 9) % 40]}</p></div>"
+    pages = spark.createDataFrame([(k, "u", page(k)) for k in range(40)] + [(None, "u", page(1)), (99, "u", None)], "page_id bigint, url string, html string")
+    known = spark.createDataFrame([(k, f"{text[k]} and a good  deal more of it\nanother line") for k in range(40)] + [(None, "x"), (77, None)], "doc_id bigint, text string")
+    weights = html_cut.fit(pages, known)
+    assert weights["word:fluff"] < weights["word:zone"]
+    assert html_cut.fit(pages, known.limit(0)) == {} and html_cut.fit(pages.limit(0), known) == {}
+    # Fitted on a part of the pages, it finds the texts of the others.
+    docs, all_pages = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/pages.parquet")
+    weights = html_cut.fit(all_pages.where("page_id % 2 = 0"), docs)
+    texts = {" ".join((r.text or "").split()) for r in docs.collect()}
+    found = [" ".join(r.text.split("\n", 1)[-1].split()) in texts for r in html_cut.extract(all_pages.where("page_id % 2 = 1"), weights).collect()]
+    assert np.mean(found) > 0.98
+
+
+def test_regression_finds_the_stationary_point():
+    rows = [(["bias", "word:x"], 1, 30), (["bias", "word:x"], 0, 10), (["bias"], 1, 5), (["bias"], 0, 40)]
+    w = html_cut.regress(rows, spread=1.0)
+    cost = lambda b, x: sum(n * np.log1p(np.exp(-(b + ("word:x" in f) * x) * (1 if y else -1))) for f, y, n in rows) + ((b + 0.5) ** 2 + x**2) / 2
+    best = cost(w["bias"], w["word:x"])
+    assert all(best <= cost(w["bias"] + d, w["word:x"] + e) for d in (-0.01, 0, 0.01) for e in (-0.01, 0, 0.01))
+
+
 def test_min_cut_is_minimal():
     rng = np.random.default_rng(0)
     for _ in range(60):
