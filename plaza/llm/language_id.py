@@ -169,28 +169,7 @@ def _letters() -> np.ndarray:
 
 
 def pieces_of(data: np.ndarray, offsets: np.ndarray, most: int = _SLICE) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about ``most`` bytes, cut between words or rows; only a longer word makes a longer range, which is then that word alone."""
-    member, at, n = _letters(), int(offsets[0]) if len(offsets) else 0, int(offsets[-1]) if len(offsets) else 0
-    while at < n:
-        end = min(n, at + most)
-        if end < n:
-            gaps = np.flatnonzero(~member[data[at:end]])
-            row = int(offsets[np.searchsorted(offsets, end, "right") - 1])
-            end = max(at + int(gaps[-1]) + 1 if len(gaps) else at, row)
-            if end <= at:  # one word fills the range
-                stop = int(offsets[np.searchsorted(offsets, at, "right")])
-                end = at + most
-                while end < stop and member[data[end]]:
-                    more = np.flatnonzero(~member[data[end : min(stop, end + most)]])
-                    end = end + int(more[0]) if len(more) else min(stop, end + most)
-        yield at, end
-        at = end
-
-
-def _part(data: np.ndarray, offsets: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The lower-cased bytes of a range, the offsets of the rows in it, and its first row."""
-    lo, hi = int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
-    return tb.lower_table()[data[at:end]], np.clip(offsets[lo : hi + 1], at, end) - at, lo
+    return tb.cut(data, offsets, _letters(), most)
 
 
 def _spaced(part: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -249,7 +228,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
         data, offsets = tb.flat(b.column(1))
         for at, end in pieces_of(data, offsets):
-            part, local, row = _part(data, offsets, at, end)
+            part, local, row = tb.within(data, offsets, at, end)
             starts, ends, rows = tb.words(part, local, _letters())
             if not len(starts):
                 continue
@@ -314,7 +293,7 @@ def _scorer(pieces: list[bytes], model: dict[str, np.ndarray]):
             data, offsets = tb.flat(texts)
             total, letter = np.zeros((b.num_rows, len(names))), np.zeros(b.num_rows, bool)
             for at, end in pieces_of(data, offsets) if names else ():
-                part, local, row = _part(data, offsets, at, end)
+                part, local, row = tb.within(data, offsets, at, end)
                 total[row : row + len(local) - 1] += scorer(part, local)
                 seen = np.concatenate([[0], np.cumsum(ascii_letters[part])])
                 letter[row : row + len(local) - 1] |= seen[local[1:]] > seen[local[:-1]]

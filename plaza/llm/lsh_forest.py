@@ -79,11 +79,9 @@ def shortest_prefixes(trees: int, depth: int, similarity: float, recall: float,
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For row ranges [lo, hi) of ``texts``: the distinct shingle hashes, sorted within rows, and their rows from lo on."""
     data, offsets = tb.flat(texts)
-    lower, member = tb.lower_table(), tb.alnum_class()
     for lo, hi in tb.chunks(offsets, 1 << 20):
-        part = lower[data[offsets[lo] : offsets[hi]]]
-        starts, ends, rows = tb.words(part, offsets[lo : hi + 1] - offsets[lo], member)
-        h, r = tb.shingle_hashes(tb.word_hashes(part, starts, ends), rows, hi - lo, size)
+        words, rows = tb.hashed_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        h, r = tb.shingle_hashes(words, rows, hi - lo, size)
         order = np.lexsort((h, r))
         h, r = h[order], r[order]
         if len(h):
@@ -203,27 +201,37 @@ def _walk(floor: int, depth: int, most: int):
     return walk
 
 
-def intersections(rows: np.ndarray, hashes: np.ndarray, m: int, rare: int = 48) -> np.ndarray:
-    """Sizes of the pairwise intersections of m sets given as (row, hash) entries."""
-    order = np.argsort(hashes, kind="stable")
-    rows, hashes = rows[order], hashes[order]
-    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-    count = np.diff(np.concatenate([first, [len(hashes)]]))
-    out = np.zeros((m, m), np.float32)
+def intersections(rows: np.ndarray, hashes: np.ndarray, m: int, other_rows: np.ndarray, other_hashes: np.ndarray, k: int, rare: int = 48) -> np.ndarray:
+    """Sizes of the intersections of m sets with k others, given as (row, hash) entries."""
+    order = np.argsort(other_hashes, kind="stable")
+    other_rows, other_hashes = other_rows[order], other_hashes[order]
+    first = np.searchsorted(other_hashes, hashes, "left")
+    times = np.searchsorted(other_hashes, hashes, "right") - first
+    out = np.zeros((m, k), np.float32)
     flat = out.reshape(-1)
-    for c in range(2, rare + 1):
-        members = rows[first[count == c][:, None] + np.arange(c)]
-        for lo in range(0, len(members), max(1, (1 << 20) // (c * c))):
-            part = members[lo : lo + max(1, (1 << 20) // (c * c))]
-            where, times = np.unique((part[:, :, None].astype(np.int64) * m + part[:, None, :]).ravel(), return_counts=True)
-            flat[where] += times
-    often = np.flatnonzero(count > rare)
-    for lo in range(0, len(often), 1024):
-        columns = often[lo : lo + 1024]
-        dense = np.zeros((m, len(columns)), np.float32)
-        for k, c in enumerate(columns):
-            dense[rows[first[c] : first[c] + count[c]], k] = 1
-        out += dense @ dense.T
+    few = np.flatnonzero((times > 0) & (times <= rare))
+    for lo, hi in tb.chunks(np.concatenate([[0], np.cumsum(times[few])]), 1 << 20):
+        at = few[lo:hi]
+        ends = np.cumsum(times[at])
+        place = np.repeat(first[at] - ends + times[at], times[at]) + np.arange(int(ends[-1]))
+        where, n = np.unique(np.repeat(rows[at].astype(np.int64), times[at]) * k + other_rows[place], return_counts=True)
+        flat[where] += n
+    # Hashes of many others: matrix products over a bounded number of columns.
+    often = np.flatnonzero(times > rare)
+    names, column = np.unique(hashes[often], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    often, column = often[order], column[order]
+    cuts = np.searchsorted(column, np.arange(0, len(names) + 512, 512))
+    begin = first[often]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if lo == hi:
+            continue
+        base = column[lo]
+        mine, theirs = np.zeros((m, 512), np.float32), np.zeros((k, 512), np.float32)
+        mine[rows[often[lo:hi]], column[lo:hi] - base] = 1
+        for at in lo + np.flatnonzero(np.diff(column[lo:hi], prepend=-1)):
+            theirs[other_rows[begin[at] : begin[at] + times[often[at]]], column[at] - base] = 1
+        out += mine @ theirs.T
     return out
 
 
@@ -233,23 +241,40 @@ def _linker(size: int, similarity: float):
         for lo, _, h, r in shingle_sets(part.column("text").combine_chunks(), size):
             hashes.append(h)
             rows.append(r + lo)
-        m = part.num_rows
         h, r = np.concatenate(hashes), np.concatenate(rows)
-        ids, copies, side = (part.column(c).to_numpy() for c in ("set_id", "copies", "block"))
-        n = np.bincount(r, minlength=m)
-        both = intersections(r, h, m)
-        union = n[:, None] + n[None, :] - both
-        linked = both >= (similarity - 1e-9) * np.maximum(union, 1)
-        np.fill_diagonal(linked, False)
-        if part.column("i")[0].as_py() != part.column("j")[0].as_py():
-            linked &= side[:, None] != side[None, :]
-        root = ids.copy()
+        ids, copies, block = (part.column(c).to_numpy() for c in ("set_id", "copies", "block"))
+        one = part.column("i")[0].as_py() == part.column("j")[0].as_py()
+        left = np.flatnonzero(block == block[0]) if not one else np.arange(len(ids))
+        right = np.flatnonzero(block != block[0]) if not one else left
+        n, place = np.bincount(r, minlength=len(ids)), np.zeros(len(ids), np.int64)
+        place[left], mine = np.arange(len(left)), np.isin(r, left)
+        a_rows, a_hashes = place[r[mine]], h[mine]
+        place[right], theirs = np.arange(len(right)), np.isin(r, right)
+        linked = np.zeros((len(left), len(right)), bool)
+        both = intersections(a_rows, a_hashes, len(left), place[r[theirs]], h[theirs], len(right))
+        docs, texts, root = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), ids.copy()
+        for lo in range(0, len(left), 256):  # in strips, so that what is derived from the intersections stays small
+            some = left[lo : lo + 256]
+            union = n[some][:, None] + n[right][None, :] - both[lo : lo + 256]
+            near = both[lo : lo + 256] >= (similarity - 1e-9) * np.maximum(union, 1)
+            if one:
+                near[np.arange(len(some)), lo + np.arange(len(some))] = False
+            linked[lo : lo + 256] = near
+            docs[some] += near @ copies[right]
+            texts[some] += near.sum(axis=1)
+            if not one:
+                docs[right] += copies[some] @ near
+                texts[right] += near.sum(axis=0)
+        last = np.iinfo(np.int64).max
         while True:
-            now = np.minimum(root, np.where(linked, root[None, :], np.iinfo(np.int64).max).min(axis=1))
-            if (now == root).all():
+            before = root.copy()
+            for lo in range(0, len(left), 256):
+                some, near = left[lo : lo + 256], linked[lo : lo + 256]
+                root[some] = np.minimum(root[some], np.where(near, root[right][None, :], last).min(axis=1, initial=last))
+                root[right] = np.minimum(root[right], np.where(near, root[some][:, None], last).min(axis=0, initial=last))
+            if (before == root).all():
                 break
-            root = now
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked @ copies), pa.array(linked.sum(axis=1).astype(np.int64)), pa.array(root)], names=["set_id", "linked_docs", "linked_texts", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(docs), pa.array(texts), pa.array(root)], names=["set_id", "linked_docs", "linked_texts", "root"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["grp", "i", "j"]):

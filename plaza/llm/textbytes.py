@@ -117,3 +117,52 @@ def shingle_hashes(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int)
         order = np.argsort(at, kind="stable")
         out, at = out[order], at[order]
     return out, at
+
+
+def cut(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``most`` bytes, cut between words or rows; only a longer word makes a longer range, which is then that word alone."""
+    at, n = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
+    while at < n:
+        end = min(n, at + most)
+        if end < n:
+            gaps = np.flatnonzero(~member[data[at:end]])
+            row = int(offsets[np.searchsorted(offsets, end, "right") - 1])
+            end = max(at + int(gaps[-1]) + 1 if len(gaps) else at, row)
+            if end <= at:  # one word fills the range
+                stop = int(offsets[np.searchsorted(offsets, at, "right")])
+                end = at + most
+                while end < stop and member[data[end]]:
+                    more = np.flatnonzero(~member[data[end : min(stop, end + most)]])
+                    end = end + int(more[0]) if len(more) else min(stop, end + most)
+        yield at, end
+        at = end
+
+
+def within(data: np.ndarray, offsets: np.ndarray, at: int, end: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The lower-cased bytes of a range, the offsets of the rows in it, and its first row."""
+    lo, hi = int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, end, "left"))
+    return lower_table()[data[at:end]], np.clip(offsets[lo : hi + 1], at, end) - at, lo
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each lower-cased word of letters and digits; long rows are worked in pieces."""
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at, end in cut(data, offsets, alnum_class(), most):
+        part, local, row = within(data, offsets, at, end)
+        starts, ends, rows = words(part, local, alnum_class())
+        hashes.append(word_hashes(part, starts, ends))
+        owners.append(rows + row)
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def least_shingles(texts: pa.Array, size: int = 5) -> np.ndarray:
+    """The smallest hash of ``size`` consecutive words of each text, by which near copies mostly agree; 0 for no words."""
+    data, offsets = flat(texts)
+    least = np.zeros(len(texts), np.int64)
+    for lo, hi in chunks(offsets, 1 << 20):
+        h, rows = hashed_words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        h, r = shingle_hashes(h, rows, hi - lo, size)
+        if len(h):
+            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+            least[lo + r[first]] = np.minimum.reduceat(h, first).view(np.int64)
+    return least
