@@ -63,7 +63,7 @@ def prior(feature: str) -> float:
     if kind == "in":
         return 2.5 if value == "article" else -0.8 if value == "article-header" else -BOILER_TAGS[value]
     if kind == "word":
-        return -4.5 if value in BOILER_WORDS else -1.2 if value in DOUBTFUL_WORDS else 0.8 if value in CONTENT_WORDS else 0.0
+        return -5.5 if value in BOILER_WORDS else -1.2 if value in DOUBTFUL_WORDS else 0.8 if value in CONTENT_WORDS else 0.0
     if kind == "chars":
         return min(1.5, 0.35 * math.log(1 + 2 ** int(value) / 20))
     if kind == "links":

@@ -16,6 +16,8 @@ null doc_id comes first; an empty table gives an empty file set; other columns a
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 import zlib
 from array import array
@@ -24,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from tokenizers import Tokenizer
 from plaza.llm.shared import shared_dir, slices
 
 _FILE = "doc_id bigint, part int, at bigint, n_tokens int, ids array<int>"
+_HOLDER = "plaza_encoders_of_process"
 _RUNS = re.compile(r"[^ \t\r\n]+")
 _SYMBOLS = re.compile(r"[^\w\s]+")
 #: Latin-1 bytes as p (full stop or comma), s (other symbols), white space, or w.
@@ -57,11 +59,11 @@ class Encoder:
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
-        """One for all tasks of a worker process. Functions travel by value, so the library's module keeps it."""
-        kept = vars(tokenizers).setdefault("_encoders_of_process", {})
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        """One for all tasks of a worker process. Functions travel by value, so a module of its own keeps it."""
+        kept = sys.modules.setdefault(_HOLDER, types.ModuleType(_HOLDER))
+        if path not in vars(kept):
+            setattr(kept, path, cls(path))
+        return getattr(kept, path)
 
     def _of_run(self, run: str) -> bytes:
         if run.isalpha() and run.islower():

@@ -2,8 +2,9 @@
 
 1. Lexicon. Over a bounded sample of labelled documents (about ``sample`` of them, by a hash of doc_id; near copies are
    thinned to one by their smallest shingle hash) Spark counts in how many toxic and other documents each word and each
-   word beginning occurs. Entries whose share of toxic documents cannot be chance are kept; a beginning is prolonged while
-   it keeps nine tenths of its toxic documents, and becomes a whole word if one word accounts for them.
+   word beginning occurs (words of two letters or more; beginnings of 3 to 10 letters). All entries whose share of toxic
+   documents cannot be chance are kept; a beginning is prolonged while it keeps nine tenths of its toxic documents, and becomes a
+   whole word if one word accounts for them.
 2. Matching. The Levenshtein automata of all entries are intersected with the trie of the lexicon, and the product is
    determinised on demand, one state for each set of (trie node, edits). Longer entries allow more edits (0, 1 or 2);
    swapped neighbours count as one edit. Most words reach the dead state after a few letters.
@@ -36,7 +37,7 @@ from plaza.llm.shared import staged
 TOKEN = re.compile(r"\w(?:[\w@$*!]*\w)?")
 QUOTES = "\"“”„«»‹›"
 REPORTING = frozenset("said says say quoted quote quotes called calls wrote writes word words term terms slur insult insults dit disait mot mots écrit sagte sagt wort wörter schrieb dijo dice palabra palabras escribió".split())
-SHORTEST, LONGEST = 3, 10
+LEAST_WORD, SHORTEST, LONGEST = 2, 3, 10  # letters of a word, of the shortest and of the longest beginning that are learned
 _SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
 Lexicon = dict[str, bool]  # entry -> whether it stands for all words that begin with it
 
@@ -58,7 +59,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = {t for t in tokens(text) if len(t) >= SHORTEST}
+            found = {t for t in tokens(text) if len(t) >= LEAST_WORD}
             count[toxic].update("=" + t for t in found)
             count[toxic].update({"^" + t[:n] for t in found for n in range(SHORTEST, min(len(t), LONGEST) + 1)})
         if len(count[0]) + len(count[1]) > 500_000:
@@ -68,18 +69,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest hash of five consecutive words, by which near copies mostly agree."""
-    lower, member = tb.lower_table(), tb.alnum_class()
     for b in batches:
-        data, offsets = tb.flat(b.column(1))
-        least = np.zeros(b.num_rows, np.int64)
-        for lo, hi in tb.chunks(offsets, 1 << 20):
-            part = lower[data[offsets[lo] : offsets[hi]]]
-            starts, ends, rows = tb.words(part, offsets[lo : hi + 1] - offsets[lo], member)
-            h, r = tb.shingle_hashes(tb.word_hashes(part, starts, ends), rows, hi - lo, 5)
-            if len(h):
-                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                least[lo + r[first]] = np.minimum.reduceat(h, first).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least)], names=["doc_id", "text", "toxic", "least"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tb.least_shingles(b.column(1)))], names=["doc_id", "text", "toxic", "least"])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -93,7 +84,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
     return thin.groupBy("least", "toxic").agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic")
 
 
-def choose_lexicon(counts: pd.DataFrame, n_toxic: int, n_other: int, most: int = 4096) -> Lexicon:
+def choose_lexicon(counts: pd.DataFrame, n_toxic: int, n_other: int) -> Lexicon:
     """Entries that mark toxic documents: see the module's docstring. ``counts`` has entry, toxic, other."""
     if not n_toxic or not n_other:
         return {}
@@ -133,8 +124,7 @@ def choose_lexicon(counts: pd.DataFrame, n_toxic: int, n_other: int, most: int =
     for w in sorted(w for w in good if w[0] == "="):
         if not any(w[1:].startswith(c) for c in covered):
             lexicon[w[1:]] = False
-    ranked = sorted(lexicon, key=lambda e: -max(toxic.get("=" + e, 0), toxic.get("^" + e, 0)))
-    return {e: lexicon[e] for e in ranked[:most]}
+    return lexicon
 
 
 def edits_allowed(entry: str) -> int:

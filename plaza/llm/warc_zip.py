@@ -10,8 +10,8 @@ a field overflows; then the central directory is parsed (ZIP64 extra fields too)
 local headers, the index is read, and each record is read by its own range. Payload length and digest are recomputed from responses.
 
 Cases: a null html is an empty payload; repeated rows of a page are alike (all of the smallest page_id are responses); a null page_id
-comes before all others and refers_to it is null; a null or odd url is stored percent-encoded; an empty table gives an empty
-result; other columns are ignored.
+comes before all others and refers_to it is null; a null url has no target field; a url that cannot stand in a header as it is is
+stored percent-encoded, with a field that gives back the very text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from plaza.llm.shared import shared_dir, staged
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _MANIFEST = "path string, records bigint, bytes bigint"
 _RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_AS_GIVEN = "X-Target-As-Given"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -43,6 +44,13 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
+def _target(url: str | None) -> list[str]:
+    if url is None:
+        return []
+    shown = quote(url, safe=";/?:@&=+$,#%[]!*()~'")
+    return [f"WARC-Target-URI: {shown}", *([] if shown == url else [f"{_AS_GIVEN}: {quote(url, safe='')}"])]
+
+
 def warc_record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no payload, but the HTTP headers of the response it repeats."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
@@ -52,7 +60,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes | None, siz
         f"WARC-Type: {'revisit' if payload is None else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        *([] if url is None else [f"WARC-Target-URI: {quote(url, safe=';/?:@&=+$,#%[]!*()~')}"]),
+        *_target(url),
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"] if payload is None else []),
         "Content-Type: application/http; msgtype=response",
@@ -68,7 +76,7 @@ def parse_record(raw: bytes) -> tuple[int | None, str | None, int, str, str, int
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     named = lambda f: int(x) if (x := fields[f].removeprefix("<urn:page:").removesuffix(">")) else None
-    url = unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None
+    url = unquote(fields[_AS_GIVEN]) if _AS_GIVEN in fields else fields.get("WARC-Target-URI")
     if fields["WARC-Type"] == "revisit":
         size = int(next(line for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")).split(b":")[1])
         return named("WARC-Record-ID"), url, size, fields["WARC-Payload-Digest"].removeprefix("sha1:"), "revisit", named("WARC-Refers-To")
