@@ -1,16 +1,25 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each rule rejects a document whose measure lies beyond a cutoff. Cutoffs are learned per stratum (the language column)
-from labelled rows: a fixed ladder of cutoffs is walked from lax to strict, and a cutoff counts as certified while the
-exact binomial test rejects "the rule drops more than ``risk`` of the good documents of this stratum". The walk ends at
-the first cutoff that is not certified (fixed-sequence testing, so the ladder itself costs no correction), and the level
-of each walk is ``alpha`` divided by the number of walks (rules times strata, Bonferroni). With all rules together the
-share of good documents dropped in any stratum is at most ``risk * len(RULES)``, with probability ``1 - alpha``. Among
-the certified cutoffs the one that separates bad from good best is used; a rule that separates nothing is off.
-
-Cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike, each for itself; an
-empty table gives an empty result; labels that are null or whose document is missing are left out; columns other than
-the ones named are ignored; a null language is the stratum ``und``.
+from labelled rows outside the base rules, in two halves of their own (by a hash of doc_id):
+
+1. On the first half a fixed ladder of cutoffs is walked for each rule from lax to strict, and a cutoff counts as certified while the
+   exact binomial test rejects "the rule drops more than ``risk`` of the good documents of this stratum". The walk ends at
+   the first cutoff that is not certified (fixed-sequence testing, so the ladder itself costs no correction), and the level
+   of each walk is ``alpha`` divided by the number of walks (rules times strata, Bonferroni). Among the certified cutoffs the
+   one that separates bad from good best is chosen; a rule that separates nothing is off.
+2. On the second half the joint verdict is certified: the chosen rules are joined in the order of ``RULES``, and after each the exact test
+   asks whether all rules so far together drop more than ``risk`` of the good documents. The first rule with which that is not
+   certified is off, and all after it (a fixed sequence again, at ``alpha`` divided by the strata).
+
+So with probability ``1 - alpha`` the learned rules together drop at most ``risk`` of the good documents of any stratum that pass the
+base rules, which are not learned. Tests need independent trials, so of labelled documents of a stratum and half that share
+their smallest shingle of five words, by which near copies mostly agree, one counts (the one with the smallest doc_id).
+
+Cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike, each for itself, and count once in
+the tests; an empty table gives an empty result; labels that are null or whose document is missing are left out, and a document
+that is labelled both ways counts as bad; columns other than the ones named are ignored; a null language is the stratum ``und``; very
+long texts are measured whole, by one row.
 """
 
 from __future__ import annotations
@@ -25,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plaza.llm import textbytes as tb
 from plaza.llm.shared import staged
 
 #: Rule name -> (sign, cutoffs from lax to strict). With sign 1 values of at least the cutoff are rejected, with -1 values of at most it.
@@ -37,7 +47,7 @@ RULES: dict[str, tuple[int, tuple[float, ...]]] = {
 }
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
-_MEASURES = "doc_id bigint, stratum string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
+_MEASURES = "doc_id bigint, stratum string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, least bigint"
 
 
 def text_measures(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -61,12 +71,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [text_measures(t) for t in b.column(2).to_pylist()]
         columns = [pa.array(x, pa.int64()) for x in zip(*got, strict=True)] or [pa.array([], pa.int64())] * 6
-        names = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=names)
+        names = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "least"]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns, pa.array(tb.least_shingles(b.column(2)))], names=names)
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """One row of measures for each row of ``docs`` (doc_id, text, lang)."""
+    """One row of measures for each row of ``docs`` (doc_id, text, lang); ``least`` is the smallest shingle hash."""
     return docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("lang"), F.lit("und")).alias("stratum"), "text").mapInArrow(_measure, _MEASURES)
 
 
@@ -108,25 +118,37 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return hi
 
 
+def _base(min_words: int, max_repeat_percent: int) -> Column:
+    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+
+def holdout(measured: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """(stratum, half, good, reached): labelled documents that pass the base rules, near copies thinned, with the rungs that each rule reaches."""
+    marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
+    held = measured.where(~_base(min_words, max_repeat_percent)).join(marked, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    ratios = _ratios()
+    reached = F.struct(*[_beyond(ratios[r], r).alias(r) for r in RULES])
+    return held.groupBy("stratum", "half", "good", "least").agg(F.min_by(reached, F.struct("doc_id", "n_words")).alias("reached")).drop("least")
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float = 0.05, weight: float = 3.0) -> DataFrame:
     """Certified cutoffs: (stratum, rule, rung, cutoff, n_good, n_lost, bound); ``cutoff`` is null for a rule that is off.
 
-    Every labelled document is used. ``rung`` is the number of ladder steps taken; the counts are small tables of
-    strata x rules x rungs, summed on the executors.
+    Every labelled document is used. ``rung`` is the number of ladder steps taken; n_good, n_lost and bound are those of the joint
+    verdict up to this rule. The counts are small tables of strata x rules x rungs, summed on the executors.
     """
-    held = measured.join(labels.where("quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("quality") > 0).alias("good")).distinct(), "doc_id")
-    ratios = _ratios()
-    rungs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _beyond(ratios[r], r).alias("reached")) for r in RULES])).alias("x")
-    counts = held.select("stratum", "good", rungs).groupBy("stratum", "x.rule", "x.reached").agg(
+    held = staged(holdout(measured, labels), "holdout")
+    rungs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"reached.{r}").alias("reached")) for r in RULES])).alias("x")
+    counts = held.where("half = 0").select("stratum", "good", rungs).groupBy("stratum", "x.rule", "x.reached").agg(
         F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")
     )
-    walks = max(1, len(RULES) * held.select("stratum").distinct().count())
+    strata = max(1, held.select("stratum").distinct().count())
+    walks = len(RULES) * strata
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        stratum, rule = pdf["stratum"].iloc[0], pdf["rule"].iloc[0]
-        ladder = RULES[rule][1]
+        ladder = RULES[pdf["rule"].iloc[0]][1]
         good, bad = int(pdf["good"].sum()), int(pdf["bad"].sum())
-        best, choice = 0.0, (0, None, good, 0, None)
+        best, choice = 0.0, 0
         for rung in range(1, len(ladder) + 1):
             hit = pdf[pdf["reached"] >= rung]
             lost, caught = int(hit["good"].sum()), int(hit["bad"].sum())
@@ -134,10 +156,32 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, alph
                 break
             gain = caught / max(1, bad) - weight * lost / good
             if gain > best:
-                best, choice = gain, (rung, float(ladder[rung - 1]), good, lost, upper_bound(lost, good, alpha / walks))
-        return pd.DataFrame([(stratum, rule, *choice)], columns=["stratum", "rule", "rung", "cutoff", "n_good", "n_lost", "bound"])
-
-    return counts.groupBy("stratum", "rule").applyInPandas(walk, "stratum string, rule string, rung int, cutoff double, n_good long, n_lost long, bound double")
+                best, choice = gain, rung
+        return pd.DataFrame([(pdf["stratum"].iloc[0], pdf["rule"].iloc[0], choice)], columns=["stratum", "rule", "rung"])
+
+    chosen = staged(counts.groupBy("stratum", "rule").applyInPandas(walk, "stratum string, rule string, rung int"), "chosen")
+    limits = chosen.where("rung > 0").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rung"))).alias("limits"))
+    # How many of the rules, in their order, it takes to drop a good document of the second half; none of them: one more than there are.
+    drops = [F.when(F.col(f"reached.{r}") >= F.col("limits")[F.lit(r)], F.lit(k + 1)) for k, r in enumerate(RULES)]
+    second = held.where("half = 1 and good").join(F.broadcast(limits), "stratum", "left")  # one row for each stratum with labels
+    first = second.select("stratum", F.coalesce(*drops, F.lit(len(RULES) + 1)).alias("first")).groupBy("stratum", "first").agg(F.count("*").alias("n"))
+    both = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rung"))).alias("rungs"))
+    both = both.join(first.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("firsts")), "stratum", "left")
+
+    def certify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for stratum, rungs, firsts in zip(pdf["stratum"], pdf["rungs"], pdf["firsts"], strict=True):
+                rungs, firsts, on = dict(rungs), dict(firsts) if firsts is not None else {}, True
+                good = sum(firsts.values())
+                for k, (rule, (_, ladder)) in enumerate(RULES.items()):
+                    rung, lost = rungs.get(rule, 0), sum(n for f, n in firsts.items() if f <= k + 1)
+                    on = on and (rung == 0 or (good > 0 and binomial_tail(lost, good, risk) <= alpha / strata))
+                    taken = rung if on else 0
+                    out.append((stratum, rule, taken, float(ladder[taken - 1]) if taken else None, good, lost if taken else 0, upper_bound(lost, good, alpha / strata) if taken else None))
+            yield pd.DataFrame(out, columns=["stratum", "rule", "rung", "cutoff", "n_good", "n_lost", "bound"])
+
+    return both.mapInPandas(certify, "stratum string, rule string, rung int, cutoff double, n_good long, n_lost long, bound double")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
@@ -145,7 +189,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, min_words: int = 50, max_repe
     limits = cutoffs.where("rung > 0").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rung"))).alias("limits"))
     ratios = _ratios()
     broken = F.array_compact(F.array(*[F.when(_beyond(ratios[r], r) >= F.col("limits")[F.lit(r)], F.lit(r)) for r in RULES]))
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    base = _base(min_words, max_repeat_percent)
     out = measured.join(limits, "stratum", "left").withColumn("base_failed", base).withColumn("broken_rules", broken)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)).drop("limits")
 

@@ -250,7 +250,7 @@ def test_html_table(spark, sf):
 
 
 def test_warc_round_trip(spark):
-    data = [(5, "http://a/é b", "<p>x</p>"), (3, "u", "<p>x</p>"), (3, "u", "<p>x</p>"), (9, None, None), (2, "e", ""), (None, "n", "only"), (7, "z\r\nX: y", "ünï" * 50_000)]
+    data = [(5, "http://a/é b", "<p>x</p>"), (3, "u", "<p>x</p>"), (3, "u", "<p>x</p>"), (9, None, None), (2, "e", ""), (None, "n", "only"), (7, "z\r\nX: y", "ünï" * 50_000), (11, "http://x/a%20b?q=%2F#'", "q"), (12, "http://x/a%20b ü", "r"), (13, "", "s")]
     pages = spark.createDataFrame(data, "page_id bigint, url string, html string").withColumns({"size": F.lit("s"), "sha1": F.lit(1)})
     manifest = warc_zip.write_archives(pages, shared_dir(spark) + "/warc-test", records=2)
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.url) for r in warc_zip.read_archives(manifest).collect()), key=str)

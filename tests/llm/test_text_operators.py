@@ -110,6 +110,15 @@ def test_prefixes_shorten_to_the_recall_of_each_size():
         assert 1 - (1 - lsh_forest.least_similarity(n, 0.8) ** float(found[n])) ** 32 >= 0.9999
 
 
+def test_intersections_equal_sets():
+    rng = np.random.default_rng(8)
+    sets = [set(rng.integers(0, 60, 20).tolist()) | set(rng.integers(60, 9000, 30).tolist()) for _ in range(150)]
+    entries = lambda some: (np.array([i for i, x in enumerate(some) for _ in x]), np.array([h for x in some for h in x], np.uint64))
+    a, b = sets[:70], sets[50:]
+    for rare in (3, 48):
+        assert lsh_forest.intersections(*entries(a), len(a), *entries(b), len(b), rare).tolist() == [[len(x & y) for y in b] for x in a]
+
+
 def test_walk_of_a_node_equals_all_pairs():
     """Groups after the walk of a trie node against all pairs that share an allowed prefix."""
     rng = np.random.default_rng(6)
@@ -212,23 +221,106 @@ def test_binomial_bounds():
     assert quality_rules.upper_bound(5, 5, 0.05) == 1.0
 
 
+def quality_table(spark, n=2000):
+    """Good and bad texts with words of their own, odd rows, and columns that clash."""
+    good = lambda i: " ".join(f"word{i}x{k}" for k in range(60))
+    bad = lambda i: " ".join(f"word{i}x{k}%%%" for k in range(60))
+    rows = [(i, bad(i) if i % 10 == 0 else good(i), "en", "s", 1) for i in range(n)]
+    rows += [(9000, None, None, None, None), (9001, "short", "en", "s", 1), (9002, "a b c " * 40, "en", "s", 1), (9003, good(1), None, "s", 1), (7, good(7), "en", "s", 1), (9004, "long%%% " + good(3) * 400, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("x") for c in ("stratum", "n_words", "least", "half", "good", "limits", "kept")})
+    labels = [(i, int(i % 10 != 0), 0) for i in range(n)] + [(None, 1, 0), (5, None, 0), (99999, 1, 0), (11, 0, 0), (11, 1, 0)]
+    return docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
 def test_quality_rules_certify_and_judge(spark):
-    good = " ".join(f"word{i}" for i in range(60))
-    bad = " ".join(f"word{i}%%%" for i in range(60))
-    docs = spark.createDataFrame([(i, bad if i % 10 == 0 else good, "en", "s", 1) for i in range(3000)] + [(9000, None, None, None, None), (9001, "short", "en", "s", 1), (9002, "a b c " * 40, "en", "s", 1)], DOCS)
-    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(3000)] + [(None, 1, 0), (5, None, 0), (99999, 1, 0)], "doc_id bigint, quality int, toxic int")
+    docs, labels = quality_table(spark)
     measured = quality_rules.measures(docs)
     cut = {r.rule: r for r in quality_rules.fit_cutoffs(measured, labels).where("stratum = 'en'").collect()}
-    assert cut["symbol_ratio"].cutoff is not None and cut["symbol_ratio"].bound <= 0.01
+    assert cut["symbol_ratio"].cutoff is not None and cut["symbol_ratio"].bound <= 0.01 and cut["symbol_ratio"].n_lost == 0
     assert cut["repeat_ratio"].cutoff is None
     out = {r.doc_id: r for r in quality_rules.judge(measured, quality_rules.fit_cutoffs(measured, labels)).collect()}
-    assert not out[10].kept and out[11].kept and out[9000].base_failed and out[9001].base_failed and out[9002].base_failed
-    # Too few labels certify nothing.
+    assert not out[10].kept and out[11].kept and out[9000].base_failed and out[9001].base_failed and out[9002].base_failed and out[9003].kept
+    assert out[9004].n_words == 1 + 60 + 399 * 59 and len(out) == 2000 + 5
+    # Too few labels certify nothing, and copies are no labels of their own.
     few = quality_rules.fit_cutoffs(measured, labels.where("doc_id < 50"))
     assert few.where("rung > 0").count() == 0
+    text = docs.first().text
+    same = spark.createDataFrame([(i, text + "%" if i % 10 == 0 else text, "en", "s", 1) for i in range(2000)], DOCS)
+    assert quality_rules.fit_cutoffs(quality_rules.measures(same), labels).where("rung > 0").count() == 0
     none = quality_rules.judge(measured, quality_rules.fit_cutoffs(measured, labels.limit(0)))
-    assert none.where("kept").count() == 3000
-    assert quality_rules.judge(quality_rules.measures(docs.limit(0)), quality_rules.fit_cutoffs(quality_rules.measures(docs.limit(0)), labels)).count() == 0
+    assert none.where("kept").count() == 2000 + 2
+    empty = quality_rules.measures(docs.limit(0))
+    assert quality_rules.judge(empty, quality_rules.fit_cutoffs(empty, labels)).count() == 0
+
+
+def test_quality_joint_verdict_is_certified(spark):
+    """A rule that would drop too many of the second half's good documents together with those before it is off."""
+    docs, labels = quality_table(spark)
+    measured = quality_rules.measures(docs)
+    held = quality_rules.holdout(measured, labels)
+    assert held.where("half = 0").count() + held.where("half = 1").count() == held.count() <= 2000
+    # In the second half, half of the good documents have symbols.
+    spoiled = measured.withColumn("n_symbols", F.when((F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1) & (F.col("doc_id") % 2 == 1), 300).otherwise(F.col("n_symbols")))
+    assert quality_rules.fit_cutoffs(spoiled, labels).where("rung > 0").count() == 0
+
+
+def brute_force_quality(rows, labels, risk=0.01, alpha=0.05, weight=3.0):
+    """(doc_id, half, least, lang, text) rows -> {(doc_id, text): (measures, base_failed, kept)}, in plain Python."""
+    seen = {(r.doc_id, r.text): quality_rules.text_measures(r.text) for r in rows}
+    base = {k: m[0] < 50 or 100 * m[4] > 50 * m[0] for k, m in seen.items()}
+
+    def rung(m, rule):
+        sign, ladder = quality_rules.RULES[rule]
+        n, x = max(1, m[0]), {"symbol_ratio": m[2], "dup_line_ratio": m[3], "repeat_ratio": m[4]}.get(rule, m[1])
+        x = x / max(1, m[5]) if rule == "dup_line_ratio" else x / n
+        return sum(x >= c if sign > 0 else x <= c for c in ladder)
+
+    value = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            value[d] = min(value.get(d, q), q)
+    thin = {}
+    for r in sorted((r for r in rows if r.doc_id in value), key=lambda r: (r.doc_id, len((r.text or "").split()))):
+        if not base[r.doc_id, r.text]:
+            thin.setdefault((r.lang or "und", r.half, value[r.doc_id] > 0, r.least), seen[r.doc_id, r.text])
+    strata, chosen = {k[0] for k in thin}, {}
+    tail = lambda k, n: sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+    for s in strata:
+        first = [(k[2], m) for k, m in thin.items() if k[:2] == (s, 0)]
+        second = [m for k, m in thin.items() if k[:3] == (s, 1, True)]
+        on, rules = True, {}
+        for rule, (_, ladder) in quality_rules.RULES.items():
+            good, bad = [m for g, m in first if g], [m for g, m in first if not g]
+            best, pick = 0.0, 0
+            for k in range(1, len(ladder) + 1):
+                lost, caught = sum(rung(m, rule) >= k for m in good), sum(rung(m, rule) >= k for m in bad)
+                if not good or tail(lost, len(good)) > alpha / (len(quality_rules.RULES) * len(strata)):
+                    break
+                if (gain := caught / max(1, len(bad)) - weight * lost / len(good)) > best:
+                    best, pick = gain, k
+            if pick:
+                lost = sum(any(rung(m, x) >= k for x, k in {**rules, rule: pick}.items()) for m in second)
+                on = on and bool(second) and tail(lost, len(second)) <= alpha / len(strata)
+                if on:
+                    rules[rule] = pick
+        chosen[s] = rules
+    return {(r.doc_id, r.text): (seen[r.doc_id, r.text], base[r.doc_id, r.text], not base[r.doc_id, r.text] and not any(rung(seen[r.doc_id, r.text], x) >= k for x, k in chosen.get(r.lang or "und", {}).items())) for r in rows}
+
+
+def test_op1_equals_brute_force(spark, sf, tmp_path):
+    """The query on the smallest table and on one with labels enough to certify a rule."""
+    docs, labels = quality_table(spark)
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for folder in (sf, f"{tmp_path}"):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        hashed = quality_rules.measures(docs).select("doc_id", "least").distinct()
+        rows = docs.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2))).join(hashed, "doc_id").collect()
+        marks = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+        want = sorted((k[0], m[:5], b, x) for k, (m, b, x) in brute_force_quality(rows, marks).items())
+        got = {(r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.base_failed, r.kept) for r in quality_rules.op1_quality_rules(spark, folder).collect()}
+        assert sorted(got) == want
+    assert sum(not x for _, _, b, x in want if not b) >= 190
 
 
 def test_mixing_meets_goals(spark):
