@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plaza.functions import scalar as S
+from plaza.sources.paths import staged
 
 DIMENSIONS = ("sentiment", "emotion", "stance", "risk_level")
 
@@ -143,7 +144,7 @@ def trend(comments: DataFrame, analyses: DataFrame, bucket: str = "day") -> Data
     if bucket not in ("hour", "day"):
         raise ValueError("bucket must be hour or day")
     timed = comments.where("published_at is not null").select("comment_id", "published_at")
-    newest = latest(analyses, columns=["sentiment", "risk_level", "sentiment_score"]).drop("created_at", "id").withColumn("_known", F.lit(1))
+    newest = latest(analyses, timed, ["sentiment", "risk_level", "sentiment_score"]).drop("created_at", "id").withColumn("_known", F.lit(1))
     both = timed.join(newest, "comment_id", "left").groupBy(F.date_trunc(bucket, "published_at").alias("bucket_start"))
     named = lambda column, value: F.count_if(F.col(column) == value)
     return both.agg(
@@ -182,8 +183,10 @@ def trend_summary(points: DataFrame) -> DataFrame:
     )
 
 
-def inflections(points: DataFrame, bucket: str = "day", least: int = 10, most: int = 20) -> DataFrame:
-    """Buckets that differ from the one right before: risk spikes, recoveries and volume surges; the strongest ``most`` of them.
+def inflections(points: DataFrame, bucket: str = "day", least: int = 10, most: int | None = 20) -> DataFrame:
+    """Buckets that differ from the one right before: risk spikes, recoveries and volume surges; the strongest ``most`` of them, or all.
+
+    Fixed values: a score change of 15 counts and of 30 is high; a volume change of 50 % counts, and 100 % weighs as much as 20 points.
 
     Buckets are one row for each hour or day, so the one ordered window over them is small.
     """
@@ -204,13 +207,13 @@ def inflections(points: DataFrame, bucket: str = "day", least: int = 10, most: i
     size = F.when(F.col("kind") == "volume_surge", F.col("volume_change_ratio") * 20).otherwise(F.abs("score_delta"))
     x = x.withColumn("severity", F.when(size >= 30, "high").when(size >= 15, "medium").otherwise("low"))
     strength = F.greatest(F.abs("score_delta"), F.abs("volume_change_ratio") * 20)
-    ranked = x.withColumn("_rank", F.row_number().over(Window.orderBy(strength.desc(), "bucket_start"))).where(F.col("_rank") <= most)
+    ranked = x.orderBy(strength.desc(), "bucket_start").limit(most) if most is not None else x
     return ranked.select("bucket_start", "kind", "severity", "score_delta", "volume_change_ratio").orderBy("bucket_start")
 
 
 def opinion_summary(comments: DataFrame, analyses: DataFrame, top_k: int = 10) -> DataFrame:
     """All sections of a public-opinion summary as long rows (section, key, subkey, n, percentage)."""
-    newest = latest(analyses, comments).cache()
+    newest = staged(latest(analyses, comments), "newest")
     row = lambda df, section, key, sub, n, pct: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), sub.cast("string").alias("subkey"), n.cast("double").alias("n"), pct.cast("double").alias("percentage"))  # noqa: E731, E501
     none = F.lit(None)
     cover = coverage(comments, analyses)
@@ -234,7 +237,7 @@ def high_risk(comments: DataFrame, analyses: DataFrame, limit: int = 20) -> Data
     """The most liked comments whose latest analysis says high risk."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1 to 100")
-    risky = latest(analyses, columns=["risk_level"]).where("risk_level = 'high'").select("comment_id")
+    risky = latest(analyses, comments, ["risk_level"]).where("risk_level = 'high'").select("comment_id")
     order = [F.col("like_count").desc_nulls_last(), F.col("published_at").desc_nulls_last(), F.col("comment_id")]
     return comments.join(risky, "comment_id").orderBy(*order).limit(limit)
 
@@ -252,9 +255,10 @@ def keep_first_text(df: DataFrame, key: Column, order: Sequence[Column]) -> Data
 def min_max_within(df: DataFrame, group: str, column: str, name: str) -> DataFrame:
     """log(1 + x) scaled to 0..1 within each group; 0 where a group has no spread."""
     x = F.log1p(F.greatest(F.coalesce(column, F.lit(0)), F.lit(0)))
-    w = Window.partitionBy(group)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return df.withColumn(name, F.when(high > low, (x - low) / (high - low)).otherwise(0.0))
+    ends = df.groupBy(F.col(group).alias("_group")).agg(F.min(x).alias("_low"), F.max(x).alias("_high"))  # a row for each group
+    low, high = F.col("_low"), F.col("_high")
+    joined = df.join(ends, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn(name, F.when(high > low, (x - low) / (high - low)).otherwise(0.0)).drop("_group", "_low", "_high")
 
 
 def existing(comments: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,3 +276,17 @@ def word_frequency(texts: Column, df: DataFrame, stop_words: Sequence[str] = (),
     own = F.flatten(F.array(*[F.array_repeat(F.lit(w), F.regexp_count(low, F.lit(rf"\Q{w}\E"))) for w in custom])) if custom else F.array().cast("array<string>")
     words = df.select(F.explode(F.concat(latin, pairs, own)).alias("word")).where(~F.col("word").isin(*stop_words) if stop_words else F.lit(True))
     return words.groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(top_k)
+
+
+def tree_hash(rows: DataFrame, group: str, key: str, value: str, width: int = 4096, levels: int = 3) -> DataFrame:
+    """(group, hash): one hash of all (key, value) of each group, whatever their order.
+
+    Keys are distinct counting numbers. Runs of ``width`` keys are hashed in order, then runs of these hashes, ``levels`` times, so no list
+    is longer than ``width`` while keys are under ``width ** (levels + 1)``.
+    """
+    x = rows.select(F.col(group).alias("_g"), F.col(key).cast("bigint").alias("_k"), F.col(value).alias("_v"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda r: F.concat(r["_k"].cast("string"), F.lit(":"), r["_v"]))
+    digest = F.sha2(F.array_join(lines, ","), 256)
+    for _ in range(levels):
+        x = x.groupBy("_g", F.expr(f"_k div {width}").alias("_up")).agg(digest.alias("_v")).withColumnRenamed("_up", "_k")
+    return x.groupBy(F.col("_g").alias(group)).agg(digest.alias("hash"))

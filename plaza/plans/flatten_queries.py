@@ -166,3 +166,53 @@ def c18(spark, sf_dir):
     o = load(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     x = C.with_replies(_raw(o, _s(id=F.col("o_orderkey").cast("string"), sub_comments=F.coalesce("subs", F.array().cast("array<struct<id:string>>"))), F.col("o_orderkey").alias("note_id")), "sub_comments", "id")
     return x.select("note_id", F.get_json_object("raw", "$.id").alias("id"), "parent_id")
+
+
+@query("c11_weibo_comments", """SELECT CAST(o_orderkey % 50 AS VARCHAR) AS note_id, CAST(o_orderkey AS VARCHAR) AS comment_id, 'to x' AS content, CAST(o_orderkey % 9 AS VARCHAR) AS sub_comment_count, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS parent_comment_id,
+o_orderstatus AS ip_location, CAST(o_custkey AS VARCHAR) AS user_id FROM orders""")
+def c11_comments(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    rec = _s(id="o_orderkey", text=_lit("to <b>x</b>"), total_number=F.col("o_orderkey") % 9, rootid=F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")), source=F.concat(_lit("来自"), F.col("o_orderstatus")), user=_s(id="o_custkey"))
+    return C.weibo_comments(_raw(o, rec, (F.col("o_orderkey") % 50).cast("string").alias("note_id"))).select("note_id", "comment_id", "content", "sub_comment_count", "parent_comment_id", "ip_location", "user_id")
+
+
+@query("c11_weibo_creators", "SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS nickname, c_mktsegment AS ip_location, CAST(c_custkey * 2 AS VARCHAR) AS follows, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CAST(c_custkey * 3 AS VARCHAR) END AS fans, '' AS tag_list FROM customer")
+def c11_creators(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    rec = _s(screen_name="c_name", source=F.concat(_lit("来自"), F.col("c_mktsegment")), follow_count=F.col("c_custkey") * 2, followers_count=F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") * 3))
+    return C.weibo_creators(_raw(c, rec, F.col("c_custkey").cast("string").alias("user_id"))).select("user_id", "nickname", "ip_location", "follows", "fans", "tag_list")
+
+
+@query("c13_kuaishou_videos", """SELECT CAST(o_orderkey AS VARCHAR) AS video_id, o_orderpriority AS title, o_orderkey * 1000 AS create_time, CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey % 7 AS VARCHAR) AS liked_count,
+'https://www.kuaishou.com/short-video/' || o_orderkey AS video_url FROM orders WHERE o_orderkey % 5 <> 0""")
+def c13_videos(spark, sf_dir):
+    """A record without a photo id is no video."""
+    o = load(spark, sf_dir, "orders")
+    photo = _s(id=F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey").cast("string")), caption="o_orderpriority", timestamp=F.col("o_orderkey") * 1000, realLikeCount=F.col("o_orderkey") % 7)
+    return C.kuaishou_videos(_raw(o, _s(type=_lit(1), photo=photo, author=_s(id=F.col("o_custkey").cast("string"))))).select("video_id", "title", "create_time", "user_id", "liked_count", "video_url")
+
+
+@query("c13_kuaishou_creators", "SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS nickname, CASE WHEN c_custkey % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender, CAST(c_custkey * 2 AS VARCHAR) AS follows, CAST(c_custkey * 3 AS VARCHAR) AS fans, CAST(c_custkey AS VARCHAR) AS interaction FROM customer")
+def c13_creators(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    rec = _s(profile=_s(user_name="c_name", gender=F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M")), ownerCount=_s(follow=F.col("c_custkey") * 2, fan=F.col("c_custkey") * 3, photo_public="c_custkey"))
+    return C.kuaishou_creators(_raw(c, rec, F.col("c_custkey").cast("string").alias("user_id"))).select("user_id", "nickname", "gender", "follows", "fans", "interaction")
+
+
+@query("c14_tieba_search", """SELECT CAST(o_orderkey AS VARCHAR) AS note_id, o_orderpriority AS title, 'https://tieba.baidu.com/p/' || o_orderkey AS note_url, CAST(o_orderkey % 11 AS INT) AS total_replay_num FROM orders WHERE o_orderkey % 3 < 2""")
+def c14_search(spark, sf_dir):
+    """Two cards a result, of which threads with an id count."""
+    o = load(spark, sf_dir, "orders")
+    data = _s(tid=F.col("o_orderkey").cast("string"), title=F.concat(_lit(" "), F.col("o_orderpriority"), _lit(" ")), post_num=F.col("o_orderkey") % 11)
+    kind = F.col("o_orderkey") % 3
+    card = _s(cardInfo=F.when(kind == 0, "thread"), cardStyle=F.when(kind == 1, "thread").otherwise("user"), data=data)
+    return C.tieba_search(_raw(o, _s(data=_s(card_list=F.array(card, _s(cardInfo=_lit("thread"), cardStyle=_lit("x"), data=_s(tid=F.lit(None).cast("string"), title=_lit("t"), post_num=F.lit(0).cast("bigint")))))))).select("note_id", "title", "note_url", "total_replay_num")
+
+
+@query("c16_zhihu_comments", """SELECT CAST(l_orderkey AS VARCHAR) AS content_id, l_orderkey || '-' || l_linenumber AS comment_id, 'a b' AS content, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE '' END AS ip_location, CAST(l_linenumber AS INT) AS sub_comment_count,
+'https://www.zhihu.com/people/u' || l_suppkey AS user_link FROM lineitem""")
+def c16_comments(spark, sf_dir):
+    x = load(spark, sf_dir, "lineitem")
+    tags = F.array(_s(type=_lit("other"), text=_lit("no")), _s(type=F.when(F.col("l_linenumber") % 2 == 0, "ip_info").otherwise("none"), text="l_returnflag"))
+    rec = _s(id=F.concat_ws("-", "l_orderkey", "l_linenumber"), content=_lit("<p>a <b>b</b></p>"), comment_tag=tags, child_comment_count="l_linenumber", author=_s(url_token=F.concat(_lit("u"), F.col("l_suppkey"))))
+    return C.zhihu_comments(_raw(x, rec, F.col("l_orderkey").cast("string").alias("content_id"), _lit("answer").alias("content_type"))).select("content_id", "comment_id", "content", "ip_location", "sub_comment_count", "user_link")

@@ -10,16 +10,22 @@ from plaza.plans.registry import load, query
 from plaza.plans.views import cte, view
 from plaza.sources import files as A
 from plaza.sources import pages as P
-from plaza.sources.paths import fresh
+from plaza.sources.paths import fresh, staged
 
 
-@query("a2_json_array", "SELECT n_nationkey, n_name FROM nation")
+def _slots(df, key: str, size: int = 5000):
+    """``df`` with a slot of about ``size`` rows each, by the remainder of a key that counts up; a slot is written as one file."""
+    return df.withColumn("slot", F.col(key) % max(1, -(-df.count() // size)))
+
+
+@query("a2_json_array", "SELECT c_custkey, c_name FROM customer")
 def a2(spark, sf_dir):
-    """Written as one array and read back."""
+    """Files of one array each, of a bounded number of records, read back."""
     path = fresh(spark, "array")
-    n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    A.export_json_array(n, path)
-    return A.read_json_file(spark, path, n.schema)
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    array = F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("c_custkey", "c_name"))), ",\n"), F.lit("\n]")).alias("value")
+    _slots(c, "c_custkey", 500).groupBy("slot").agg(array).repartition("slot").write.partitionBy("slot").text(path)
+    return A.read_json_file(spark, path, c.schema).select("c_custkey", "c_name")
 
 
 @query("a5_discovery", "SELECT DISTINCT CASE WHEN event_type = 'view' THEN 'comment' WHEN event_type = 'click' THEN 'content' ELSE 'author' END AS kind, 'json' AS format FROM events")
@@ -29,31 +35,55 @@ def a5(spark, sf_dir):
     return A.catalog(spark, path, "*.json").select(A.kind_of(F.col("path")).alias("kind"), "format").distinct()
 
 
-@query("a6_fingerprints", "SELECT count(*) AS files FROM (SELECT DISTINCT event_type FROM events) x")
+_SLOTS = "WITH s AS (SELECT DISTINCT event_id % greatest(1, CAST(ceil((SELECT count(*) FROM events) / 5000.0) AS BIGINT)) AS slot FROM events) "
+
+
+@query("a6_fingerprints", _SLOTS + "SELECT count(*) AS files, count(*) AS prints, true AS same_run, false AS same_after_append FROM s")
 def a6(spark, sf_dir):
+    """Fingerprints of all files, and a run id that stays while the files do."""
     path = fresh(spark, "prints")
-    load(spark, sf_dir, "events").coalesce(1).write.partitionBy("event_type").json(path)
-    return A.fingerprints(spark, path).where(F.col("path").endswith(".json")).agg(F.count_distinct("sha256").alias("files"))
+    e = _slots(load(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").repartition("slot")
+    e.write.partitionBy("slot").json(path)
+    prints = A.fingerprints(spark, path).where(F.col("path").endswith(".json"))
+    one, again = (A.run_id(prints).first()[0] for _ in range(2))
+    out = staged(prints.agg(F.count("*").alias("files"), F.count_distinct("sha256").alias("prints")), "files")
+    e.where("slot = 0").write.mode("append").partitionBy("slot").json(path)
+    later = A.run_id(A.fingerprints(spark, path).where(F.col("path").endswith(".json"))).first()[0]
+    return out.select("files", "prints", F.lit(one == again).alias("same_run"), F.lit(one == later).alias("same_after_append"))
 
 
-@query("a8_latest_batch")
+@query("a8_latest_batch", _SLOTS + "SELECT slot, true AS has_size FROM s")
 def a8(spark, sf_dir):
+    """All files of one write are the latest batch, as none of them has siblings in its folder."""
     path = fresh(spark, "batch")
-    load(spark, sf_dir, "events").coalesce(1).write.partitionBy("event_type").json(path)
-    return A.latest_batch(A.catalog(spark, path, "*.json")).select("name", "size")
+    _slots(load(spark, sf_dir, "events"), "event_id").repartition("slot").write.partitionBy("slot").json(path)
+    batch = A.latest_batch(A.catalog(spark, path, "*.json"), 86400)
+    return batch.select(F.regexp_extract("path", r"slot=(\d+)", 1).cast("bigint").alias("slot"), (F.col("size") > 0).alias("has_size"))
 
 
-@query("a9_changed_files", "SELECT 1::BIGINT AS changed")
+@query("a9_changed_files", _SLOTS + "SELECT count(*) FILTER (slot % 2 = 0) AS changed FROM s")
 def a9(spark, sf_dir):
+    """Files that a second write adds for half of the slots."""
     path = fresh(spark, "diff")
-    e = load(spark, sf_dir, "events").coalesce(1)
-    e.write.json(path)
-    before = A.catalog(spark, path, "*.json").select("path", "modified", "size")
-    seen = spark.createDataFrame(before.collect(), before.schema)  # a catalog of one file
-    e.where("event_type = 'click'").write.mode("append").json(path)
+    e = _slots(load(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").repartition("slot")
+    e.write.partitionBy("slot").json(path)
+    seen = staged(A.catalog(spark, path, "*.json").select("path", "modified", "size"), "seen")
+    e.where("slot % 2 = 0").write.mode("append").partitionBy("slot").json(path)
     return A.changed_files(seen, A.catalog(spark, path, "*.json")).agg(F.count("*").alias("changed"))
 
 
+@query("a4_xlsx", """SELECT path_no, sheet, CAST(row_no AS INT) AS row, a, b FROM (SELECT o_orderkey // 2000 AS path_no, o_orderkey % 2000 // 1000 AS s, o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 2000, o_orderkey % 2000 // 1000 ORDER BY o_orderkey) + 1 AS row_no,
+CAST(o_orderkey AS VARCHAR) AS a, o_orderstatus AS b FROM orders) x, (VALUES (0, 'first'), (1, 'second')) t(s2, sheet) WHERE s = s2""")
+def a4(spark, sf_dir):
+    """Workbooks of two sheets with a bounded number of orders, written by tasks and read by sheet."""
+    path = fresh(spark, "books")
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("a"), F.col("o_orderstatus").alias("b"))
+    o = o.withColumn("book", F.expr("o_orderkey div 2000")).withColumn("sheet", F.when(F.expr("o_orderkey % 2000 div 1000") == 0, "first").otherwise("second"))
+    A.export_workbooks(o, path, "book", "sheet", ["a", "b"], "o_orderkey")
+    x = A.read_xlsx(spark, path + "/*.xlsx")
+    return x.select(F.regexp_extract("path", r"(\d+)\.xlsx", 1).cast("bigint").alias("path_no"), "sheet", "row", F.col("record")["a"].alias("a"), F.col("record")["b"].alias("b"))
+
+
 @query("a10_landing_table", "SELECT c_custkey || '' AS user_id, c_name AS nickname, CAST(NULL AS VARCHAR) AS sign FROM customer")
 def a10(spark, sf_dir):
     """A landing table written with its schema and read back."""
@@ -142,12 +172,13 @@ def b1(spark, sf_dir):
     return A.read_csv(spark, f"{path}/platform=douyin/kind=comments").groupBy(F.col("what").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("b3_json_array", "SELECT r_regionkey, r_name FROM region")
+@query("b3_json_array", "SELECT o_orderkey, o_orderstatus FROM orders")
 def b3(spark, sf_dir):
+    """All orders as one array in parts, read back line by line."""
     path = fresh(spark, "array")
-    r = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    A.export_json_array(r, path)
-    return A.read_json_file(spark, path, r.schema)
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    A.export_json_array(o, path)
+    return A.read_json_parts(spark, path, o.schema)
 
 
 @query("b5_landing_upsert", """SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS nickname, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 20 ELSE 10 END AS add_ts,
@@ -201,13 +232,20 @@ def g6(spark, sf_dir):
     return O.comments_page(view(spark, sf_dir, "comments"), limit=1000).select("comment_id")
 
 
-@query("k5_drift_check", "SELECT false AS inputs_changed, true AS config_changed")
+@query("k5_drift_check", """WITH r AS (SELECT count(DISTINCT CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS a, count(*) FILTER (doc_id % 7 = 0 AND upper(text) <> text) AS changed, count(*) FILTER (doc_id % 7 = 0 AND doc_id % 2 = 1 AND upper(text) <> text) AS odd FROM documents)
+SELECT 'all' AS what, changed > 0 AS inputs_changed, true AS config_changed FROM r UNION ALL SELECT 'odd', odd > 0, false FROM r UNION ALL SELECT 'none', false, true FROM r""")
 def k5(spark, sf_dir):
+    """Runs against later ones: texts of every seventh comment change, of the odd ones of these, or none; with the same or another configuration."""
     from plaza.operators import semantic as M
 
-    x = view(spark, sf_dir, "texts").select("comment_id", F.sha2("text", 256).alias("text_hash"))
-    a, b = (M.new_run(spark, x, {"platform": "douyin"}, config, "m") for config in ("a", "b"))
-    return M.drifted(a, b).select("inputs_changed", "config_changed")
+    x = view(spark, sf_dir, "texts").select("comment_id", "text")
+    run = lambda text, config: M.new_run(spark, x.select("comment_id", F.sha2(text, 256).alias("text_hash")), {"platform": "douyin"}, config, "m")
+    seventh, text = F.col("comment_id") % 7 == 0, F.col("text")
+    out = None
+    for what, changed, config in (("all", seventh, "b"), ("odd", seventh & (F.col("comment_id") % 2 == 1), "a"), ("none", F.lit(False), "b")):
+        row = M.drifted(run(text, "a"), run(F.when(changed, F.upper(text)).otherwise(text), config)).select(F.lit(what).alias("what"), "inputs_changed", "config_changed")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("n1_null_last_page", cte("contents") + "SELECT content_id FROM contents ORDER BY published_at DESC NULLS LAST, content_id LIMIT 500")

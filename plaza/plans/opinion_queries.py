@@ -194,7 +194,7 @@ def h12(spark, sf_dir):
     return O.trend_summary(O.trend_measures(O.trend(*_two(spark, sf_dir), "day")))
 
 
-def _inflection_sql(bucket: str, least: int, most: int) -> str:
+def inflection_sql(bucket: str, least: int, most: int) -> str:
     seconds = {"hour": 3600, "day": 86400}[bucket] * 1.5
     return trend_sql(bucket) + f""", base AS (SELECT greatest(median(total_comments), 1.0) AS base FROM points),
 pairs AS (SELECT bucket_start, total_comments, epoch(bucket_start) - epoch(lag(bucket_start) OVER o) AS gap, lag(total_comments) OVER o AS was,
@@ -207,12 +207,12 @@ sized AS (SELECT *, CASE WHEN kind = 'volume_surge' THEN ratio * 20 ELSE abs(sco
 SELECT bucket_start, kind, CASE WHEN size >= 30 THEN 'high' WHEN size >= 15 THEN 'medium' ELSE 'low' END AS severity, score_delta, ratio AS volume_change_ratio FROM sized WHERE rn <= {most}"""
 
 
-@query("i4_inflections_hour", _inflection_sql("hour", 3, 100000))
+@query("i4_inflections_hour", inflection_sql("hour", 3, 100000))
 def i4(spark, sf_dir):
     return O.inflections(O.trend_measures(O.trend(*_two(spark, sf_dir), "hour")), "hour", 3, 100000)
 
 
-@query("i5_inflections_capped", _inflection_sql("hour", 3, 20))
+@query("i5_inflections_capped", inflection_sql("hour", 3, 20))
 def i5(spark, sf_dir):
     return O.inflections(O.trend_measures(O.trend(*_two(spark, sf_dir), "hour")), "hour", 3, 20)
 
@@ -234,12 +234,13 @@ def h13(spark, sf_dir):
     return O.opinion_summary(*_two(spark, sf_dir))
 
 
-@query("h16_snapshot_hash", cte("texts") + """SELECT content_id, sha256(string_agg(concat(comment_id, ':', sha256(text)), ',' ORDER BY comment_id)) AS snapshot_hash FROM texts GROUP BY content_id""")
+_LEVEL = "SELECT content_id, id // 4096 AS id, sha256(string_agg(concat(id, ':', h), ',' ORDER BY id)) AS h FROM {0} GROUP BY content_id, id // 4096"
+
+
+@query("h16_snapshot_hash", cte("texts") + ", t0 AS (SELECT content_id, comment_id AS id, sha256(text) AS h FROM texts), " + ", ".join(f"t{k + 1} AS ({_LEVEL.format(f't{k}')})" for k in range(3)) + " SELECT content_id, sha256(string_agg(concat(id, ':', h), ',' ORDER BY id)) AS snapshot_hash FROM t3 GROUP BY content_id")
 def h16(spark, sf_dir):
-    t = view(spark, sf_dir, "texts").select("content_id", F.struct("comment_id", F.sha2("text", 256).alias("h")).alias("x"))
-    ordered = F.array_sort(F.collect_list("x"))  # ids and hashes of one content: bounded by a run's size
-    joined = F.array_join(F.transform(ordered, lambda x: F.concat(x["comment_id"].cast("string"), F.lit(":"), x["h"])), ",")
-    return t.groupBy("content_id").agg(F.sha2(joined, 256).alias("snapshot_hash"))
+    t = view(spark, sf_dir, "texts").select("content_id", F.col("comment_id").alias("id"), F.sha2("text", 256).alias("h"))
+    return O.tree_hash(t, "content_id", "id", "h").withColumnRenamed("hash", "snapshot_hash")
 
 
 @query("h17_cost_totals", cte("texts") + """, t AS (SELECT content_id, greatest(1, CAST(ceil(len(regexp_extract_all(text, '\\S')) / 4) AS INT)) AS tokens FROM texts)

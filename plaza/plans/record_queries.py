@@ -38,7 +38,11 @@ def d4(spark, sf_dir):
     return p.select("page_id", F.array_join(S.split_urls(F.concat(F.col("url"), F.lit(", x"), F.col("page_id").cast("string")), F.concat(F.lit(" "), F.col("url"), F.lit(",,"))), "|").alias("urls"))
 
 
-@query("d5_uuid5")
+UUID_SQL = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1 AS INT), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+URL_BYTES = "unhex('6ba7b8119dad11d180b400c04fd430c8')"  # fixed value: the name space of URLs
+
+
+@query("d5_uuid5", f"SELECT c_custkey, {UUID_SQL} AS id FROM (SELECT c_custkey, sha1({URL_BYTES} || encode('plaza:douyin:author:' || c_custkey)) AS h FROM customer) x")
 def d5(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", S.entity_id("douyin", "author", F.col("c_custkey").cast("string")).alias("id"))
 
@@ -53,7 +57,8 @@ def d6(spark, sf_dir):
     return e.select("event_id", F.coalesce(raw(F.concat(iso, F.lit("Z"))), F.col("ts")).alias("a"), raw(iso).alias("b"), F.when(F.abs(F.unix_micros(S.parse_time(seconds)) - micros) <= 1, F.col("ts")).alias("c"))
 
 
-@query("d7_normalize_text")
+#: The given texts hold no compatibility characters, for which NFKC would differ from NFC.
+@query("d7_normalize_text", r"SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) AS text_hash FROM documents")
 def d7(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", S.text_hash(S.normalize_text("text")).alias("text_hash"))
 
@@ -131,7 +136,9 @@ def d22(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", S.informative_count(t).cast("bigint").alias("n"), S.length_bucket(S.informative_count(t)).alias("bucket"), S.exclusion_reason(t).alias("reason"))
 
 
-@query("d23_information_score")
+@query("d23_information_score", r"""WITH c AS (SELECT conv_id, turn, text, [x for x in string_split(regexp_replace(text, '\s', '', 'g'), '') if x <> ''] AS chars, len(regexp_extract_all(text, '[A-Za-z0-9㐀-䶿一-鿿]')) AS good FROM conversations),
+m AS (SELECT *, len(chars) AS total, list_max(map_values(list_histogram)) AS most FROM (SELECT *, list_histogram(chars) AS list_histogram FROM c) h)
+SELECT conv_id, turn, CASE WHEN good = 0 THEN 0.0 ELSE round(greatest(0.0, least(1.0, (0.55 * least(good, 80) / 80 + 0.45 * good / total) * (1 - greatest(0.0, (most / total - 0.35) / 0.65)))), 6) END AS score FROM m""")
 def d23(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(S.information_score(F.col("text")), 6).alias("score"))
 
@@ -171,9 +178,12 @@ def d31(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", S.verified(raw).alias("v"))
 
 
-@query("d32_hash_embedding")
+@query("d32_hash_embedding", """WITH v AS (SELECT doc_id, [CAST(CAST(CAST(CAST('0x' || substr(sha256(i || ':' || text), 1, 12) AS UBIGINT) AS DOUBLE) / 140737488355328.0 - 1.0 AS FLOAT) AS DOUBLE) for i in range(16)] AS v FROM documents)
+SELECT doc_id, round(v[1] / sqrt(list_dot_product(v, v)), 4) AS first, round(v[16] / sqrt(list_dot_product(v, v)), 4) AS last, 16 AS dimension FROM v""")
 def d32(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.round(S.dot(S.hash_embedding(F.col("text")), S.hash_embedding(F.col("text"))), 5).alias("norm"))
+    v = load(spark, sf_dir, "documents").select("doc_id", S.hash_embedding(F.col("text")).alias("v"))
+    at = lambda i: F.round(F.element_at("v", i).cast("double"), 4)
+    return v.select("doc_id", at(1).alias("first"), at(-1).alias("last"), F.size("v").alias("dimension"))
 
 
 # E: checks -----------------------------------------------------------------------------------------------------------------------
@@ -219,9 +229,10 @@ def e3(spark, sf_dir):
     return Q.issue_rows(Q.with_issues(a, Q.author_rules()), "author", "native_author_id").drop("entity_type")
 
 
-@query("e4_missing_content", cte("comments", "contents") + "SELECT comment_id FROM comments c WHERE NOT EXISTS (SELECT 1 FROM contents t WHERE t.content_id = c.content_id AND t.platform = c.platform)")
+@query("e4_missing_content", cte("comments", "contents") + "SELECT comment_id FROM comments c WHERE NOT EXISTS (SELECT 1 FROM contents t WHERE t.content_id % 3 <> 1 AND t.content_id = c.content_id AND t.platform = c.platform)")
 def e4(spark, sf_dir):
-    return O.existing(view(spark, sf_dir, "comments"), view(spark, sf_dir, "contents"))[1].select("comment_id")
+    """A third of the contents was not collected."""
+    return O.existing(view(spark, sf_dir, "comments"), view(spark, sf_dir, "contents").where("content_id % 3 <> 1"))[1].select("comment_id")
 
 
 @query("e5_row_routing", _FAULTS + "SELECT comment_id, comment_id NOT IN (SELECT comment_id FROM i WHERE severity = 'error') AS kept FROM p")
@@ -392,13 +403,18 @@ def a3(spark, sf_dir):
     return A.read_csv(spark, path).select("page_id", F.sha2("html", 256).alias("h"))
 
 
-@query("a7_catalog_totals", "SELECT kind, count(*) AS parts FROM (SELECT DISTINCT CASE event_type WHEN 'view' THEN 'comment' WHEN 'click' THEN 'content' ELSE 'author' END AS kind FROM events) x GROUP BY kind")
+@query("a7_catalog_totals", """WITH e AS (SELECT CASE event_type WHEN 'view' THEN 'comment' WHEN 'click' THEN 'content' ELSE 'author' END AS kind, event_id % greatest(1, CAST(ceil((SELECT count(*) FROM events) / 5000.0) AS BIGINT)) AS slot FROM events)
+SELECT kind, count(DISTINCT slot) AS files, count(*) AS records, true AS has_bytes, true AS has_preview FROM e GROUP BY kind""")
 def a7(spark, sf_dir):
     path = fresh(spark, "landing")
     e = load(spark, sf_dir, "events").select("event_id", F.expr("CASE event_type WHEN 'view' THEN 'comments' WHEN 'click' THEN 'contents' ELSE 'creators' END").alias("kind"))
-    e.coalesce(1).write.partitionBy("kind").json(path)
-    c = A.catalog(spark, path, "*.json")
-    return c.select(A.kind_of(F.col("path")).alias("kind")).groupBy("kind").agg(F.count("*").alias("parts"))
+    e = e.withColumn("slot", F.col("event_id") % max(1, -(-e.count() // 5000))).repartition("kind", "slot")
+    e.write.partitionBy("kind", "slot").json(path)
+    c = A.catalog(spark, path, "*.json").select(A.kind_of(F.col("path")).alias("kind"), "format", "size", "path")
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.json").select(A.kind_of(F.col("_metadata.file_path")).alias("kind"), "value")
+    preview = lines.groupBy("kind").agg(F.count("*").alias("records"), F.min("value").alias("preview"))
+    totals = A.catalog_totals(c).groupBy("kind").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    return totals.join(preview, "kind").select("kind", "files", "records", (F.col("bytes") > 0).alias("has_bytes"), F.col("preview").startswith("{").alias("has_preview"))
 
 
 @query("b2_partitioned_append", "SELECT event_type AS kind, CAST(CAST(ts AS DATE) AS VARCHAR) AS dt, count(*) AS n FROM events GROUP BY ALL")

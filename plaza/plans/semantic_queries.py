@@ -11,6 +11,7 @@ from plaza.operators import labeling as L
 from plaza.operators import opinion as O
 from plaza.operators import sampling as P
 from plaza.operators import semantic as M
+from plaza.plans.record_queries import URL_BYTES, UUID_SQL
 from plaza.plans.registry import load, query
 from plaza.plans.views import cte, view
 from plaza.sources.paths import fresh
@@ -46,12 +47,12 @@ def k2(spark, sf_dir):
     return M.embedding_report(M.embed(x, cache))
 
 
-@query("k3_run_and_drift")
+@query("k3_run_and_drift", "SELECT count(*) FILTER (doc_id = 0) > 0 AS inputs_changed, false AS config_changed, 36 AS id_length FROM documents")
 def k3(spark, sf_dir):
     x = _texts(spark, sf_dir).where("platform = 'douyin'").select("comment_id", F.sha2("text", 256).alias("text_hash"))
     run = M.new_run(spark, x, {"platform": "douyin"}, "threshold=0.3", "hash-16")
     changed = M.new_run(spark, x.where("comment_id <> 0"), {"platform": "douyin"}, "threshold=0.3", "hash-16")
-    return M.drifted(run, changed)
+    return M.drifted(run, changed).select("inputs_changed", "config_changed", F.length("id").alias("id_length"))
 
 
 @query("k4_snapshot", CAL + """SELECT e.vec_id AS comment_id, d.doc_id IS NOT NULL AS has_text, l.id AS analysis_id, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'embedded' END AS status
@@ -272,12 +273,12 @@ def m2(spark, sf_dir):
     return x.select("input_hash", "label.sentiment", "label.risk_level", "label_error")
 
 
-@query("m3_store_labels", "SELECT doc_id AS comment_id, sha256(text) AS input_hash, 36 AS id_length FROM documents")
+@query("m3_store_labels", f"SELECT comment_id, input_hash, {UUID_SQL} AS id FROM (SELECT doc_id AS comment_id, sha256(text) AS input_hash, sha1({URL_BYTES} || encode('plaza:analysis:' || doc_id || ':' || sha256(text) || ':rules')) AS h FROM documents) x")
 def m3(spark, sf_dir):
     c = _texts(spark, sf_dir).select("comment_id", "text", F.sha2("text", 256).alias("input_hash"))
     todo = c.groupBy("input_hash").agg(F.any_value("text").alias("text"))
     rows = L.fan_out(L.validate_labels(todo.withColumn("output", L.rule_labels(F.col("text")))), c, "rules")
-    return rows.select("comment_id", "input_hash", F.length("id").alias("id_length"))
+    return rows.select("comment_id", "input_hash", "id")
 
 
 @query("m4_job_report", """SELECT event_type AS job_id, count(*) AS total, count(*) FILTER (event_id % 4 = 0) AS pending, count(*) FILTER (event_id % 4 = 1) AS processing, count(*) FILTER (event_id % 4 = 2) AS completed, count(*) FILTER (event_id % 4 = 3) AS failed,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from plaza.operators import opinion as O
-from plaza.plans.opinion_queries import trend_sql
+from plaza.plans.opinion_queries import inflection_sql, trend_sql
 from plaza.plans.registry import load, query
 from plaza.plans.views import cte, view
 from plaza.sources.paths import fresh
@@ -23,12 +23,11 @@ def _landed(spark, sf_dir, name, df, parts: int = 4):
 
 @query("p1_streaming_ingest", "SELECT l_orderkey AS id, max(l_linenumber) AS rev, CAST(arg_max(l_extendedprice, l_linenumber * 1000000000.0 + l_extendedprice) AS DOUBLE) AS price FROM lineitem GROUP BY l_orderkey")
 def p1(spark, sf_dir):
-    x = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("rev")).agg(F.max("l_extendedprice").alias("price"))
-    top = x.groupBy("id").agg(F.max_by(F.struct("rev", "price"), "rev").alias("r")).select("id", "r.*")
+    """All versions of each order arrive in several batches and any order; the newest stays."""
+    x = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("rev"), F.col("l_extendedprice").alias("price"))
     target = fresh(spark, "orders")
-    J.ingest(_landed(spark, sf_dir, "landing", top), target, ["id"], ["rev"], fresh(spark, "ckpt")).awaitTermination()
-    # The same files again change nothing.
-    J.ingest(_landed(spark, sf_dir, "landing", top), target, ["id"], ["rev"], fresh(spark, "ckpt")).awaitTermination()
+    for _ in range(2):  # the same files again change nothing
+        J.ingest(_landed(spark, sf_dir, "landing", x), target, ["id"], ["rev", "price"], fresh(spark, "ckpt"), buckets=16, newest_wins=True).awaitTermination()
     return spark.read.parquet(target).select("id", "rev", "price")
 
 
@@ -63,7 +62,7 @@ def p3b(spark, sf_dir):
     return J.refreshed_trend(O.trend(comments, old, "day"), new, comments, analyses, "day")
 
 
-@query("p4_alerts")
+@query("p4_alerts", inflection_sql("hour", 3, 1_000_000_000).replace("SELECT bucket_start, kind,", ", touched AS (SELECT DISTINCT date_trunc('hour', c.published_at) AS b FROM analyses a JOIN comments c ON a.comment_id = c.comment_id WHERE a.id % 1000 = 1 AND c.published_at IS NOT NULL) SELECT bucket_start, kind,") + " AND (bucket_start IN (SELECT b FROM touched) OR bucket_start - INTERVAL 1 HOUR IN (SELECT b FROM touched))")
 def p4(spark, sf_dir):
     comments, analyses = view(spark, sf_dir, "comments"), view(spark, sf_dir, "analyses")
     points = O.trend_measures(O.trend(comments, analyses, "hour"))

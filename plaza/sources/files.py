@@ -7,13 +7,19 @@ import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plaza.sources.paths import staged
+
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
+_QUOTES = {'"': "&quot;"}
 KINDS = ("author", "content", "comment")
 
 
@@ -121,6 +127,13 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def run_id(prints: DataFrame) -> DataFrame:
+    """(run_id): stable while the files are the same, in whatever order they are read; from 64-bit sums of their fingerprints."""
+    both = F.xxhash64("sha256")
+    sums = prints.agg(F.count("*").alias("n"), F.bit_xor(both).alias("a"), F.sum(F.pmod(F.xxhash64(F.reverse("sha256")), F.lit(1 << 40))).alias("b"))
+    return sums.select(F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("run_id"))
+
+
 def latest_batch(files: DataFrame, seconds: int = 300) -> DataFrame:
     """The newest file and its siblings: same folder, format, first name token and last; or else all of the last ``seconds``."""
     folder = F.regexp_replace("path", "/[^/]*$", "")
@@ -163,8 +176,21 @@ def append(df: DataFrame, path: str, fmt: str, platform: str, kind: str, day: Co
 
 
 def export_json_array(df: DataFrame, path: str) -> None:
-    """One JSON array a file, written in parts: for small exports."""
-    df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("x")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("x"), ",\n"), F.lit("]")).alias("value")).write.text(path)
+    """One JSON array in parts: the files, in the order of their names, make up the array; each line holds one record."""
+    rows = staged(df.select(F.monotonically_increasing_id().alias("at"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("x")), "records")
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    if first is None:
+        df.sparkSession.range(1).select(F.lit("[]").alias("value")).write.text(path)
+        return
+    line = F.concat(F.when(F.col("at") == first, "[").otherwise(""), "x", F.when(F.col("at") == last, "]").otherwise(","))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartitionByRange(parts, "at").sortWithinPartitions("at").select(line.alias("value")).write.text(path)
+
+
+def read_json_parts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The records of an array that ``export_json_array`` wrote, line by line."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", r"^\[|[,\]]$", "").alias("x")).where("x not in ('', '[')")
+    return lines.select(F.from_json("x", schema).alias("r")).select("r.*")
 
 
 def export_sheets(sheets: dict[str, DataFrame], path: str) -> list[str]:
@@ -177,6 +203,57 @@ def export_sheets(sheets: dict[str, DataFrame], path: str) -> list[str]:
     return done
 
 
+_SHEET = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
+_RELATIONS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+
+
+def _workbook(sheets: dict[str, list[list[str]]]) -> bytes:
+    """An XLSX file with inline strings."""
+    out = io.BytesIO()
+    names = list(sheets)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="r1" Type="{_RELATIONS}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="{_RELATIONS}"><sheets>' + "".join(f'<sheet name="{escape(n, _QUOTES)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{_RELATIONS}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        for i, n in enumerate(names, 1):
+            cell = lambda k, r, v: f'<c r="{_column(k)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(_CONTROL.sub("", v))}</t></is></c>'
+            rows = "".join(f'<row r="{r}">' + "".join(cell(k, r, v) for k, v in enumerate(row) if v) + "</row>" for r, row in enumerate(sheets[n], 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", _SHEET.format(rows))
+    return out.getvalue()
+
+
+def _column(k: int) -> str:
+    name = ""
+    while k >= 0:
+        name, k = chr(65 + k % 26) + name, k // 26 - 1
+    return name
+
+
+def export_workbooks(df: DataFrame, path: str, book: str, sheet: str, columns: list[str], order: str, most_rows: int = 1_000_000) -> None:
+    """One XLSX workbook ``<book>.xlsx`` for each value of ``book``, one sheet for each value of ``sheet``, rows by ``order``; all values as text.
+
+    A workbook is one file, so its rows are one group: ``book`` is chosen so that it stays small, and more than ``most_rows`` rows in one are an error.
+    """
+    system, inner = fs.FileSystem.from_uri(path)
+    system.create_dir(inner, recursive=True)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most_rows:
+            raise ValueError(f"a workbook has more than {most_rows} rows")
+        pdf = pdf.sort_values("_order")
+        sheets = {n: [columns, *[["" if v is None else str(v) for v in r] for r in part[columns].itertuples(index=False)]] for n, part in pdf.groupby("_sheet", sort=True)}
+        where, at = fs.FileSystem.from_uri(f"{path}/{pdf['_book'].iloc[0]}.xlsx")
+        with where.open_output_stream(at) as out:
+            out.write(_workbook(sheets))
+        return pd.DataFrame({"rows": [len(pdf)]})
+
+    keyed = df.select(F.col(book).cast("string").alias("_book"), F.col(sheet).cast("string").alias("_sheet"), F.col(order).alias("_order"), *columns)
+    keyed.groupBy("_book").applyInPandas(write, "rows bigint").agg(F.sum("rows")).collect()  # one number
+
+
 def save(df: DataFrame, fmt: str, target: str, options: dict[str, str] | None = None) -> None:
     """Writes by the name of a store: files, or ``db``, ``sqlite``, ``postgres`` and ``mysql`` by JDBC."""
     if fmt in ("csv", "json", "jsonl", "parquet", "orc"):

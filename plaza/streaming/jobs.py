@@ -13,9 +13,6 @@ from plaza.operators import labeling as L
 from plaza.operators import merge as U
 from plaza.operators import opinion as O
 
-BUCKETS = 64
-
-
 def landing_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int = 1000) -> DataFrame:
     """New files of a landing folder. Files are read once, so writers add files and never append to them."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).format(fmt).load(path)
@@ -26,18 +23,23 @@ def without_repeats(stream: DataFrame, key: list[str], time: str, delay: str) ->
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
-def ingest(stream: DataFrame, target: str, key: list[str], order: list[str], checkpoint: str, keep_if_null: bool = False) -> StreamingQuery:
-    """Merges each micro-batch into the Parquet table at ``target``, which is partitioned by a hash of the key.
+def ingest(stream: DataFrame, target: str, key: list[str], order: list[str], checkpoint: str, keep_if_null: bool = False, buckets: int = 64, newest_wins: bool = False) -> StreamingQuery:
+    """Merges each micro-batch into the Parquet table at ``target``, which is partitioned by a hash of the key into ``buckets``.
 
-    Only the partitions that a batch touches are rewritten. A batch that is run again changes nothing.
+    Only the partitions that a batch touches are rewritten, so a table takes as many buckets as keep one to some 100 MB; the number
+    belongs to the table and does not change. With ``newest_wins`` rows that are older than the stored one of their key (by ``order``)
+    are passed over, whatever the order of arrival; else the batch wins. A batch that is run again changes nothing.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = U.last_wins(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")).persist()
-        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+        rows = U.last_wins(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         if touched:
             stored = read_table(spark, target, rows.schema).where(F.col("bucket").isin(touched))
+            if newest_wins:
+                known = stored.select(*key, F.struct(*order).alias("_stored"))
+                rows = rows.join(known, key, "left").where(F.col("_stored").isNull() | (F.struct(*order) >= F.col("_stored"))).select(*stored.columns)
             merged = U.upsert(stored, rows, [*key, "bucket"], default=U.KEEP_IF_NULL if keep_if_null else U.OVERWRITE)
             U.replace_partitions(merged, target, "bucket")
         rows.unpersist()
@@ -74,7 +76,7 @@ def refreshed_trend(trend: DataFrame, batch: DataFrame, comments: DataFrame, ana
 
 def alerts(points: DataFrame, touched: DataFrame, bucket: str, least: int) -> DataFrame:
     """Inflections at touched buckets and at the ones right after them."""
-    found = O.inflections(points, bucket, least, most=1_000_000)
+    found = O.inflections(points, bucket, least, most=None)
     step = F.expr(f"interval 1 {bucket}")
     near = touched.select("bucket_start").union(touched.select((F.col("bucket_start") + step).alias("bucket_start"))).distinct()
     return found.join(near, "bucket_start", "left_semi")
@@ -86,17 +88,23 @@ def request_rate(stream: DataFrame, time: str, limit: int, span: str = "60 secon
     return windows.where(F.col("requests") > limit).select(F.col("w.end").alias("at"), "requests")
 
 
-def label_stream(stream: DataFrame, analyses_path: str, schema: T.StructType, model: str, checkpoint: str, label: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Labels the new comments of each micro-batch that have no analysis yet and adds rows; ``label`` adds ``output`` to texts."""
+def label_stream(stream: DataFrame, analyses_path: str, schema: T.StructType, model: str, checkpoint: str, label: Callable[[DataFrame], DataFrame], buckets: int = 64) -> StreamingQuery:
+    """Labels the new comments of each micro-batch that have no analysis yet and adds rows; ``label`` adds ``output`` to texts.
+
+    The table of analyses is partitioned by a hash of the text's hash into ``buckets``, and a batch reads those that it touches.
+    """
+    placed = F.pmod(F.xxhash64("input_hash"), F.lit(buckets)).cast("int")
 
     def run(batch: DataFrame, _: int) -> None:
-        known = read_table(batch.sparkSession, analyses_path, schema)
+        touched = [r[0] for r in batch.select(placed).distinct().collect()]  # at most ``buckets`` numbers
+        stored = read_table(batch.sparkSession, analyses_path, T.StructType([*schema, T.StructField("bucket", T.IntegerType())]))
+        known = stored.where(F.col("bucket").isin(touched)).select(*schema.names)
         _, copied, todo = L.select_work(batch, known, model)
         made = L.fan_out(L.validate_labels(label(todo)), batch, model)
         rest = made.withColumn("created_at", F.current_timestamp()).select(*[F.col(f.name).cast(f.dataType) for f in schema])
         old = known.withColumnsRenamed({c: f"_{c}" for c in ("comment_id", "input_hash", "id")})
         reused = copied.join(old, F.col("source_id") == F.col("_id")).drop("_comment_id", "_input_hash", "_id", "source_id", "text")
         reused = reused.withColumn("id", F.concat_ws(":", "comment_id", "input_hash", F.lit(model))).select(*[F.col(f.name).cast(f.dataType) for f in schema])
-        rest.unionByName(reused).join(known.select("comment_id", "input_hash"), ["comment_id", "input_hash"], "left_anti").select(*schema.names).write.mode("append").parquet(analyses_path)
+        rest.unionByName(reused).join(known.select("comment_id", "input_hash"), ["comment_id", "input_hash"], "left_anti").select(*schema.names, placed.alias("bucket")).write.mode("append").partitionBy("bucket").parquet(analyses_path)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
