@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plaza.functions import scalar as S
 from plaza.operators import opinion as O
+from plaza.operators import tools as T
 from plaza.plans.registry import load, query
 from plaza.plans.views import cte, view
 from plaza.sources import files as A
@@ -149,17 +151,63 @@ def d20(spark, sf_dir):
 _TOOL = cte("comments", "analyses", "latest")
 
 
+_MINE = _TOOL + ", mine AS (SELECT * FROM comments WHERE platform = 'douyin'), mine_latest AS (SELECT l.* FROM latest l WHERE l.comment_id IN (SELECT comment_id FROM mine)) "
+_SCOPE = {"platform": "douyin"}
+
+
+def _scoped(spark, sf_dir):
+    return T.agreed({"platform": "douyin", "run_id": None}, _SCOPE), view(spark, sf_dir, "comments"), view(spark, sf_dir, "analyses")
+
+
 @query("g11_tool_statistics", _TOOL + "SELECT content_id, count(*) AS comments, count(l.comment_id) AS analyzed, count(*) FILTER (l.risk_level = 'high') AS high_risk FROM comments c LEFT JOIN latest l ON l.comment_id = c.comment_id GROUP BY content_id")
 def g11(spark, sf_dir):
-    comments, analyses = view(spark, sf_dir, "comments"), view(spark, sf_dir, "analyses")
-    both = comments.select("comment_id", "content_id").join(O.latest(analyses, columns=["risk_level"]).select("comment_id", "id", "risk_level"), "comment_id", "left")
-    return both.groupBy("content_id").agg(F.count("*").alias("comments"), F.count("id").alias("analyzed"), F.count_if(F.col("risk_level") == "high").alias("high_risk"))
+    return T.statistics(view(spark, sf_dir, "comments"), view(spark, sf_dir, "analyses"), {})
 
 
 @query("g11_tool_trend_tail", "WITH t AS (SELECT date_trunc('hour', ts) AS bucket_start, count(*) AS total_comments FROM events WHERE event_id % 97 <> 0 GROUP BY 1) SELECT * FROM t ORDER BY bucket_start DESC LIMIT 48")
 def g11b(spark, sf_dir):
-    t = O.trend(view(spark, sf_dir, "comments"), view(spark, sf_dir, "analyses"), "hour")
-    return t.select("bucket_start", "total_comments").orderBy(F.desc("bucket_start")).limit(48)
+    return T.trend_tail(view(spark, sf_dir, "comments"), view(spark, sf_dir, "analyses"), {}).select("bucket_start", "total_comments")
+
+
+@query("g11_tool_content_info", cte("contents") + "SELECT content_id, platform, title, author_id FROM contents WHERE platform = 'douyin'")
+def g11_info(spark, sf_dir):
+    """The payload does not come along."""
+    contents = view(spark, sf_dir, "contents").select("content_id", "platform", "title", "author_id", F.lit("{}").alias("payload"))
+    return T.content_info(contents, _scoped(spark, sf_dir)[0])
+
+
+@query("g11_tool_comments", cte("comments") + "SELECT comment_id FROM comments WHERE platform = 'douyin' ORDER BY published_at ASC NULLS LAST, comment_id LIMIT 50")
+def g11_comments(spark, sf_dir):
+    scope, comments, _ = _scoped(spark, sf_dir)
+    return T.some_comments(comments, scope).select("comment_id")
+
+
+@query("g11_tool_distribution", _MINE + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS count, round(100.0 * count(*) / (SELECT count(*) FROM mine_latest), 2) AS percentage FROM mine_latest GROUP BY {d}" for d in O.DIMENSIONS))
+def g11_distribution(spark, sf_dir):
+    scope, comments, analyses = _scoped(spark, sf_dir)
+    return T.label_distribution(comments, analyses, scope)
+
+
+@query("g11_tool_topics", """WITH s AS (SELECT label AS cluster, count(*) AS size, min(vec_id) AS f FROM embeddings GROUP BY label ORDER BY size DESC, f LIMIT 20),
+r AS (SELECT label AS cluster, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY sha256(CAST(vec_id AS VARCHAR)), vec_id) AS rank FROM embeddings) SELECT r.cluster, size, id, rank FROM r JOIN s ON r.cluster = s.cluster WHERE rank <= 3""")
+def g11_topics(spark, sf_dir):
+    v = load(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("vec_id").alias("id"))
+    order = Window.partitionBy("cluster").orderBy(F.sha2(F.col("id").cast("string"), 256), "id")
+    return T.topics(v.withColumn("rank", F.row_number().over(order)))
+
+
+@query("g11_tool_search", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id AS item_id, round(list_dot_product(q.v, e.v), 6) AS similarity FROM e q, e
+WHERE q.vec_id % 20 = 0 AND e.vec_id % 2 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s) SELECT query_id, item_id, similarity, rank FROM r WHERE rank <= 5""")
+def g11_search(spark, sf_dir):
+    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("comment_id"), "embedding")
+    comments = v.select("comment_id", F.when(F.col("comment_id") % 2 == 0, "douyin").otherwise("bilibili").alias("platform"))
+    return T.similar_comments(v, v.where("comment_id % 20 = 0").withColumnRenamed("comment_id", "query_id"), comments, {"platform": "douyin"}, 5)
+
+
+@query("g11_tool_high_risk", _MINE + "SELECT c.comment_id, c.like_count FROM mine c JOIN mine_latest l ON c.comment_id = l.comment_id WHERE l.risk_level = 'high' ORDER BY c.like_count DESC NULLS LAST, c.published_at DESC NULLS LAST, c.comment_id LIMIT 20")
+def g11_high_risk(spark, sf_dir):
+    scope, comments, analyses = _scoped(spark, sf_dir)
+    return T.high_risk_comments(comments, analyses, scope).select("comment_id", "like_count")
 
 
 @query("b1_csv_append", "SELECT event_type AS kind, 2 * count(*) AS n FROM events GROUP BY event_type")

@@ -56,12 +56,27 @@ def k3(spark, sf_dir):
 
 
 @query("k4_snapshot", CAL + """SELECT e.vec_id AS comment_id, d.doc_id IS NOT NULL AS has_text, l.id AS analysis_id, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'embedded' END AS status
-FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN latest l ON l.comment_id = e.vec_id""")
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN latest l ON l.comment_id = e.vec_id AND d.doc_id IS NOT NULL AND l.id % 3 <> 0""")
 def k4(spark, sf_dir):
-    v = _vectors(spark, sf_dir).select(F.col("id").alias("comment_id"))
-    newest = O.latest(view(spark, sf_dir, "analyses"), columns=[]).select("comment_id", F.col("id").alias("analysis_id"))
-    texts = _texts(spark, sf_dir).select("comment_id", F.lit(True).alias("t"))
-    return v.join(texts, "comment_id", "left").join(newest, "comment_id", "left").select("comment_id", F.col("t").isNotNull().alias("has_text"), "analysis_id", F.when(F.col("t").isNull(), "missing").otherwise("embedded").alias("status"))
+    """A third of the analyses was made of an older text."""
+    texts = _texts(spark, sf_dir).select("comment_id", F.sha2("text", 256).alias("text_hash"))
+    newest = O.latest(view(spark, sf_dir, "analyses"), columns=[]).select("comment_id", "id").join(texts, "comment_id")
+    newest = newest.select("comment_id", "id", F.when(F.col("id") % 3 != 0, F.col("text_hash")).otherwise("older").alias("input_hash"))
+    return M.snapshot_items(_vectors(spark, sf_dir).select(F.col("id").alias("comment_id")), texts, newest)
+
+
+@query("k6_search_filtered", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), i AS (SELECT min(vec_id) AS vec_id, any_value(v) AS v FROM e WHERE vec_id % 20 <> 0 GROUP BY CAST(v AS VARCHAR)),
+s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_dot_product(q.v, i.v), 6) AS similarity FROM e q, i WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM s)
+SELECT query_id, item_id, similarity, rank, (SELECT count(*) FROM i) AS searched, (SELECT count(*) FROM e) - (SELECT count(*) FROM i) AS excluded FROM r WHERE rank <= 3""")
+def k6_filtered(spark, sf_dir):
+    """The queries themselves are left out, and of equal vectors all but the first."""
+    v = _vectors(spark, sf_dir)
+    items = v.select(F.col("id").alias("item_id"), "embedding", F.col("embedding").cast("string").alias("same"))
+    queries = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    mine = queries.select(F.col("query_id").alias("item_id"))
+    counts = M.search_counts(items, mine, "same")
+    return M.search(items, queries, 3, exclude=mine, dedup="same").crossJoin(F.broadcast(counts))  # one row
 
 
 @query("k6_cosine_search", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),

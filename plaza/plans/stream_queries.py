@@ -54,6 +54,23 @@ def p3(spark, sf_dir):
     return _sink(spark, J.live_volume(_landed(spark, sf_dir, "landing", c), delay="90 days"), "complete").withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
 
 
+@query("p3_late_rows", "WITH m AS (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events) SELECT date_trunc('hour', ts) AS bucket_start, count(*) AS comments FROM events, m GROUP BY 1, w HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= w")
+def p3_late(spark, sf_dir):
+    """Rows that arrive again after the watermark has passed them are dropped; windows come out once they are closed."""
+    e = load(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("published_at"))
+    path, out, checkpoint = (fresh(spark, x) for x in ("landing", "sink", "ckpt"))
+
+    def run():
+        volumes = J.live_volume(J.landing_stream(spark, path, e.schema, "parquet"), delay="1 day")
+        volumes.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return volumes.schema
+
+    e.write.parquet(path)
+    run()
+    e.where(F.col("published_at") < F.lit(e.agg(F.max("published_at")).first()[0]) - F.expr("interval 3 days")).write.mode("append").parquet(path)
+    return spark.read.schema(run()).parquet(out).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
 @query("p3_refreshed_trend", trend_sql("day") + "SELECT * FROM buckets")
 def p3b(spark, sf_dir):
     """Half of the labels are there; the other half arrives as a batch, and the touched buckets are computed again."""
