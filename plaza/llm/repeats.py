@@ -10,18 +10,20 @@ their hash. That is done in two rounds, so that text which is nowhere repeated i
 2. Documents meet their answers and deal those anchors with their contexts, the bytes of all windows that they anchor (76 at most,
    of which the K of the anchor itself stay behind).
 
-All of it travels in compressed blocks for buckets, whose number grows with the bytes of the corpus, so a bucket is of bounded size. What
+All of it travels in compressed blocks for buckets, whose number grows with the bytes of the corpus. A bucket is of bounded size unless one
+anchor of K bytes stands in very many different contexts: those meet in one bucket, at about 300 bytes of memory each. What
 many documents share is summed before it is dealt: hashes that several documents of one Arrow batch have are answered there, and of contexts
 that several documents of one block of documents have, only the smallest document's goes on, and the others are settled there.
 
 Suffix array. In a bucket the distinct contexts are suffixes that begin at the anchor: they are sorted by anchor and bytes, the
 longest common prefixes of neighbours are taken, and one stack scan gives the interval tree (``lcp_intervals``). The contexts of a
 node share that many bytes from the anchor on; where they also share the bytes to the left that complete a window, they
-are the occurrences of one repeat, all of them and not just neighbours. Left extensions are followed until they are diverse, which
-makes repeats maximal (``maximal_repeats``; within contexts, so a longer repeat appears as its overlapping parts).
+are the occurrences of one repeat, all of them and not just neighbours. Left extensions are tested for diversity (``Bucket.groups``): a group
+whose members all go on alike to the left is passed on until they differ, so what comes out is maximal. ``maximal_repeats`` returns
+these groups as far as contexts reach, so a repeat of over 76 bytes appears as its overlapping parts.
 
-Removal. ``covered_by_earlier`` reduces each repeated window to the smallest doc_id that holds it and returns the byte ranges of the
-other documents, packed per block of documents; ``remove_repeats`` joins them to the texts.
+Removal. ``covered_by_earlier`` takes the maximal repeats of each bucket, reduces each to the smallest doc_id that holds it and returns
+the byte ranges of its other occurrences, packed per block of documents; ``remove_repeats`` joins them to the texts.
 
 Cases: a null or empty text has no bytes; a text shorter than ``least`` keeps all; of equal texts the smallest doc_id keeps
 its bytes; a string that is repeated only inside one document stays; rows that repeat a doc_id are one document with
@@ -369,6 +371,7 @@ class Bucket:
             lcp[self.hash[self.suffixes][1:] != self.hash[self.suffixes][:-1]] = 0
         else:
             lcp = np.zeros(0, np.int64)
+        self.lcp = lcp
         self.lo, self.hi, self.depth, self.parent = lcp_intervals(lcp, K)
         # Hashes of the j bytes to the left of the anchor, for all j.
         lefts = self.left[self.suffixes]
@@ -390,42 +393,63 @@ class Bucket:
         member, node = member[own], node[own]
         return member, node, self.back[j][member]
 
-    def earlier(self) -> np.ndarray:
-        """[k, j]: the window that begins j bytes before the anchor of suffix k is in a document before the context's first."""
-        out = np.zeros((len(self.suffixes), self.least - K + 1), bool)
-        first = self.least_doc[self.suffixes]
-        for j in range(self.least - K + 1):
-            member, node, back = self.level(self.least - j)
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Repeats that cannot be extended to the left: members (suffixes) of the groups, where each group begins, left bytes and right bytes.
+
+        The suffixes of a node that share the j bytes to the left that complete a window are a group. Where all of them
+        share one more byte to the left, the group is not diverse: it comes out with the longest left extension that all share, or as the same group
+        of the same node at the next j. Every repeated window lies in the strings of the group of its own occurrences.
+        """
+        most = self.least - K
+        for j in range(most + 1):
+            need = self.least - j
+            member, node, back = self.level(need)
             if not len(member):
                 continue
-            key = tb.mix(back ^ node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            order = np.argsort(key, kind="stable")
-            begin = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-            least = np.minimum.reduceat(first[member[order]], begin)
-            smallest = np.repeat(least, np.diff(np.append(begin, len(order))))
-            out[member[order], j] = smallest < first[member[order]]
-        return out
+            order = np.lexsort((node, back))
+            member, node, back = member[order], node[order], back[order]
+            begin = np.flatnonzero(_starts(node, back))
+            size = np.diff(np.append(begin, len(member)))
+            long = np.full(len(begin), j)
+            pending = np.flatnonzero(size > 1)
+            out = []
+            for left in range(j + 1, most + 2):
+                if not len(pending):
+                    break
+                at, heads = ragged(begin[pending], size[pending]), np.cumsum(size[pending]) - size[pending]
+                if left <= most:
+                    byte, has = self.back[left][member[at]], self.left[self.suffixes[member[at]]] >= left
+                    alike = np.logical_and.reduceat(has, heads) & (np.minimum.reduceat(byte, heads) == np.maximum.reduceat(byte, heads))
+                else:
+                    alike = np.zeros(len(pending), bool)
+                out.append(pending[~alike])  # diverse: maximal to the left
+                pending = pending[alike]
+                if left == j + 1:
+                    pending = pending[self.parent[node[begin[pending]]] >= need - 1]  # the others are groups of the same node again
+                long[pending] = left
+            found = np.sort(np.concatenate([np.zeros(0, np.int64), *out]))
+            if len(found):
+                yield member[ragged(begin[found], size[found])], np.cumsum(size[found]) - size[found], long[found], self.depth[node[begin[found]]]
 
     def ranges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """doc, start and length of bytes that an earlier document holds too."""
+        """doc, start and length of the occurrences of repeats in other documents than the first that has them."""
         late = self.doc > self.least_doc[self.entry]
         out = [(self.doc[late], self.place[late], self.length[self.entry][late])]
-        mask = self.earlier()
-        k, j = np.nonzero(mask)
+        first, found = self.least_doc[self.suffixes], [np.zeros((0, 3), np.int64)]
+        for member, begin, left, right in self.groups():
+            size = np.diff(np.append(begin, len(member)))
+            later = np.repeat(np.minimum.reduceat(first[member], begin), size) < first[member]
+            found.append(np.stack([member, np.repeat(left, size), np.repeat(right, size)], axis=1)[later])
+        k, left, right = np.unique(np.concatenate(found), axis=0).T
         if len(k):
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (j[1:] != j[:-1] + 1)])
-            first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(k)) - 1
-            e, j_lo, j_hi = self.suffixes[k[first]], j[first], j[last]
-            begin = np.full(len(self.hash) + 1, 0, np.int64)
-            np.add.at(begin, e + 1, 1)
-            begin = np.cumsum(begin)  # the runs of a context stand together, after sorting by context
+            e = self.suffixes[k]
             order = np.argsort(e, kind="stable")
-            e, j_lo, j_hi = e[order], j_lo[order], j_hi[order]
+            e, left, right = e[order], left[order], right[order]
+            begin = np.concatenate([[0], np.cumsum(np.bincount(e, minlength=len(self.hash)))])  # the repeats of a context stand together
             mine = np.flatnonzero(~late)
             runs = begin[self.entry[mine] + 1] - begin[self.entry[mine]]
             place, run = np.repeat(mine, runs), ragged(begin[self.entry[mine]], runs)
-            start = self.place[place] + self.left[e[run]] - j_hi[run]
-            out.append((self.doc[place], start, j_hi[run] - j_lo[run] + self.least))
+            out.append((self.doc[place], self.place[place] + self.left[e[run]] - left[run], left[run] + right[run]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def repeats(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -433,18 +457,13 @@ class Bucket:
         for e in np.flatnonzero(np.bincount(self.entry, minlength=len(self.hash)) > 1):
             at = np.flatnonzero(self.entry == e)
             yield int(self.length[e]), self.doc[at], self.place[at], np.full(len(at), e)
-        for node in range(len(self.lo)):
-            member = np.arange(self.lo[node], self.hi[node] + 1)
-            j = max(0, self.least - int(self.depth[node]))
-            member = member[self.left[self.suffixes[member]] >= j] if j <= self.least - K else member[:0]
-            for back in np.unique(self.back[j][member]):
-                mine = member[self.back[j][member] == back]
-                long = j
-                while long < self.least - K and (self.left[self.suffixes[mine]] > long).all() and len(np.unique(self.back[long + 1][mine])) == 1:
-                    long += 1  # not diverse: all occurrences extend to the left
-                if len(mine) > 1:
-                    places = np.flatnonzero(np.isin(self.entry, self.suffixes[mine]))
-                    yield int(self.depth[node]) + long, self.doc[places], self.place[places] + self.left[self.entry[places]] - long, self.entry[places]
+        for member, begin, left, right in self.groups():
+            for lo, hi, before, after in zip(begin.tolist(), [*begin[1:].tolist(), len(member)], left.tolist(), right.tolist(), strict=True):
+                mine = np.sort(member[lo:hi])
+                if self.lcp[mine[0] : mine[-1]].min() > after:
+                    continue  # all of them go on alike to the right: a deeper node has them
+                at = np.flatnonzero(np.isin(self.entry, self.suffixes[mine]))
+                yield after + before, self.doc[at], self.place[at] + self.left[self.entry[at]] - before, self.entry[at]
 
 
 def _documents(docs: DataFrame) -> DataFrame:
