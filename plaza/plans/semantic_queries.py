@@ -103,7 +103,30 @@ def k8(spark, sf_dir):
     return M.centroids(v.select("id", F.col("label").alias("cluster")), v).select("cluster", "size", "medoid")
 
 
-@query("k9_representatives")
+#: Unit means of the given labels' vectors, and the normalized texts of the comments that have a vector, with their information score.
+_TOPICS = r"""WITH p AS (SELECT label AS cluster, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT cluster, id, unnest(v) AS x, unnest(range(0, len(v))) AS i FROM p),
+m AS (SELECT cluster, list(x ORDER BY i) AS c FROM (SELECT cluster, i, avg(x) AS x FROM u GROUP BY cluster, i) z GROUP BY cluster),
+c AS (SELECT cluster, [CAST(CAST(y / sqrt(list_dot_product(c, c)) AS FLOAT) AS DOUBLE) for y in c] AS centroid FROM m),
+n AS (SELECT doc_id AS id, n_chars, text, trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g')) AS normal FROM documents),
+i AS (SELECT id, n_chars, text, normal, list_histogram_(chars) AS h, len(chars) AS total, good, rest FROM (SELECT *, [x for x in string_split(regexp_replace(normal, '\s', '', 'g'), '') if x <> ''] AS chars, len(regexp_extract_all(normal, '[A-Za-z0-9㐀-䶿一-鿿]')) AS good,
+  trim(regexp_replace(normal, '\[[^\]\r\n]{1,16}\]', '', 'g')) AS rest FROM n) z),
+t AS (SELECT *, len(regexp_extract_all(rest, '[A-Za-z0-9㐀-䶿一-鿿]')) AS informative, CASE WHEN good = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (0.55 * least(good, 80) / 80 + 0.45 * good / total) * (1 - greatest(0.0, (list_max(map_values(h)) / total - 0.35) / 0.65)))) END AS information FROM i),
+r AS (SELECT id, CASE WHEN coalesce(normal, '') = '' THEN 'empty' WHEN informative = 0 THEN 'emoji_only' WHEN regexp_full_match(rest, '[\d\s.,!?:;+\-_/\\]+') THEN 'numeric_only' WHEN informative < 2 THEN 'too_short' END AS reason FROM t)
+""".replace("list_histogram_", "list_histogram")
+#: Representatives of the clusters in ``a`` (id, cluster): relevant, then also unlike those taken.
+_PICKED = """, likes AS (SELECT a.cluster, a.id, p.v, t.normal, t.information, ln(1 + greatest(coalesce(t.n_chars, 0), 0)) AS x, list_dot_product(p.v, c.centroid) AS sim FROM a JOIN p ON p.id = a.id JOIN t ON t.id = a.id JOIN c ON c.cluster = a.cluster),
+scored AS (SELECT *, 0.65 * sim + 0.20 * CASE WHEN max(x) OVER w > min(x) OVER w THEN (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) ELSE 0.0 END + 0.15 * information AS score FROM likes WINDOW w AS (PARTITION BY cluster)),
+kept AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY cluster, lower(normal) ORDER BY id) = 1),
+r1 AS (SELECT *, 1 AS rank FROM kept QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, id) = 1),
+k2 AS (SELECT k.*, list_dot_product(k.v, r1.v) AS red FROM kept k JOIN r1 ON r1.cluster = k.cluster AND r1.id <> k.id),
+r2 AS (SELECT *, 2 AS rank FROM k2 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY 0.75 * score - 0.25 * red DESC, score DESC, id) = 1),
+k3 AS (SELECT k.* EXCLUDE (red), greatest(k.red, list_dot_product(k.v, r2.v)) AS red FROM k2 k JOIN r2 ON r2.cluster = k.cluster AND r2.id <> k.id),
+r3 AS (SELECT *, 3 AS rank FROM k3 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY 0.75 * score - 0.25 * red DESC, score DESC, id) = 1),
+picked AS (SELECT cluster, id, rank, score FROM r1 UNION ALL SELECT cluster, id, rank, score FROM r2 UNION ALL SELECT cluster, id, rank, score FROM r3)
+"""
+
+
+@query("k9_representatives", _TOPICS + ", a AS (SELECT cluster, id FROM p)" + _PICKED + "SELECT cluster, id, rank, round(score, 6) AS score FROM picked")
 def k9(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     assigned = v.select("id", F.col("label").alias("cluster"))
@@ -111,7 +134,8 @@ def k9(spark, sf_dir):
     return M.representatives(members, M.centroids(assigned, v)).select("cluster", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("k10_memberships")
+@query("k10_memberships", _TOPICS + ", a AS (SELECT cluster, id FROM p WHERE cluster IN (SELECT cluster FROM p GROUP BY cluster HAVING count(*) >= 3))" + _PICKED + """SELECT p.id, CASE WHEN r.reason IS NOT NULL THEN 'semantic_quality:' || r.reason WHEN a.cluster IS NULL THEN 'noise' ELSE 'topic' END AS status, a.cluster,
+CASE WHEN a.cluster IS NOT NULL THEN round(list_dot_product(p.v, c.centroid), 6) END AS similarity, k.rank FROM p JOIN r ON r.id = p.id LEFT JOIN a ON a.id = p.id LEFT JOIN c ON c.cluster = a.cluster LEFT JOIN picked k ON k.id = p.id AND k.rank <= 2""")
 def k10(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     assigned = M.cut(v.select("id", F.col("label").alias("cluster")), 3)
@@ -124,14 +148,20 @@ def k10(spark, sf_dir):
 
 @query("k11_topic_run")
 def k11(spark, sf_dir):
-    """Quality gate, clustering, description and naming in a row."""
+    """Quality gate, clustering, centroids, representatives, memberships, description and naming in a row."""
     v = _vectors(spark, sf_dir).select("id", "embedding")
     texts = _texts(spark, sf_dir).select(F.col("comment_id").alias("id"), "text")
     eligible = texts.withColumn("normal", S.normalize_text("text")).where(S.exclusion_reason(F.col("normal")).isNull()).select("id")
     members, _ = M.linkage(v.join(eligible, "id"), 0.7)
     assigned = M.cut(members, 3)
+    centers = M.centroids(assigned, v)
+    described = assigned.join(v, "id").join(_texts(spark, sf_dir).select(F.col("comment_id").alias("id"), "text", "like_count"), "id")
+    chosen = M.representatives(described, centers, 3)
+    reasons = texts.select("id", S.exclusion_reason(S.normalize_text("text")).alias("exclusion_reason")).join(v.select("id"), "id")
+    placed = M.memberships(reasons, assigned, centers, chosen, v).where("status = 'topic'").groupBy("cluster").agg(F.count("*").alias("members"), F.count("rank").alias("representatives"))
     newest = O.latest(view(spark, sf_dir, "analyses"), columns=["topics", "keywords", "sentiment", "stance", "risk_level"]).drop("created_at").withColumnRenamed("id", "analysis_id")
-    return M.topic_names(M.topic_labels(assigned, newest), assigned, "run").select("cluster", "name", "size", "analyzed", "percentage", "cluster_key")
+    named = M.topic_names(M.topic_labels(assigned, newest), assigned, "run").select("cluster", "name", "size", "analyzed", "percentage", "cluster_key")
+    return M.topic_order(named.join(centers.select("cluster", "medoid"), "cluster").join(placed, "cluster"))
 
 
 @query("k12_silhouette", """WITH p AS (SELECT label AS c, vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -148,7 +178,9 @@ def k13(spark, sf_dir):
     return M.parameter_matrix(_vectors(spark, sf_dir).select("id", "embedding"), [0.5, 0.6, 0.7], [2, 3])
 
 
-@query("k14_review_table")
+@query("k14_review_table", _TOPICS + """, s AS (SELECT t.id, t.text, CASE WHEN r.reason IS NOT NULL THEN 'semantic_quality:' || r.reason WHEN t.id % 7 = 0 THEN 'noise' ELSE 'topic' END AS status FROM t JOIN r ON r.id = t.id),
+k AS (SELECT *, CASE WHEN status IN ('topic', 'noise') THEN status ELSE 'excluded' END AS kind FROM s)
+SELECT id, status, text, kind FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY sha256(id || ':review'), id) <= 10""")
 def k14(spark, sf_dir):
     t = _texts(spark, sf_dir).select(F.col("comment_id").alias("id"), "text").withColumn("normal", S.normalize_text("text"))
     reason = S.exclusion_reason(F.col("normal"))
