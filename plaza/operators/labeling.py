@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plaza.functions import scalar as S
+from plaza.operators.sampling import numbered
 
 LABELS = "sentiment string, sentiment_score double, emotion string, stance string, risk_level string, topics array<string>, risk_reasons array<string>, keywords array<string>, summary string"
 # The labels that each dimension may have.
@@ -148,10 +149,10 @@ def cost_range(usage: DataFrame, miss_price: float, hit_price: float, output_pri
 
 def latency_totals(requests: DataFrame, key: str, latency: str, tie: str) -> DataFrame:
     """Requests, mean and 95th percentile (the value at index int(0.95 n) - 1 of the sorted latencies)."""
-    w = Window.partitionBy(key)
-    x = requests.select(key, latency, F.row_number().over(w.orderBy(latency, tie)).alias("_rank"), F.count("*").over(w).alias("_n"))
-    at = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95))
-    return x.groupBy(key).agg(F.count("*").alias("requests"), F.round(F.avg(latency), 4).alias("mean_latency"), F.max(F.when(F.col("_rank") == at, F.col(latency))).alias("p95_latency"))
+    totals = requests.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("requests"), F.round(F.avg(latency), 4).alias("mean_latency"))
+    ranked = numbered(requests.select(key, latency, tie), key, [F.col(latency), F.col(tie)], "_rank")
+    at = F.greatest(F.lit(1), F.floor(F.col("requests") * 0.95))
+    return ranked.join(totals, F.col(key).eqNullSafe(F.col("_key"))).where(F.col("_rank") == at).select(key, "requests", "mean_latency", F.col(latency).alias("p95_latency"))
 
 
 def job_report(items: DataFrame) -> DataFrame:

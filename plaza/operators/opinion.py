@@ -274,7 +274,10 @@ def word_frequency(texts: Column, df: DataFrame, stop_words: Sequence[str] = (),
     runs = F.regexp_extract_all(low, F.lit("([㐀-䶿一-鿿]+)"))
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
     own = F.flatten(F.array(*[F.array_repeat(F.lit(w), F.regexp_count(low, F.lit(rf"\Q{w}\E"))) for w in custom])) if custom else F.array().cast("array<string>")
-    words = df.select(F.explode(F.concat(latin, pairs, own)).alias("word")).where(~F.col("word").isin(*stop_words) if stop_words else F.lit(True))
+    # Texts without CJK characters, most of all, are cut in one pass.
+    plain = F.array_remove(F.split(low, r"(?U)\P{L}+"), "")
+    found = F.when(low.rlike("[㐀-䶿一-鿿]"), F.concat(latin, pairs)).otherwise(plain)
+    words = df.select(F.explode(F.concat(found, own)).alias("word")).where(~F.col("word").isin(*stop_words) if stop_words else F.lit(True))
     return words.groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(top_k)
 
 

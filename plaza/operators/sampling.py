@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plaza.functions import scalar as S
+from plaza.sources.paths import staged
 
 
 def hash_rank(seed: str, key: Column) -> Column:
@@ -23,12 +24,30 @@ def strata(comments: DataFrame, seed: str) -> DataFrame:
     return x.withColumn("text_hash", F.sha2("normalized", 256)).withColumn("sample_rank", hash_rank(seed, F.col("comment_id")))
 
 
+def numbered(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row among those of its key, by ``order``; ties by equal order are broken at will.
+
+    Rows are dealt by ranges of key and order, so a key with very many rows is spread over partitions. Rows are numbered within each, and the rows
+    of the key in the partitions before are added.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(parts, key, *names)
+    ranged = staged(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
+    local = F.row_number().over(Window.partitionBy("_part", key).orderBy(*names))
+    sizes = ranged.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_p", "_k", before.alias("_before"))
+    placed = ranged.withColumn("_local", local).join(offsets, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    return placed.withColumn(name, (F.col("_local") + F.col("_before")).cast("int")).drop("_local", "_before", "_part", "_p", "_k", *names)
+
+
 def round_robin(df: DataFrame, stratum: str, rank: Column, tie: str) -> DataFrame:
     """Adds ``turn`` and ``position``: one row of each stratum in turn, in the order of their ranks.
 
     The position follows from the sizes of the strata: the rows of all earlier turns, and the strata up to this one that have this turn.
     """
-    turned = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(rank, tie)))
+    turned = numbered(df, stratum, [rank, F.col(tie)], "turn")
     sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
     sizes = sizes.agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_sizes"))
     own = sizes.select(F.col("_sizes._n").alias("_all"), F.posexplode("_sizes").alias("_i", "_own")).select("_all", "_i", F.col("_own._s").alias("_s"))

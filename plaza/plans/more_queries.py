@@ -109,12 +109,12 @@ def a12(spark, sf_dir):
     return O.in_scope(view(spark, sf_dir, "comments"), "douyin").select("comment_id")
 
 
-@query("b9_sink_dispatch", "SELECT fmt, count(*) AS n FROM region, (VALUES ('csv'), ('jsonl'), ('parquet'), ('orc')) t(fmt) GROUP BY fmt")
+@query("b9_sink_dispatch", "SELECT fmt, count(*) AS n FROM customer, (VALUES ('csv'), ('jsonl'), ('parquet'), ('orc')) t(fmt) GROUP BY fmt")
 def b9(spark, sf_dir):
     out = None
     for fmt in ("csv", "jsonl", "parquet", "orc"):
         path = fresh(spark, fmt)
-        A.save(load(spark, sf_dir, "region"), fmt, path)
+        A.save(load(spark, sf_dir, "customer"), fmt, path)
         n = (spark.read.text(path) if fmt in ("csv", "jsonl") else spark.read.format(fmt).load(path)).agg(F.count("*").alias("n")).select(F.lit(fmt).alias("fmt"), "n")
         out = n if out is None else out.union(n)
     return out
@@ -261,12 +261,12 @@ def d24(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", S.length_bucket(F.col("n_chars")).alias("bucket"))
 
 
-@query("f4_run_upsert", "SELECT n_nationkey AS id, CASE WHEN n_nationkey < 20 THEN 'done' ELSE 'new' END AS status FROM nation")
+@query("f4_run_upsert", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 < 4 THEN 'done' ELSE 'new' END AS status FROM customer")
 def f4(spark, sf_dir):
     from plaza.operators import merge as U
 
-    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
-    return U.upsert(n.where("id >= 10").withColumn("status", F.lit("new")), n.where("id < 20").withColumn("status", F.lit("done")), ["id"])
+    n = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return U.upsert(n.where("id % 5 > 1").withColumn("status", F.lit("new")), n.where("id % 5 < 4").withColumn("status", F.lit("done")), ["id"])
 
 
 @query("g6_page_bounds", cte("comments") + "SELECT comment_id FROM comments ORDER BY published_at ASC NULLS LAST, comment_id LIMIT 1000")

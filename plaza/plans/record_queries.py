@@ -111,9 +111,10 @@ def d17(spark, sf_dir):
     return load(spark, sf_dir, "customer").select("c_custkey", S.gender("douyin", F.col("c_custkey") % 3).alias("g"))
 
 
-@query("d18_forum_names", "SELECT n_nationkey, n_name || '吧' AS forum, 'f?kw=' || replace(n_name, ' ', '+') AS link FROM nation")
+@query("d18_forum_names", "SELECT o_orderkey, o_orderstatus || ' x吧' AS forum, 'f?kw=' || o_orderstatus || '+x' AS link FROM orders")
 def d18(spark, sf_dir):
-    return load(spark, sf_dir, "nation").select("n_nationkey", S.forum_name(F.col("n_name")).alias("forum"), S.forum_link(S.forum_name(F.col("n_name")), "f?kw=").alias("link"))
+    name = S.forum_name(F.concat("o_orderstatus", F.lit(" x")))
+    return load(spark, sf_dir, "orders").select("o_orderkey", name.alias("forum"), S.forum_link(name, "f?kw=").alias("link"))
 
 
 @query("d19_epochs", "SELECT event_id, date_trunc('second', ts) AS t FROM events")
@@ -343,9 +344,9 @@ def f8(spark, sf_dir):
     return U.fail_group(e, "grp", "error", {"status": "failed"})
 
 
-@query("f10_guarded_update", "SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 'done' ELSE 'new' END AS status FROM nation")
+@query("f10_guarded_update", "SELECT c_custkey AS id, CASE WHEN c_custkey = 3 THEN 'done' ELSE 'new' END AS status FROM customer")
 def f10(spark, sf_dir):
-    runs = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit("new").alias("status"))
+    runs = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("new").alias("status"))
     return U.update_run(runs, 3, {"status": "done"}, ["status"])
 
 

@@ -14,11 +14,12 @@ from plaza.sources.paths import fresh
 from plaza.streaming import jobs as J
 
 
-def _landed(spark, sf_dir, name, df, parts: int = 4):
-    """The rows as several landing files, and a stream over them."""
+def _landed(spark, sf_dir, name, df, parts: int = 4, rows: int = 200_000):
+    """The rows as landing files of a bounded number of rows, and a stream that takes half of the files at a time."""
     path = fresh(spark, name)
-    df.repartition(parts).write.parquet(path)
-    return J.landing_stream(spark, path, df.schema, "parquet", 2)
+    files = max(parts, -(-df.count() // rows))
+    df.repartition(files).write.parquet(path)
+    return J.landing_stream(spark, path, df.schema, "parquet", -(-files // 2))
 
 
 @query("p1_streaming_ingest", "SELECT l_orderkey AS id, max(l_linenumber) AS rev, CAST(arg_max(l_extendedprice, l_linenumber * 1000000000.0 + l_extendedprice) AS DOUBLE) AS price FROM lineitem GROUP BY l_orderkey")
