@@ -281,7 +281,18 @@ def h25(spark, sf_dir):
     return M.partition_check(v.select("id").union(v.where("label = 3").select("id")))
 
 
-@query("l1_stratified_sample")
+@query("l1_stratified_sample", _TOPICS + """, x AS (SELECT t.id AS comment_id, r.reason IS NULL AS quality_eligible, sha256(t.normal) AS text_hash, sha256('seed:' || t.id) AS sample_rank, CASE WHEN r.reason IS NULL THEN 'eligible' ELSE 'excluded:' || r.reason END || '|' ||
+  CASE WHEN t.informative <= 5 THEN 'short' WHEN t.informative <= 20 THEN 'medium' ELSE 'long' END || '|' || CASE WHEN t.id % 3 = 0 THEN 'root' ELSE 'reply' END AS stratum FROM t JOIN r ON r.id = t.id),
+heads AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY sample_rank, comment_id) AS n FROM x QUALIFY n <= 2),
+twos AS (SELECT text_hash, min(sample_rank) AS head FROM heads GROUP BY text_hash HAVING count(*) = 2 ORDER BY head, text_hash LIMIT 5),
+pairs AS (SELECT h.* EXCLUDE (n), 0 AS stage, twos.head || h.n AS spot FROM heads h JOIN twos ON twos.text_hash = h.text_hash),
+rest AS (SELECT * FROM x WHERE comment_id NOT IN (SELECT comment_id FROM pairs)),
+turned AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sample_rank, comment_id) AS turn FROM rest),
+placed AS (SELECT * EXCLUDE (turn), CASE WHEN quality_eligible THEN 1 ELSE 2 END AS stage, lpad(CAST(turn AS VARCHAR), 6, '0') || '|' || stratum AS spot FROM turned WHERE turn <= 100),
+eligible AS (SELECT * FROM placed WHERE stage = 1 QUALIFY row_number() OVER (ORDER BY spot, comment_id) <= greatest(0, 80 - (SELECT count(*) FILTER (quality_eligible) FROM pairs))),
+others AS (SELECT *, 3 AS stage, sample_rank AS spot FROM rest WHERE quality_eligible AND comment_id NOT IN (SELECT comment_id FROM eligible) ORDER BY sample_rank, comment_id LIMIT 100),
+every AS (SELECT * FROM pairs UNION ALL BY NAME SELECT * FROM eligible UNION ALL BY NAME SELECT * FROM placed WHERE stage = 2 UNION ALL BY NAME SELECT * FROM others)
+SELECT comment_id, quality_eligible, stratum, sample_rank, text_hash, row_number() OVER (ORDER BY stage, spot, comment_id) AS position FROM every QUALIFY position <= 100""")
 def l1(spark, sf_dir):
     return P.stratified_sample(_texts(spark, sf_dir).select("comment_id", "text", "depth"), 100, "seed")
 
