@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -358,33 +358,41 @@ def labelled_sample(pages: DataFrame, known: DataFrame, sample: int) -> DataFram
 def regress(rows: list[tuple[list[str], int, int]], spread: float = 0.5, rounds: int = 25) -> Weights:
     """Logistic regression by Newton's method over (features, label, count), with normal priors of deviation ``spread`` around ``prior``."""
     names = sorted({f for r in rows for f in r[0]})
+    if not names:
+        return {}
     at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for k, (found, _, _) in enumerate(rows):
-        x[k, [at[f] for f in found]] = 1
     y, n = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    # Features of all rows one after another, and all pairs of features of a row.
+    column, width = np.array([at[f] for r in rows for f in r[0]]), np.array([len(r[0]) for r in rows])
+    row, ends = np.repeat(np.arange(len(rows)), width), np.cumsum(width)
+    left, wide = np.repeat(column, width[row]), np.repeat(row, width[row])
+    right = column[np.repeat(ends - width, width**2) + np.concatenate([np.tile(np.arange(k), k) for k in width])]
+    pair, d = left * len(names) + right, len(names)
     start = np.array([prior(f) for f in names])
     w = start.copy()
-    for _ in range(rounds if rows else 0):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (n * (y - q)) - (w - start) / spread**2
-        curve = (x * (n * q * (1 - q))[:, None]).T @ x + np.eye(len(names)) / spread**2
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(rows)), -30, 30)))
+        slope = np.bincount(column, (n * (y - q))[row], d) - (w - start) / spread**2
+        curve = np.bincount(pair, (n * q * (1 - q))[wide], d * d).reshape(d, d) + np.eye(d) / spread**2
         step = np.linalg.solve(curve, slope)
         w += step / max(1.0, np.abs(step).max())
     return dict(zip(names, w.tolist(), strict=True))
 
 
-def fit(pages: DataFrame, known: DataFrame, sample: int = 2000, least: int = 5) -> Weights:
+def fit(pages: DataFrame, known: DataFrame, sample: int = 2000, least: int = 5, most: int = 2000) -> Weights:
     """Weights of a classifier from ``pages`` (page_id, html) of which ``known`` (doc_id, text) has the text.
 
-    Features of fewer than ``least`` blocks of the sample keep their prior.
+    Features of fewer than ``least`` blocks of the sample, and all but the ``most`` frequent ones, keep their prior.
     """
-    rows = [(r.features, r.content, r.n) for r in labelled_sample(pages, known, sample).collect()]  # different feature lists of the sample
-    times: dict[str, int] = {}
-    for found, _, n in rows:
-        for f in found:
-            times[f] = times.get(f, 0) + n
-    return regress([([f for f in found if times[f] >= least], content, n) for found, content, n in rows])
+    rows = labelled_sample(pages, known, sample).collect()  # different feature lists of the sample
+    times: Counter = Counter()
+    for r in rows:
+        times.update(dict.fromkeys(r.features, r.n))
+    kept = {f for f, n in sorted(times.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least}
+    merged: Counter = Counter()
+    for r in rows:
+        merged[tuple(f for f in r.features if f in kept), r.content] += r.n
+    return regress([(list(found), content, n) for (found, content), n in sorted(merged.items())])
 
 
 def _extractor(weights: Weights):
