@@ -229,7 +229,7 @@ class Matcher:
         out: Counter = Counter()
         low = (text or "").lower()
         found = set(TOKEN.findall(low))
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         hits = set()
         for t in found:
