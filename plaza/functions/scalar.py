@@ -200,8 +200,12 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), (cjk + F.ceil(other / 4)).cast("int"))
 
 
+# Fixed value: emoji written as a name in brackets.
+BRACKET_EMOJI = r"\[[^\]\r\n]{1,16}\]"
+
+
 def _without_bracket_emoji(normalized: Column) -> Column:
-    return F.trim(F.regexp_replace(normalized, r"\[[^\]\r\n]{1,16}\]", ""))
+    return F.trim(F.regexp_replace(normalized, BRACKET_EMOJI, ""))
 
 
 def informative_count(normalized: Column) -> Column:

@@ -129,6 +129,23 @@ def c15(spark, sf_dir):
     return P.extract(p).where("kind = 'comment'").select("page_id", "native_id", "user_nickname", "content", "publish_time", "reply_count")
 
 
+@query("c15_forum_records", """SELECT page_id, 'note' AS kind, '9' || page_id AS native_id, CAST(NULL AS VARCHAR) AS parent_id, 'T ' || page_id AS title, 'abs' AS content, 'F' AS user_nickname FROM pages
+UNION ALL SELECT page_id, 'comment', 'p' || page_id, NULL, NULL, 'x y', 'u' || page_id FROM pages
+UNION ALL SELECT page_id, 'sub_comment', 's' || page_id, 'p' || page_id, NULL, 're z', 'n' || page_id FROM pages UNION ALL SELECT page_id, 'creator', 'name' || page_id, NULL, NULL, NULL, 'name' || page_id FROM pages""")
+def c15_records(spark, sf_dir):
+    """Each page with a thread, a post, a reply to it and a creator planted in it."""
+    key = F.col("page_id").cast("string")
+    quoted = lambda field: F.replace(F.to_json(field), F.lit('"'), F.lit("&quot;"))
+    thread = F.concat(F.lit('<div class="s_post"><span class="p_title"><a href="/p/9'), key, F.lit('">T '), key, F.lit('</a></span><div class="p_content">abs</div><a class="p_violet" href="/f?kw=x">F</a></div>'))
+    field = F.struct(F.struct(F.concat(F.lit("u"), key).alias("user_name")).alias("author"), F.struct(F.concat(F.lit("p"), key).alias("post_id")).alias("content"))
+    post = F.concat(F.lit('<div class="l_post" data-field="'), quoted(field), F.lit('"><div class="d_post_content">x <b>y</b></div></div>'))
+    reply = F.struct(F.concat(F.lit("s"), key).alias("spid"), F.concat(F.lit("p"), key).alias("pid"), F.concat(F.lit("n"), key).alias("showname"))
+    sub = F.concat(F.lit('<li class="lzl_single_post" data-field="'), quoted(reply), F.lit('"><span class="lzl_content_main">re <b>z</b></span><span class="lzl_time">2024-01-02 03:04</span></li>'))
+    creator = F.concat(F.lit('<div class="userinfo_wrap"><span class="userinfo_username">name'), key, F.lit("</span></div>"))
+    p = load(spark, sf_dir, "pages").select("page_id", F.concat(thread, post, sub, creator, F.coalesce("html", F.lit(""))).alias("html"))
+    return P.extract(p).select("page_id", "kind", "native_id", "parent_id", "title", "content", "user_nickname")
+
+
 @query("d11_parent_depth", "SELECT conv_id, turn, CASE WHEN turn > 0 THEN 'c' || conv_id END AS parent, CASE WHEN turn > 0 THEN 1 ELSE 0 END AS depth FROM conversations")
 def d11(spark, sf_dir):
     raw = F.when(F.col("turn") > 0, F.concat(F.lit("c"), F.col("conv_id"))).when(F.col("conv_id") % 2 == 0, "0").otherwise("")
