@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plaza.llm import decontaminate, html_cut, language_id, license_scan, lsh_forest, mixing, quality_rules, repeats, token_align, token_files, toxicity, warc_zip
+from plaza.llm import decontaminate, html_cut, language_id, license_scan, lsh_forest, mixing, quality_rules, repeats, spelling, token_align, token_files, toxicity, warc_zip
 
-_MODULES = (quality_rules, decontaminate, lsh_forest, language_id, html_cut, toxicity, warc_zip, mixing, repeats, token_files, token_align, license_scan)
+_MODULES = (quality_rules, decontaminate, lsh_forest, language_id, html_cut, toxicity, warc_zip, mixing, repeats, token_files, token_align, license_scan, spelling)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
