@@ -21,11 +21,13 @@ document, so rows that repeat an id or a text count each; a null doc_id is kept;
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,24 +44,25 @@ from plaza.llm.shared import slices, staged
 
 SHIFT = 16  # an id pair is ``a << SHIFT | b``
 _SEAM = re.compile(r"[A-Za-z] (?=[A-Za-z])")
+Known = tuple[bytes, bytes, bool]
 _HOLDER = "plaza_token_pairs_of_process"
 _DOCUMENT = "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, sha256 string, groups string, pairs array<bigint>, times array<bigint>"
-_OPEN = "piece int, ok boolean, ids_a array<int>, ids_b array<int>, ends_a array<int>, ends_b array<int>"
+_OPEN = "piece int, ok boolean, start_a bigint, start_b bigint, ids_a binary, ids_b binary"
 _MERGED = "row bigint, doc_id bigint, piece int, ok boolean, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, closed boolean, head_a array<int>, head_b array<int>, tail_a array<int>, tail_b array<int>, groups string, pairs array<bigint>, times array<bigint>"
 
 
 class Pair:
-    """The two tokenizers and the bytes of their tokens."""
+    """The two tokenizers and the bytes of their tokens; the ids of frequent words are kept between texts."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, most: int = 300_000):
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # the byte-level alphabet: other bytes follow from U+0100 on
         byte_of = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         with open(path_a, encoding="utf-8") as f:
             described = json.load(f)
         special = {t["content"]: t["id"] for t in described["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in entry): i for entry, i in described["model"]["vocab"].items() if entry not in special}
-        self.slow = Tokenizer.from_file(path_a)
-        self.slow.encode_special_tokens = True
+        self.path_a, self.most, self.held = path_a, most, 0
+        self.known: dict[str, Known] = {}
         self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_a = _table({i: b for b, i in ranks.items()} | {i: t.encode() for t, i in special.items()})
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -70,6 +73,7 @@ class Pair:
         # Each id with what may follow it: a comma, a bar, a semicolon, or nothing.
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.shown = np.array([f"{i}{c}" for i in range(most) for c in (",", "|", ";", "")], object)
+        self.kind = np.dtype("<u2" if most <= 1 << 16 else "<u4")
 
     @classmethod
     def of_process(cls, path_a: str, path_b: str) -> Pair:
@@ -79,6 +83,12 @@ class Pair:
             setattr(kept, name, cls(path_a, path_b))
         return getattr(kept, name)
 
+    @functools.cached_property
+    def slow(self) -> Tokenizer:
+        out = Tokenizer.from_file(self.path_a)
+        out.encode_special_tokens = True
+        return out
+
     def parts(self, text: str, most: int) -> list[str]:
         """The text without the spaces at which it is cut, in parts of ``most`` characters or a little more."""
         out, at = [], 0
@@ -93,17 +103,52 @@ class Pair:
             return self.slow.encode(" " + text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(" " + text)
 
+    def _one(self, text: str) -> Known:
+        """Ids of A and B of a text, and whether they spell a space and the text; if not, none."""
+        a, b, want = self.encode_a(text), self.b.encode(text), b" " + text.encode()
+        ok = bool(text) and b"".join(self.bytes_a[a].tolist()) == want == b"".join(self.bytes_b[b].tolist())
+        return (array("i", a).tobytes(), array("i", b).tobytes(), True) if ok else (b"", b"", False)
+
+    def _learn(self, words: list[str]) -> dict[str, Known]:
+        """The same for words without white space at their edges, encoded together and cut at their ends."""
+        out = {w: self._one(w) for w in words if len(w) > 1000}
+        words = [w for w in words if len(w) <= 1000]
+        text, cut, upto = " ".join(words), [], np.cumsum([len(w.encode()) + 1 for w in words])
+        for ids, table, size in ((self.fast.encode_ordinary(" " + text), self.bytes_a, self.size_a), (self.b.encode(text), self.bytes_b, self.size_b)) if words else ():
+            ids = np.array(ids, np.int32)
+            ends = np.cumsum(size[ids])
+            at = np.minimum(np.searchsorted(ends, upto), len(ids) - 1)
+            if b"".join(table[ids].tolist()) != b" " + text.encode() or not np.array_equal(ends[at], upto):
+                return out | {w: self._one(w) for w in words}
+            raw, at = ids.tobytes(), [0, *(4 * at + 4).tolist()]
+            cut.append([raw[i:k] for i, k in zip(at, at[1:], strict=False)])
+        return out | {w: (x, y, True) for w, x, y in zip(words, *cut, strict=True)} if words else out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of A, of B, the number of each for each text, and whether they spell it."""
-        a, b = [self.encode_a(t) for t in texts], self.b.encode(texts, num_threads=1)
-        ids_a, ids_b = (np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids))) for ids in (a, b))
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a, b))
-        want, ok = [b" " + t.encode() for t in texts], np.ones(len(texts), bool)
-        for ids, n, table in ((ids_a, n_a, self.bytes_a), (ids_b, n_b, self.bytes_b)):
-            spelled, ends = table[ids].tolist(), np.cumsum(n)
-            if b"".join(spelled) != b"".join(want) or not np.array_equal(_sums([len(x) for x in spelled], ends), np.cumsum([len(w) for w in want])):
-                ok &= [b"".join(spelled[e - k : e]) == w for e, k, w in zip(ends, n, want, strict=True)]
-        return ids_a, ids_b, n_a, n_b, ok
+        """Ids of A, of B, the number of each for each text, and whether they spell it; a text that they do not spell has none.
+
+        A single space between two other characters that are no white space is a seam for both, so the words between are encoded once.
+        """
+        a, b, ok, known, missing, whole = [], [], [], self.known, set(), {}
+        if len(known) > self.most or self.held > 50 * self.most:
+            known.clear()
+            self.held = 0
+        split = [t.split(" ") for t in texts]
+        for k, words in enumerate(split):
+            new = set(words).difference(known)
+            if not self.seams or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
+                whole[k] = self._one(texts[k])
+            else:
+                missing |= new
+        known |= self._learn(list(missing))
+        self.held += sum(map(len, missing))
+        for k, words in enumerate(split):
+            of_a, of_b, good = zip(*map(known.get, words), strict=True) if k not in whole else zip(whole[k], strict=True)
+            ok.append(all(good))
+            a.append(b"".join(of_a) if ok[-1] else b"")
+            b.append(b"".join(of_b) if ok[-1] else b"")
+        n_a, n_b = (np.array([len(x) // 4 for x in ids], np.int64) for ids in (a, b))
+        return *(np.frombuffer(b"".join(ids), np.int32).astype(np.int64) for ids in (a, b)), n_a, n_b, np.array(ok)
 
 
 def _table(of: dict[int, bytes]) -> np.ndarray:
@@ -113,10 +158,6 @@ def _table(of: dict[int, bytes]) -> np.ndarray:
     return out
 
 
-def _sums(values: list[int], ends: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(values)])[ends].astype(np.int64)
-
-
 def diagonal(ends_a: np.ndarray, ends_b: np.ndarray, d: int) -> tuple[int, int]:
     """How many ends of A and of B are the first ``d`` of both, A before B; an equal pair is kept together, so it may be one more."""
     low, high = max(0, d - len(ends_b)), min(d, len(ends_a))
@@ -211,8 +252,8 @@ def _align(paths: tuple[str, str], steps: int, part: int, keep: bool):
     names = [c.split()[0] for c in f"{_DOCUMENT}, {_OPEN}".split(", ")]
 
     def batch(done: dict, opened: dict) -> Iterator[pa.RecordBatch]:
-        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "sha256": pa.string(), "groups": pa.string(), "piece": pa.int32(), "ok": pa.bool_()} | {c: pa.int64() for c in ("n_a", "n_b", "n_groups", "n_links")}
-        kinds |= {c: pa.list_(pa.int64()) for c in ("pairs", "times")} | {c: pa.list_(pa.int32()) for c in ("ids_a", "ids_b", "ends_a", "ends_b")}
+        kinds = {"row": pa.int64(), "doc_id": pa.int64(), "sha256": pa.string(), "groups": pa.string(), "piece": pa.int32(), "ok": pa.bool_()} | {c: pa.int64() for c in ("n_a", "n_b", "n_groups", "n_links", "start_a", "start_b")}
+        kinds |= {c: pa.list_(pa.int64()) for c in ("pairs", "times")} | {c: pa.binary() for c in ("ids_a", "ids_b")}
         for found in (done, opened):
             n = len(found["row"]) if found else 0
             if n:
@@ -220,42 +261,36 @@ def _align(paths: tuple[str, str], steps: int, part: int, keep: bool):
 
     def whole(pair: Pair, rows: list[tuple[int, int | None, str]]) -> Iterator[pa.RecordBatch]:
         """Texts of one part each."""
-        a, b, n_a, n_b, ok = pair.encode([t for _, _, t in rows])
-        if not ok.all():
-            a, b = a[np.repeat(ok, n_a)], b[np.repeat(ok, n_b)]
-            n_a, n_b = np.where(ok, n_a, 0), np.where(ok, n_b, 0)
+        a, b, n_a, n_b, _ = pair.encode([t for _, _, t in rows])
+        long = n_a + n_b > steps
+        if long.any():
+            at_a, at_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+            for k in np.flatnonzero(long):
+                yield from batch({}, cut(pair, *rows[k][:2], 0, True, a[at_a[k] : at_a[k] + n_a[k]], b[at_b[k] : at_b[k] + n_b[k]]))
+            a, b, rows = a[np.repeat(~long, n_a)], b[np.repeat(~long, n_b)], [r for r, x in zip(rows, long, strict=True) if not x]
+            n_a, n_b = n_a[~long], n_b[~long]
         ends_a, ends_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
         group_a, group_b, cuts = merge(ends_a, ends_b)
-        upto_a, upto_b = np.cumsum(n_a), np.cumsum(n_b)
-        stop = np.concatenate([[0], ends_a])[upto_a]  # where the bytes of each text end
+        stop = np.concatenate([[0], ends_a])[np.cumsum(n_a)]  # where the bytes of each text end
         owner = np.searchsorted(stop, cuts)
-        last = np.isin(cuts, stop)
-        long = n_a + n_b > steps
         doc, key, times = links(a, group_a, b, group_b, owner)
-        n_pairs = np.bincount(doc, minlength=len(rows))
-        of_group = np.bincount(group_a, minlength=len(cuts)) * np.bincount(group_b, minlength=len(cuts))
-        text, total, shas, texts = written(pair.shown, a, group_a, b, group_b, last), n_a + n_b, [], []
+        of_doc = lambda values: np.bincount(owner, values, minlength=len(rows)).astype(np.int64)
+        text, total, texts = written(pair.shown, a, group_a, b, group_b, np.isin(cuts, stop)), n_a + n_b, []
         for end, n in zip(np.cumsum(total), total, strict=True):
-            joined = "".join(text[end - n : end])
-            texts.append(joined)
-            shas.append(hashlib.sha256(joined.encode()).hexdigest() if n else "")
-        few = np.flatnonzero(~long)
-        kept = ~long[doc]
-        done = {
-            "row": [rows[k][0] for k in few], "doc_id": [rows[k][1] for k in few], "n_a": n_a[few], "n_b": n_b[few], "n_groups": np.bincount(owner, minlength=len(rows))[few],
-            "n_links": np.bincount(owner, of_group, minlength=len(rows)).astype(np.int64)[few], "sha256": [shas[k] for k in few], "groups": [texts[k] if keep else None for k in few],
-            "pairs": _lists(key[kept], np.cumsum(n_pairs[few]), pa.int64()), "times": _lists(times[kept], np.cumsum(n_pairs[few]), pa.int64()),
-        }
-        yield from batch(done, {})
-        for k in np.flatnonzero(long):
-            at_a, at_b, base = upto_a[k] - n_a[k], upto_b[k] - n_b[k], stop[k] - pair.size_a[a[upto_a[k] - n_a[k] : upto_a[k]]].sum()
-            of_a, of_b = slice(at_a, upto_a[k]), slice(at_b, upto_b[k])
-            yield from batch({}, cut(rows[k][0], rows[k][1], 0, True, a[of_a], b[of_b], ends_a[of_a] - base, ends_b[of_b] - base))
-
-    def cut(row: int, doc_id: int | None, first: int, ok: bool, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> dict:
+            texts.append("".join(text[end - n : end]))
+        upto = np.cumsum(np.bincount(doc, minlength=len(rows)))
+        yield from batch({
+            "row": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "n_a": n_a, "n_b": n_b, "n_groups": of_doc(None), "n_links": of_doc(np.bincount(group_a, minlength=len(cuts)) * np.bincount(group_b, minlength=len(cuts))),
+            "sha256": [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], "groups": texts if keep else [None] * len(rows), "pairs": _lists(key, upto, pa.int64()), "times": _lists(times, upto, pa.int64()),
+        }, {})
+
+    def cut(pair: Pair, row: int, doc_id: int | None, first: int, ok: bool, a: np.ndarray, b: np.ndarray) -> dict:
+        """The pieces of one part of a text, numbered from ``first``."""
+        ends_a, ends_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
         ranges = pieces(ends_a, ends_b, steps) if ok else [(0, 0, 0, 0)]
         n = len(ranges)
-        cells = {"ids_a": [a[i:k] for i, k, _, _ in ranges], "ids_b": [b[j:m] for _, _, j, m in ranges], "ends_a": [ends_a[i:k] for i, k, _, _ in ranges], "ends_b": [ends_b[j:m] for _, _, j, m in ranges]}
+        cells = {"start_a": [int(ends_a[i - 1]) if i else 0 for i, *_ in ranges], "start_b": [int(ends_b[j - 1]) if j else 0 for _, _, j, _ in ranges]}
+        cells |= {"ids_a": [a[i:k].astype(pair.kind).tobytes() for i, k, _, _ in ranges], "ids_b": [b[j:m].astype(pair.kind).tobytes() for _, _, j, m in ranges]}
         return {"row": [row] * n, "doc_id": [doc_id] * n, "piece": list(range(first, first + n)), "ok": [ok] * n} | cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +303,7 @@ def _align(paths: tuple[str, str], steps: int, part: int, keep: bool):
                     first = 0
                     for one in several:
                         a, b, _, _, ok = pair.encode([one])
-                        opened = cut(row, doc_id, first, bool(ok[0]), a, b, np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b]))
+                        opened = cut(pair, row, doc_id, first, bool(ok[0]), a, b)
                         first += len(opened["row"])
                         yield from batch({}, opened)
                     continue
@@ -291,8 +326,8 @@ def _merge_pieces(paths: tuple[str, str]):
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                a, b = np.asarray(r.ids_a, np.int64), np.asarray(r.ids_b, np.int64)
-                group_a, group_b, cuts = merge(np.asarray(r.ends_a, np.int64), np.asarray(r.ends_b, np.int64))
+                a, b = (np.frombuffer(x, pair.kind).astype(np.int64) for x in (r.ids_a, r.ids_b))
+                group_a, group_b, cuts = merge(r.start_a + np.cumsum(pair.size_a[a]), r.start_b + np.cumsum(pair.size_b[b]))
                 n = len(cuts)
                 inner = [slice(*np.searchsorted(g, [1, max(n, 1)])) for g in (group_a, group_b)]
                 head, tail = [x[g == 0] for x, g in ((a, group_a), (b, group_b))], [x[g >= max(n, 1)] for x, g in ((a, group_a), (b, group_b))]
