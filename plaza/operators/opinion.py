@@ -6,6 +6,7 @@ applied to comments before the latest analyses are ranked, so that they reach th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plaza.functions import scalar as S
+from plaza.functions.segment import Dictionary, segmented
 from plaza.sources.paths import staged
 
+_CJK = "㐀-䶿一-鿿"
 DIMENSIONS = ("sentiment", "emotion", "stance", "risk_level")
 
 
@@ -267,18 +270,34 @@ def existing(comments: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataF
     return comments.join(known, ["platform", "content_id"], "left_semi"), comments.join(known, ["platform", "content_id"], "left_anti")
 
 
-def word_frequency(texts: Column, df: DataFrame, stop_words: Sequence[str] = (), top_k: int = 20, custom: Sequence[str] = ()) -> DataFrame:
-    """The most frequent words: Latin words, pairs of neighbouring CJK characters, and custom words as they stand."""
+def word_frequency(texts: Column, df: DataFrame, stop_words: Sequence[str] = (), top_k: int = 20, custom: Sequence[str] = (), dictionary: Sequence[tuple[str, int]] | None = None) -> DataFrame:
+    """The most frequent words: Latin words, words of CJK runs, and custom words.
+
+    With a ``dictionary`` of (word, weight) CJK runs are cut along the best path through their word graph, and custom words enter the dictionary; without
+    one, runs give their pairs of neighbouring characters, and custom words are taken out first, so each occurrence counts once. A custom word that is
+    not all CJK is always taken out first.
+    """
     low = F.lower(F.coalesce(texts, F.lit("")))
-    latin = F.regexp_extract_all(low, F.lit(r"(?U)([\p{L}&&[^㐀-䶿一-鿿]]+)"))
-    runs = F.regexp_extract_all(low, F.lit("([㐀-䶿一-鿿]+)"))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
-    own = F.flatten(F.array(*[F.array_repeat(F.lit(w), F.regexp_count(low, F.lit(rf"\Q{w}\E"))) for w in custom])) if custom else F.array().cast("array<string>")
+    custom = sorted({w.lower() for w in custom if w.strip()}, key=lambda w: (-len(w), w))
+    graphed = [w for w in custom if dictionary is not None and re.fullmatch(f"[{_CJK}]+", w)]
+    taken = [w for w in custom if w not in graphed]
+    named = "|".join(rf"\Q{w}\E" for w in taken)  # of words that begin alike the longest
+    own = F.regexp_extract_all(low, F.lit(f"({named})")) if taken else F.array().cast("array<string>")
+    rest = F.regexp_replace(low, named, " ") if taken else low
+    latin = F.regexp_extract_all(rest, F.lit(rf"(?U)([\p{{L}}&&[^{_CJK}]]+)"))
+    runs = F.regexp_extract_all(rest, F.lit(f"([{_CJK}]+)"))
     # Texts without CJK characters, most of all, are cut in one pass.
-    plain = F.array_remove(F.split(low, r"(?U)\P{L}+"), "")
-    found = F.when(low.rlike("[㐀-䶿一-鿿]"), F.concat(latin, pairs)).otherwise(plain)
-    words = df.select(F.explode(F.concat(found, own)).alias("word")).where(~F.col("word").isin(*stop_words) if stop_words else F.lit(True))
-    return words.groupBy("word").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "word").limit(top_k)
+    plain = F.array_remove(F.split(rest, r"(?U)\P{L}+"), "")
+    if dictionary is not None:
+        found = F.when(rest.rlike(f"[{_CJK}]"), latin).otherwise(plain)
+        cut = segmented(df.select(F.explode(runs).alias("run"), F.lit(1).cast("long").alias("n")), Dictionary(dictionary, graphed)).withColumnRenamed("n", "count")
+    else:
+        pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))))
+        found, cut = F.when(rest.rlike(f"[{_CJK}]"), F.concat(latin, pairs)).otherwise(plain), None
+    counts = df.select(F.explode(F.concat(found, own)).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    if cut is not None:
+        counts = counts.unionByName(cut).groupBy("word").agg(F.sum("count").alias("count"))
+    return (counts.where(~F.col("word").isin(*stop_words)) if stop_words else counts).orderBy(F.desc("count"), "word").limit(top_k)
 
 
 def tree_hash(rows: DataFrame, group: str, key: str, value: str, width: int = 4096, levels: int = 3) -> DataFrame:

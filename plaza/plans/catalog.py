@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plaza.plans import flatten_queries, more_queries, opinion_queries, record_queries, semantic_queries, stream_queries
+from plaza.plans import flatten_queries, more_queries, opinion_queries, record_queries, semantic_queries, stream_queries, word_queries
 from plaza.plans.registry import oracles, queries
 
-__all__ = ["flatten_queries", "more_queries", "opinion_queries", "record_queries", "semantic_queries", "stream_queries", "oracles", "queries"]
+__all__ = ["flatten_queries", "more_queries", "opinion_queries", "record_queries", "semantic_queries", "stream_queries", "word_queries", "oracles", "queries"]
