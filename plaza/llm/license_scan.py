@@ -136,6 +136,8 @@ def scan(docs: DataFrame, index: list[str], base: dict[str, str], around: int) -
 def find_templates(scanned: DataFrame, templates: list[Template], index: dict[tuple[str, ...], list[tuple[int, str]]], slack: int, least: float) -> DataFrame:
     """(row, label, start, score) of the templates in what ``scan`` has found."""
     spark = scanned.sparkSession
+    if not templates:
+        return scanned.where("false").select("row", F.lit("").alias("label"), F.col("pos").alias("start"), F.lit(0.0).alias("score"))
     phrases = list(index)
     postings = _values(spark, [f"({_text(w)}, {k}, {at}, {len(index[p])})" for k, p in enumerate(phrases) for at, w in index[p]], "word, phrase, at, n_rare")
     hits = scanned.where("near is not null").select("row", "pos", "word", "first", "near").join(postings, "word").withColumn("start", F.col("pos") - F.col("at")).where("start >= 0")
@@ -163,8 +165,10 @@ def licenses(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMP
     known = [Template.of(k, *t) for k, t in enumerate(templates)]
     phrases = sorted({p for t in known for _, p in t.phrases})
     frequency = document_frequency(docs, sorted({w for p in phrases for w in p}))
-    index = {p: rare_words(p, frequency, rare) for p in phrases}
-    around = max(len(t.words) for t in known) + max(len(p) for p in phrases) + slack
+    # A phrase with a word that no text has stands nowhere, and neither does its template.
+    known = [t for t in known if all(frequency[w] for _, p in t.phrases for w in p)]
+    index = {p: rare_words(p, frequency, rare) for p in phrases if any(p == q for t in known for _, q in t.phrases)}
+    around = max((len(t.words) for t in known), default=0) + max((len(p) for p in index), default=0) + slack
     scanned = staged(scan(docs.select("doc_id", "text"), sorted({w for ws in index.values() for _, w in ws}), base, around), "scanned")
     return scanned, find_templates(scanned, known, index, slack, least)
 
