@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plaza.functions import scalar as S
+from plaza.functions.digest import set_digest
 from plaza.functions.segment import Dictionary, segmented
 from plaza.sources.paths import staged
 
@@ -300,15 +301,6 @@ def word_frequency(texts: Column, df: DataFrame, stop_words: Sequence[str] = (),
     return (counts.where(~F.col("word").isin(*stop_words)) if stop_words else counts).orderBy(F.desc("count"), "word").limit(top_k)
 
 
-def tree_hash(rows: DataFrame, group: str, key: str, value: str, width: int = 4096, levels: int = 3) -> DataFrame:
-    """(group, hash): one hash of all (key, value) of each group, whatever their order.
-
-    Keys are distinct counting numbers. Runs of ``width`` keys are hashed in order, then runs of these hashes, ``levels`` times, so no list
-    is longer than ``width`` while keys are under ``width ** (levels + 1)``.
-    """
-    x = rows.select(F.col(group).alias("_g"), F.col(key).cast("bigint").alias("_k"), F.col(value).alias("_v"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda r: F.concat(r["_k"].cast("string"), F.lit(":"), r["_v"]))
-    digest = F.sha2(F.array_join(lines, ","), 256)
-    for _ in range(levels):
-        x = x.groupBy("_g", F.expr(f"_k div {width}").alias("_up")).agg(digest.alias("_v")).withColumnRenamed("_up", "_k")
-    return x.groupBy(F.col("_g").alias(group)).agg(digest.alias("hash"))
+def tree_hash(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(group, hash): one hash of all (key, value) of each group, whatever their order; keys are of any type."""
+    return set_digest(rows, [group], F.concat_ws(":", F.col(key).cast("string"), F.coalesce(value, F.lit("")))).select(group, "hash")

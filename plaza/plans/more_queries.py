@@ -40,18 +40,18 @@ def a5(spark, sf_dir):
 _SLOTS = "WITH s AS (SELECT DISTINCT event_id % greatest(1, CAST(ceil((SELECT count(*) FROM events) / 5000.0) AS BIGINT)) AS slot FROM events) "
 
 
-@query("a6_fingerprints", _SLOTS + "SELECT count(*) AS files, count(*) AS prints, true AS same_run, false AS same_after_append FROM s")
+@query("a6_fingerprints", _SLOTS + "SELECT count(*) AS files, count(*) AS prints, true AS same_run, false AS same_after_append, false AS same_for_another_query FROM s")
 def a6(spark, sf_dir):
     """Fingerprints of all files, and a run id that stays while the files do."""
     path = fresh(spark, "prints")
     e = _slots(load(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").repartition("slot")
     e.write.partitionBy("slot").json(path)
     prints = A.fingerprints(spark, path).where(F.col("path").endswith(".json"))
-    one, again = (A.run_id(prints).first()[0] for _ in range(2))
+    one, again, other = (A.run_id(x, {"platform": "douyin", "query": q, "limit": None}).first()[0] for x, q in ((prints, "a"), (prints.orderBy(F.desc("path")), "a"), (prints, "b")))
     out = staged(prints.agg(F.count("*").alias("files"), F.count_distinct("sha256").alias("prints")), "files")
     e.where("slot = 0").write.mode("append").partitionBy("slot").json(path)
-    later = A.run_id(A.fingerprints(spark, path).where(F.col("path").endswith(".json"))).first()[0]
-    return out.select("files", "prints", F.lit(one == again).alias("same_run"), F.lit(one == later).alias("same_after_append"))
+    later = A.run_id(A.fingerprints(spark, path).where(F.col("path").endswith(".json")), {"platform": "douyin", "query": "a"}).first()[0]
+    return out.select("files", "prints", F.lit(one == again).alias("same_run"), F.lit(one == later).alias("same_after_append"), F.lit(one == other).alias("same_for_another_query"))
 
 
 @query("a8_latest_batch", _SLOTS + "SELECT slot, true AS has_size FROM s")

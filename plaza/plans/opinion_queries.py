@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaza.functions import scalar as S
+from plaza.functions.digest import digest_sql, set_digest
 from plaza.operators import opinion as O
+from plaza.plans.record_queries import URL_BYTES, UUID_SQL
 from plaza.plans.registry import load, query
 from plaza.plans.views import cte, view
 
@@ -234,15 +236,23 @@ def h13(spark, sf_dir):
     return O.opinion_summary(*_two(spark, sf_dir))
 
 
-_LEVEL = "SELECT content_id, id // 4096 AS id, sha256(string_agg(concat(id, ':', h), ',' ORDER BY id)) AS h FROM {0} GROUP BY content_id, id // 4096"
-
-
-@query("h16_snapshot_hash", cte("texts") + ", t0 AS (SELECT content_id, comment_id AS id, sha256(text) AS h FROM texts), " + ", ".join(f"t{k + 1} AS ({_LEVEL.format(f't{k}')})" for k in range(3)) + " SELECT content_id, sha256(string_agg(concat(id, ':', h), ',' ORDER BY id)) AS snapshot_hash FROM t3 GROUP BY content_id")
+@query("h16_snapshot_hash", cte("texts") + "SELECT content_id, hash AS snapshot_hash FROM (" + digest_sql("texts", "content_id", "concat(CAST(comment_id AS VARCHAR), ':', sha256(text))") + ") x")
 def h16(spark, sf_dir):
     t = view(spark, sf_dir, "texts").select("content_id", F.col("comment_id").alias("id"), F.sha2("text", 256).alias("h"))
     return O.tree_hash(t, "content_id", "id", "h").withColumnRenamed("hash", "snapshot_hash")
 
 
+_UUID = f"(SELECT content_id, {UUID_SQL} AS id, sha256(text) AS t FROM (SELECT *, sha1({URL_BYTES} || encode('plaza:' || platform || ':comment:' || CAST(comment_id AS VARCHAR))) AS h FROM texts) y)"
+
+
+@query("h16_uuid_snapshot", cte("texts") + "SELECT content_id, n, hash FROM (" + digest_sql(_UUID + " z", "content_id", "concat(id, ':', t)") + ") x")
+def h16_uuid(spark, sf_dir):
+    """The same over the library's own ids."""
+    t = view(spark, sf_dir, "texts")
+    ids = F.when(F.col("platform") == "douyin", S.entity_id("douyin", "comment", F.col("comment_id").cast("string"))).otherwise(S.entity_id("bilibili", "comment", F.col("comment_id").cast("string")))
+    return set_digest(t.select("content_id", ids.alias("id"), F.sha2("text", 256).alias("t")), ["content_id"], F.concat_ws(":", "id", "t"))
+
+
 @query("h17_cost_totals", cte("texts") + """, t AS (SELECT content_id, greatest(1, CAST(ceil(len(regexp_extract_all(text, '\\S')) / 4) AS INT)) AS tokens FROM texts)
 SELECT content_id, CAST(sum(tokens) AS BIGINT) AS input_tokens, CAST(count(*) * 120 AS BIGINT) AS output_tokens, round((sum(tokens) * 0.5 + count(*) * 120 * 1.5) / 1000000, 6) AS cost FROM t GROUP BY content_id""")
 def h17(spark, sf_dir):

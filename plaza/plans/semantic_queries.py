@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plaza.functions import scalar as S
+from plaza.functions.digest import digest_sql
 from plaza.operators import evaluate as V
 from plaza.operators import labeling as L
 from plaza.operators import opinion as O
@@ -47,12 +48,18 @@ def k2(spark, sf_dir):
     return M.embedding_report(M.embed(x, cache))
 
 
-@query("k3_run_and_drift", "SELECT count(*) FILTER (doc_id = 0) > 0 AS inputs_changed, false AS config_changed, 36 AS id_length FROM documents")
+_RUN = "(SELECT 1 AS one, doc_id, sha256(text) AS t FROM documents WHERE doc_id % 2 = 0 {0}) r"
+_RUN_HASH = lambda where: "(SELECT hash FROM (" + digest_sql(_RUN.format(where), "one", "concat(CAST(doc_id AS VARCHAR), ':', t)") + ") y)"
+
+
+@query("k3_run_and_drift", f"""WITH h AS (SELECT {_RUN_HASH('')} AS input_hash, {_RUN_HASH('AND doc_id <> 0')} AS later, sha256('platform:douyin') AS scope_hash, sha256('threshold=0.3') AS config_hash, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS comments),
+u AS (SELECT *, sha1({URL_BYTES} || encode('plaza:run:' || scope_hash || ':' || input_hash || ':' || config_hash || ':hash-16')) AS h FROM h)
+SELECT {UUID_SQL} AS id, input_hash, comments, input_hash <> later AS inputs_changed, false AS config_changed FROM u""")
 def k3(spark, sf_dir):
     x = _texts(spark, sf_dir).where("platform = 'douyin'").select("comment_id", F.sha2("text", 256).alias("text_hash"))
     run = M.new_run(spark, x, {"platform": "douyin"}, "threshold=0.3", "hash-16")
     changed = M.new_run(spark, x.where("comment_id <> 0"), {"platform": "douyin"}, "threshold=0.3", "hash-16")
-    return M.drifted(run, changed).select("inputs_changed", "config_changed", F.length("id").alias("id_length"))
+    return M.drifted(run, changed).join(run.select("id", "input_hash", "comments"), "id")
 
 
 @query("k4_snapshot", CAL + """SELECT e.vec_id AS comment_id, d.doc_id IS NOT NULL AS has_text, l.id AS analysis_id, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'embedded' END AS status
@@ -87,6 +94,15 @@ def k6(spark, sf_dir):
     return M.search(v.select(F.col("id").alias("item_id"), "embedding"), v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding"))
 
 
+@query("k6_many_to_many", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT q.vec_id AS query_id, i.vec_id AS item_id, round(list_dot_product(q.v, i.v), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, i.v), 6) DESC, i.vec_id) AS rank
+FROM e q, e i QUALIFY rank <= 5""")
+def k6_many(spark, sf_dir):
+    """Every vector is a query and an item."""
+    v = _vectors(spark, sf_dir)
+    return M.search_many(v.select(F.col("id").alias("item_id"), "embedding"), v.select(F.col("id").alias("query_id"), "embedding"), 5)
+
+
 @query("k7_average_linkage")
 def k7(spark, sf_dir):
     members, _ = M.linkage(_vectors(spark, sf_dir), 0.7)
@@ -207,7 +223,7 @@ def h14(spark, sf_dir):
     return x.select("cluster", "size", "analyzed", "percentage", F.array_join(F.transform("top_topics", lambda s: F.concat(s["value"], F.lit(":"), s["count"].cast("string"))), ",").alias("top_topics"), "dominant_sentiment")
 
 
-@query("h15_topic_names", "SELECT label AS cluster, sha256('run:' || string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY CAST(vec_id AS VARCHAR))) AS cluster_key FROM embeddings GROUP BY label")
+@query("h15_topic_names", "SELECT cluster, sha256('run:' || hash) AS cluster_key FROM (" + digest_sql("(SELECT label AS cluster, vec_id FROM embeddings) e", "cluster", "CAST(vec_id AS VARCHAR)") + ") x")
 def h15(spark, sf_dir):
     assigned = _vectors(spark, sf_dir).select("id", F.col("label").alias("cluster"))
     newest = O.latest(view(spark, sf_dir, "analyses"), columns=["topics", "keywords", "sentiment", "stance", "risk_level"]).drop("id", "created_at")

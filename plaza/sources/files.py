@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plaza.functions import scalar as S
+from plaza.functions.digest import set_digest
 from plaza.sources.paths import staged
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
@@ -127,11 +129,11 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def run_id(prints: DataFrame) -> DataFrame:
-    """(run_id): stable while the files are the same, in whatever order they are read; from 64-bit sums of their fingerprints."""
-    both = F.xxhash64("sha256")
-    sums = prints.agg(F.count("*").alias("n"), F.bit_xor(both).alias("a"), F.sum(F.pmod(F.xxhash64(F.reverse("sha256")), F.lit(1 << 40))).alias("b"))
-    return sums.select(F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("run_id"))
+def run_id(prints: DataFrame, parameters: Mapping[str, object] | None = None) -> DataFrame:
+    """(run_id): a version-5 UUID of the sorted parameters (platform, query and so on; none that are null) and the digest of the files' fingerprints, in whatever order they are read."""
+    told = "&".join(f"{k}={v}" for k, v in sorted((parameters or {}).items()) if v is not None)
+    one = set_digest(prints, [], F.col("sha256")).agg(F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256)).alias("files"))
+    return one.select(S.uuid5(F.concat(F.lit(f"plaza:ingest:{told}:"), "files")).alias("run_id"))
 
 
 def latest_batch(files: DataFrame, seconds: int = 300) -> DataFrame:
