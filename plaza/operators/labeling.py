@@ -117,11 +117,16 @@ def validate_labels(df: DataFrame, output: str = "output") -> DataFrame:
     return out.withColumn("label", F.when(F.col("_checked.error").isNull(), F.col("_checked.x"))).drop("_checked")
 
 
+def analysis_id(model: str) -> Column:
+    """The id of an analysis of a comment (comment_id, input_hash) by a model, whether it was made or copied."""
+    return S.uuid5(F.concat_ws(":", F.lit("plaza:analysis"), F.col("comment_id"), "input_hash", F.lit(model)))
+
+
 def fan_out(labelled: DataFrame, comments: DataFrame, model: str) -> DataFrame:
     """An analysis row with a deterministic id for every comment of each labelled text."""
     good = labelled.where("label_error is null").select("input_hash", "label.*")
     rows = comments.select("comment_id", "input_hash").join(good, "input_hash")
-    return rows.withColumn("id", S.uuid5(F.concat_ws(":", F.lit("plaza:analysis"), F.col("comment_id"), "input_hash", F.lit(model)))).withColumn("model", F.lit(model))
+    return rows.withColumn("id", analysis_id(model)).withColumn("model", F.lit(model))
 
 
 def prompt_tokens(text: Column, template: str, schema: str) -> Column:
