@@ -216,3 +216,53 @@ def c16_comments(spark, sf_dir):
     tags = F.array(_s(type=_lit("other"), text=_lit("no")), _s(type=F.when(F.col("l_linenumber") % 2 == 0, "ip_info").otherwise("none"), text="l_returnflag"))
     rec = _s(id=F.concat_ws("-", "l_orderkey", "l_linenumber"), content=_lit("<p>a <b>b</b></p>"), comment_tag=tags, child_comment_count="l_linenumber", author=_s(url_token=F.concat(_lit("u"), F.col("l_suppkey"))))
     return C.zhihu_comments(_raw(x, rec, F.col("l_orderkey").cast("string").alias("content_id"), _lit("answer").alias("content_type"))).select("content_id", "comment_id", "content", "ip_location", "sub_comment_count", "user_link")
+
+
+@query("c14_tieba_details", """SELECT CAST(o_orderkey AS VARCHAR) AS note_id, 'T ' || o_orderkey AS title, 'ab' AS "desc", CASE WHEN o_orderkey % 2 = 0 THEN c_name ELSE 'n' || c_custkey END AS user_nickname, 'https://tieba.baidu.com/home/main?id=tb.1' AS user_link,
+'go吧' AS tieba_name, CAST(o_orderkey % 13 AS INT) AS total_replay_num, CAST(o_orderkey % 5 AS INT) AS total_replay_page, 'x' AS ip_location FROM orders JOIN customer ON o_custkey = c_custkey""")
+def c14_details(spark, sf_dir):
+    x = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    even = F.col("o_orderkey") % 2 == 0
+    rec = _s(
+        thread=_s(id=F.when(even, F.col("o_orderkey")), tid=F.when(~even, F.col("o_orderkey").cast("string")), title=F.concat(_lit("T  "), F.col("o_orderkey")), reply_num=F.col("o_orderkey") % 13), forum=_s(name=_lit("go")), page=_s(total_page=F.col("o_orderkey") % 5),
+        first_floor=_s(author_id="c_custkey", content=F.array(_s(text=_lit("a"), c=_lit("z")), _s(text=_lit(""), c=_lit("b")))),
+        user_list=F.array(_s(id="c_custkey", name=F.concat(_lit("n"), F.col("c_custkey")), name_show=F.when(even, F.col("c_name")), portrait=_lit("tb.1"), ip_address=_lit("x"))),
+    )
+    return C.tieba_details(_raw(x, rec)).select("note_id", "title", "desc", "user_nickname", "user_link", "tieba_name", "total_replay_num", "total_replay_page", "ip_location")
+
+
+@query("c14_tieba_creators", """SELECT CAST(c_custkey AS VARCHAR) AS user_id, c_name AS user_name, CASE WHEN c_custkey % 2 = 0 THEN c_phone ELSE c_name END AS nickname, CASE c_custkey % 3 WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' ELSE 'Unknown' END AS gender,
+CAST(c_custkey * 2 AS INT) AS follows, CAST(c_custkey * 3 AS INT) AS fans, '7.8' AS registration_duration FROM (SELECT *, 'p' || c_custkey AS c_phone FROM customer) x WHERE c_custkey % 7 <> 0""")
+def c14_creators(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    user = _s(id="c_custkey", name="c_name", name_show=F.when(F.col("c_custkey") % 2 == 0, F.concat(_lit("p"), F.col("c_custkey"))), sex=F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey") % 3), concern_num=F.col("c_custkey") * 2, fans_num=F.col("c_custkey") * 3, tb_age=_lit("7.8"))
+    return C.tieba_creators(_raw(c, _s(data=_s(user=F.when(F.col("c_custkey") % 7 != 0, user))))).select("user_id", "user_name", "nickname", "gender", "follows", "fans", "registration_duration")
+
+
+@query("c14_creator_threads", "SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS note_id, CAST(0 AS INT) AS at FROM orders UNION ALL SELECT CAST(o_custkey AS VARCHAR), '9' || o_orderkey, CAST(2 AS INT) FROM orders")
+def c14_threads(spark, sf_dir):
+    """Feeds of three items: a thread by its tid, one without an id, and one by its id."""
+    o = load(spark, sf_dir, "orders")
+    item = lambda tid, id_: _s(type=_lit(1), thread_info=_s(tid=tid, id=id_))
+    none = F.lit(None).cast("string")
+    feed = F.array(item(F.col("o_orderkey").cast("string"), _lit("0")), item(none, none), item(none, F.concat(_lit("9"), F.col("o_orderkey"))))
+    return C.tieba_creator_threads(_raw(o, _s(data=_s(list=feed)), F.col("o_custkey").cast("string").alias("user_id"))).select("user_id", "note_id", "at")
+
+
+@query("c14_forum_threads", "SELECT o_orderkey || x AS note_id, 'https://tieba.baidu.com/p/' || o_orderkey || x AS note_url, 'go吧' AS tieba_name, 'https://tieba.baidu.com/f?kw=go' AS tieba_link FROM orders, (VALUES ('1'), ('2')) v(x)")
+def c14_forum(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    rec = _s(forum=_s(name=_lit("go"), tids=F.concat(F.col("o_orderkey"), _lit("1, "), F.col("o_orderkey"), _lit("2,"))))
+    return C.tieba_forum_threads(_raw(o, rec)).select("note_id", "note_url", "tieba_name", "tieba_link")
+
+
+@query("c16_zhihu_creators", """SELECT 'id' || page_id AS user_id, 'https://www.zhihu.com/people/t' || page_id AS user_link, 'n' || page_id AS user_nickname, 't' || page_id AS url_token, CASE page_id % 3 WHEN 0 THEN 'Female' WHEN 1 THEN 'Male' ELSE 'Unknown' END AS gender,
+page_id * 2 AS fans, page_id * 3 AS get_voteup_count FROM pages WHERE page_id % 5 <> 0""")
+def c16_creators(spark, sf_dir):
+    """Pages that carry the state of one user, which in every fifth is another one."""
+    p = load(spark, sf_dir, "pages")
+    key = F.col("page_id").cast("string")
+    user = _s(id=F.concat(_lit("id"), key), name=F.concat(_lit("n"), key), gender=F.when(F.col("page_id") % 3 == 2, -1).otherwise(F.col("page_id") % 3), followerCount=F.col("page_id") * 2, voteupCount=F.col("page_id") * 3)
+    state = F.to_json(_s(initialState=_s(entities=_s(users=F.create_map(F.when(F.col("page_id") % 5 == 0, "other").otherwise(F.concat(_lit("t"), key)), user)))))
+    html = F.concat(_lit('<html><script id="js-initialData" type="text/json">'), state, _lit("</script>"), F.coalesce("html", _lit("")))
+    return C.zhihu_creators(p.select(html.alias("html"), F.concat(_lit("t"), key).alias("url_token"))).select("user_id", "user_link", "user_nickname", "url_token", "gender", "fans", "get_voteup_count")

@@ -120,30 +120,35 @@ def b9(spark, sf_dir):
     return out
 
 
-@query("c15_forum_pages", "SELECT page_id, 'p' || page_id AS native_id, 'u' || page_id AS user_nickname, 'x y' AS content, '2024-01-02 03:04' AS publish_time, CAST(page_id % 7 AS BIGINT) AS reply_count FROM pages")
+@query("c15_forum_pages", "SELECT page_id, 'p' || page_id AS native_id, 'u' || page_id AS user_nickname, 'x y' AS content, '2024-8-6 3:04' AS publish_time, CAST(page_id % 7 AS BIGINT) AS reply_count FROM pages")
 def c15(spark, sf_dir):
     """Each page with one post planted in it."""
     field = F.to_json(F.struct(F.struct(F.concat(F.lit("u"), F.col("page_id")).alias("user_name")).alias("author"), F.struct(F.concat(F.lit("p"), F.col("page_id")).alias("post_id"), (F.col("page_id") % 7).alias("comment_num")).alias("content")))
-    post = F.concat(F.lit('<div class="l_post x" data-field="'), F.replace(field, F.lit('"'), F.lit("&quot;")), F.lit('"><div class="d_post_content">x <b>y</b></div><span>2024-01-02 03:04</span></div>'))
+    post = F.concat(F.lit('<div class="l_post x" data-field="'), F.replace(field, F.lit('"'), F.lit("&quot;")), F.lit('"><div class="d_post_content">x <b>y</b></div><span class="tail-info">2024-8-6 3:04</span></div>'))
     p = load(spark, sf_dir, "pages").select("page_id", F.concat(post, F.col("html")).alias("html"))
     return P.extract(p).where("kind = 'comment'").select("page_id", "native_id", "user_nickname", "content", "publish_time", "reply_count")
 
 
-@query("c15_forum_records", """SELECT page_id, 'note' AS kind, '9' || page_id AS native_id, CAST(NULL AS VARCHAR) AS parent_id, 'T ' || page_id AS title, 'abs' AS content, 'F' AS user_nickname FROM pages
-UNION ALL SELECT page_id, 'comment', 'p' || page_id, NULL, NULL, 'x y', 'u' || page_id FROM pages
-UNION ALL SELECT page_id, 'sub_comment', 's' || page_id, 'p' || page_id, NULL, 're z', 'n' || page_id FROM pages UNION ALL SELECT page_id, 'creator', 'name' || page_id, NULL, NULL, NULL, 'name' || page_id FROM pages""")
+@query("c15_forum_records", """SELECT page_id, 'note' AS kind, '9' || page_id AS native_id, CAST(NULL AS VARCHAR) AS parent_id, 'T ' || page_id AS title, 'abs' AS content, 'F' AS user_nickname, '2026-3-15' AS publish_time, 'https://tieba.baidu.com/home/main?id=f' AS user_link, 19 AS reply_count, CAST(NULL AS BIGINT) AS page_count FROM pages
+UNION ALL SELECT page_id, 'note', '8' || page_id, NULL, 'L ' || page_id, 'of a list', 'A' || page_id, '', '', page_id % 5, NULL FROM pages
+UNION ALL SELECT page_id, 'detail', '7' || page_id, NULL, 'D ' || page_id, 'told', 'u' || page_id, '2024-8-6 22:11', 'https://tieba.baidu.com/home/main?id=u', 786, 13 FROM pages
+UNION ALL SELECT page_id, 'comment', 'p' || page_id, NULL, NULL, 'x y', 'u' || page_id, '2024-8-6 22:11', 'https://tieba.baidu.com/home/main?id=u', 4, NULL FROM pages
+UNION ALL SELECT page_id, 'sub_comment', 's' || page_id, 'p' || page_id, NULL, 're z', 'n' || page_id, '2024-8-6 22:12', 'https://tieba.baidu.com/home/main?id=n', NULL, NULL FROM pages
+UNION ALL SELECT page_id, 'creator', 'name' || page_id, NULL, NULL, NULL, 'name' || page_id, NULL, NULL, NULL, NULL FROM pages""")
 def c15_records(spark, sf_dir):
-    """Each page with a thread, a post, a reply to it and a creator planted in it."""
+    """Each page with a search result, a listed thread, the totals of a thread, a post in a commented section, a reply without its parent and a creator planted in it."""
     key = F.col("page_id").cast("string")
-    quoted = lambda field: F.replace(F.to_json(field), F.lit('"'), F.lit("&quot;"))
-    thread = F.concat(F.lit('<div class="s_post"><span class="p_title"><a href="/p/9'), key, F.lit('">T '), key, F.lit('</a></span><div class="p_content">abs</div><a class="p_violet" href="/f?kw=x">F</a></div>'))
-    field = F.struct(F.struct(F.concat(F.lit("u"), key).alias("user_name")).alias("author"), F.struct(F.concat(F.lit("p"), key).alias("post_id")).alias("content"))
-    post = F.concat(F.lit('<div class="l_post" data-field="'), quoted(field), F.lit('"><div class="d_post_content">x <b>y</b></div></div>'))
-    reply = F.struct(F.concat(F.lit("s"), key).alias("spid"), F.concat(F.lit("p"), key).alias("pid"), F.concat(F.lit("n"), key).alias("showname"))
-    sub = F.concat(F.lit('<li class="lzl_single_post" data-field="'), quoted(reply), F.lit('"><span class="lzl_content_main">re <b>z</b></span><span class="lzl_time">2024-01-02 03:04</span></li>'))
-    creator = F.concat(F.lit('<div class="userinfo_wrap"><span class="userinfo_username">name'), key, F.lit("</span></div>"))
-    p = load(spark, sf_dir, "pages").select("page_id", F.concat(thread, post, sub, creator, F.coalesce("html", F.lit(""))).alias("html"))
-    return P.extract(p).select("page_id", "kind", "native_id", "parent_id", "title", "content", "user_nickname")
+    with_key = lambda html: F.concat(*[x for part in html.split("#") for x in (F.lit(part), key)][:-1])
+    card = """<div class="threadcardclass x"><a class="action-link-bg" href="https://tieba.baidu.com/p/9#?fr=u"></a><div class="top-title"><a class="forum-attention p_violet" href="/home/main?id=f">F</a><span>发布于 2026-3-15</span></div>
+<div class="title-wrap">T #</div><div class="abstract-wrap">abs</div><a class="comment-link-zone" href="/p/9#?s=1"><span>19</span></a></div>"""
+    listed = """<!-- <ul id="thread_list"><li class="j_thread_list clearfix" data-field="{'id':8#,'author_name':'A#','reply_num':""" + "@" + """}"><a class="j_th_tit" href="/p/8#">L #</a><div class="threadlist_abs">of a list</div></li></ul> -->"""
+    detail = """<title>D #_百度贴吧</title><meta name="description" content="told"><a id="lzonly_cntn" href="/p/7#?see_lz=1">x</a><div id="thread_theme_5"><ul><li class="l_reply_num"><span class="red">786</span><span class="red">13</span></li></ul></div>"""
+    post = """<code><!-- <div class="l_post j_l_post" data-field="{&quot;author&quot;:{&quot;user_name&quot;:&quot;u#&quot;},&quot;content&quot;:{&quot;post_id&quot;:&quot;p#&quot;,&quot;comment_num&quot;:4}}"><a class="p_author_name" href="/home/main?id=u">u#</a><div class="d_post_content">x <b>y</b></div><span class="tail-info">2024-8-6 22:11</span></div> --></code>"""
+    reply = """<li class="lzl_single_post j_lzl_s_p" data-field='{"spid":"s#","showname":"n#"}'><a class="j_user_card lzl_p_p" href="/home/main?id=n"></a><span class="lzl_content_main">re <b>z</b></span><span class="lzl_time">2024-8-6 22:12</span></li>"""
+    creator = '<div class="userinfo_wrap"><span class="userinfo_username">name#</span></div>'
+    html = F.concat(with_key(card), F.replace(with_key(listed), F.lit("@"), (F.col("page_id") % 5).cast("string")), *[with_key(x) for x in (detail, post, reply, creator)], F.coalesce("html", F.lit("")))
+    p = load(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.concat(F.lit("p"), key).alias("parent_id"))
+    return P.extract(p).select("page_id", "kind", "native_id", "parent_id", "title", "content", "user_nickname", "publish_time", "user_link", "reply_count", "page_count")
 
 
 @query("d11_parent_depth", "SELECT conv_id, turn, CASE WHEN turn > 0 THEN 'c' || conv_id END AS parent, CASE WHEN turn > 0 THEN 1 ELSE 0 END AS depth FROM conversations")

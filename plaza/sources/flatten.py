@@ -240,6 +240,17 @@ def kuaishou_creators(df: DataFrame) -> DataFrame:
 TIEBA = "https://tieba.baidu.com"
 
 
+_USER = "struct<id:string,name:string,name_show:string,portrait:string,ip_address:string>"
+
+
+def _first_or(default: str, *paths: str) -> Column:
+    return F.coalesce(_first(*paths), F.lit(default))
+
+
+def _tieba_user(portrait: Column) -> Column:
+    return F.when(portrait != "", F.concat(F.lit(f"{TIEBA}/home/main?id="), F.url_encode(portrait))).otherwise("")
+
+
 def tieba_search(df: DataFrame) -> DataFrame:
     """Thread cards of search results."""
     cards = parsed(df).select(F.explode(at("data.card_list", "array<variant>")).alias(_V))
@@ -263,6 +274,43 @@ def tieba_posts(df: DataFrame) -> DataFrame:
     )
 
 
+def tieba_details(df: DataFrame) -> DataFrame:
+    """The thread of a page of posts, with the author of its first floor."""
+    users = F.map_from_entries(F.transform(F.filter(_list("user_list", _USER), lambda u: u["id"].isNotNull()), lambda u: F.struct(u["id"], u)))
+    forum = S.forum_name(_first_or("", "forum.name", "display_forum.name"))
+    text = lambda items: F.array_join(F.transform(items, lambda c: F.coalesce(F.nullif(c["text"], F.lit("")), c["c"], F.lit(""))), "")
+    native = _first("thread.id", "thread.tid", "first_floor.tid")
+    who = F.col("users")[at("first_floor.author_id")]
+    return _rows(parsed(df).withColumn("users", users).where(native.isNotNull()), {
+        "note_id": native, "title": S.normalize_text(_first_or("", "thread.title", "first_floor.title")), "desc": S.normalize_text(text(_list("first_floor.content", "struct<text:string,c:string>"))), "note_url": F.concat(F.lit(f"{TIEBA}/p/"), native),
+        "publish_time": _first("first_floor.time", "thread.create_time"), "user_nickname": F.coalesce(F.nullif(who["name_show"], F.lit("")), who["name"], F.lit("")), "user_link": _tieba_user(who["portrait"]), "tieba_name": forum, "tieba_link": S.forum_link(forum, f"{TIEBA}/f?kw="),
+        "total_replay_num": F.coalesce(at("thread.reply_num", "int"), F.lit(0)), "total_replay_page": F.coalesce(at("page.total_page", "int"), F.lit(0)), "ip_location": F.coalesce(who["ip_address"], F.lit("")),
+    })
+
+
+def tieba_creators(df: DataFrame) -> DataFrame:
+    """Creators; a record without a user gives no row."""
+    user, sex = "data.user", F.coalesce(at("data.user.sex", "int"), at("data.user.gender", "int"))
+    return _rows(parsed(df).where(at(user, "variant").isNotNull()), {
+        "user_id": _or(f"{user}.id", ""), "user_name": _or(f"{user}.name", ""), "nickname": _first_or("", f"{user}.name_show", f"{user}.name"), "gender": F.when(sex == 1, "Male").when(sex == 2, "Female").otherwise("Unknown"),
+        "ip_location": _or(f"{user}.ip_address", ""), "follows": F.coalesce(at(f"{user}.concern_num", "int"), F.lit(0)), "fans": F.coalesce(at(f"{user}.fans_num", "int"), F.lit(0)), "registration_duration": _or(f"{user}.tb_age", ""),
+    })
+
+
+def tieba_creator_threads(df: DataFrame) -> DataFrame:
+    """Ids of the threads in a creator's feed, in its order (``at`` from 0); ``df`` has user_id."""
+    items = parsed(df).select("user_id", F.posexplode(at("data.list", "array<struct<thread_info:struct<tid:string,id:string>>>")).alias("at", "x"))
+    native = F.coalesce(F.nullif("x.thread_info.tid", F.lit("")), F.nullif("x.thread_info.id", F.lit("")))
+    return items.select("user_id", "at", native.alias("note_id")).where("note_id is not null")
+
+
+def tieba_forum_threads(df: DataFrame) -> DataFrame:
+    """The thread ids of a forum's page with what leads to them; the ids are one text with commas between."""
+    forum = S.forum_name(_or("forum.name", ""))
+    ids = parsed(df).select(_V, F.posexplode(F.split(_or("forum.tids", ""), ",")).alias("at", "tid")).where(F.trim("tid") != "")
+    return _rows(ids, {"note_id": F.trim("tid"), "at": F.col("at"), "note_url": F.concat(F.lit(f"{TIEBA}/p/"), F.trim("tid")), "tieba_name": forum, "tieba_link": S.forum_link(forum, f"{TIEBA}/f?kw=")})
+
+
 # Zhihu ---------------------------------------------------------------------------------------------------------------------------
 
 ZHIHU, COLUMNS = "https://www.zhihu.com", "https://zhuanlan.zhihu.com"
@@ -297,6 +345,18 @@ def zhihu_comments(df: DataFrame) -> DataFrame:
     }, "content_id", "content_type")
 
 
+def zhihu_creators(df: DataFrame) -> DataFrame:
+    """Creators from the state that their page carries (``df`` has html and url_token); pages without that user give no row."""
+    counts = {"follows": "followingCount", "fans": "followerCount", "anwser_count": "answerCount", "video_count": "zvideoCount", "question_count": "questionCount", "article_count": "articlesCount", "column_count": "columnsCount", "get_voteup_count": "voteupCount"}
+    user = F.try_variant_get(F.try_parse_json(page_state(F.col("html"), "initial_data")), "$.initialState.entities.users", "map<string,variant>")
+    x = df.select("url_token", F.try_element_at(user, F.col("url_token")).alias(_V)).where(F.col(_V).isNotNull())
+    gender = at("gender", "int")
+    return _rows(x, {
+        "user_id": at("id"), "user_link": F.concat(F.lit(f"{ZHIHU}/people/"), F.col("url_token")), "user_nickname": at("name"), "user_avatar": at("avatarUrl"), "url_token": F.coalesce(_first("urlToken"), F.col("url_token")),
+        "gender": F.when(gender == 1, "Male").when(gender == 0, "Female").otherwise("Unknown"), "ip_location": at("ipInfo"), **{name: at(path, "bigint") for name, path in counts.items()},
+    })
+
+
 # Page state and replies -----------------------------------------------------------------------------------------------------------
 
 
