@@ -112,6 +112,11 @@ def _first(pattern: re.Pattern, text: str, group: int = 0) -> str:
     return m[group] if m else ""
 
 
+def _place(node: Node) -> str:
+    """The place in the first text that names one; texts of neighbouring elements stand together without a space."""
+    return next((m[1] for n in node.walk() for c in n.children if isinstance(c, str) and (m := _PLACE.search(c))), "")
+
+
 def _absolute(href: str) -> str:
     return urljoin(HOME + "/", href) if href else ""
 
@@ -142,7 +147,7 @@ def _cards(top: Node) -> Iterator[tuple]:
         sent = _first(_SENT, head, 1)
         name = _first_text(n, "p_violet", "tb_icon_author", "forum-attention") or (head.split("发布于")[0].strip() if sent else "")
         replies = _count(_first_text(n, "comment-link-zone")) if n.find("comment-link-zone") else None
-        yield _record("note", native, None, _first_text(n, "p_title", "threadlist_title", "title-wrap") or content[:80], content, name, _link(n, "p_violet", "frs-author-name"), sent or _first(_TIME, n.text()), _first(_PLACE, n.text(), 1), replies)
+        yield _record("note", native, None, _first_text(n, "p_title", "threadlist_title", "title-wrap") or content[:80], content, name, _link(n, "p_violet", "frs-author-name"), sent or _first(_TIME, n.text()), _place(n), replies)
 
 
 def _listed(top: Node) -> Iterator[tuple]:
@@ -167,7 +172,7 @@ def _detail(top: Node, html: str) -> Iterator[tuple]:
     author = posts[0].field().get("author") or {}
     name = _first_text(posts[0], "p_author_name") or str(author.get("user_nickname") or author.get("user_name") or "")
     replies, pages = [_count(x.text()) for x in totals[:2]] + [0] * (2 - len(totals[:2]))
-    yield _record("detail", native, None, title, told.strip(), name, _link(posts[0], "p_author_face", "p_author_name"), _first(_TIME, posts[0].text()), _first(_PLACE, posts[0].text(), 1), replies, pages)
+    yield _record("detail", native, None, title, told.strip(), name, _link(posts[0], "p_author_face", "p_author_name"), _first(_TIME, posts[0].text()), _place(posts[0]), replies, pages)
 
 
 def _posts(top: Node) -> Iterator[tuple]:
@@ -176,7 +181,7 @@ def _posts(top: Node) -> Iterator[tuple]:
         content, author = field.get("content") or {}, field.get("author") or {}
         if post := str(content.get("post_id") or n.attrs.get("data-pid") or ""):
             name = str(author.get("user_name") or "") or _first_text(n, "p_author_name")
-            yield _record("comment", post, None, None, _first_text(n, "d_post_content", "j_d_post_content"), name, _link(n, "p_author_name"), _first(_TIME, n.text()), _first(_PLACE, n.text(), 1), _count(content.get("comment_num")))
+            yield _record("comment", post, None, None, _first_text(n, "d_post_content", "j_d_post_content"), name, _link(n, "p_author_name"), _first(_TIME, n.text()), _place(n), _count(content.get("comment_num")))
 
 
 def _replies(top: Node, parent: str | None) -> Iterator[tuple]:
@@ -184,7 +189,7 @@ def _replies(top: Node, parent: str | None) -> Iterator[tuple]:
         field = n.field()
         if native := str(field.get("spid") or ""):
             name = str(field.get("showname") or field.get("user_name") or "")
-            yield _record("sub_comment", native, str(field.get("pid") or "") or parent, None, _first_text(n, "lzl_content_main"), name, _link(n, "lzl_p_p", "at"), _first(_TIME, _first_text(n, "lzl_time")), _first(_PLACE, n.text(), 1))
+            yield _record("sub_comment", native, str(field.get("pid") or "") or parent, None, _first_text(n, "lzl_content_main"), name, _link(n, "lzl_p_p", "at"), _first(_TIME, _first_text(n, "lzl_time")), _place(n))
 
 
 def records(html: str | None, parent: str | None = None) -> list[tuple]:
@@ -194,7 +199,7 @@ def records(html: str | None, parent: str | None = None) -> list[tuple]:
     out = [*_cards(top), *_listed(top), *_detail(top, html), *_posts(top), *_replies(top, parent)]
     for n in top.find("userinfo_userdata", "userinfo_wrap"):
         if name := _first_text(n, "userinfo_username"):
-            out.append(_record("creator", name, name=name, place=_first(_PLACE, n.text(), 1)))
+            out.append(_record("creator", name, name=name, place=_place(n)))
             break
     return out
 

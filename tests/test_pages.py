@@ -30,7 +30,7 @@ def test_sections_in_comments_are_read():
 def test_a_detail_has_the_totals_of_its_thread():
     html = """<title>【go吧】At 14_百度贴吧</title><meta name="description" content=" told "><a class="card_title_fname" href="/f?kw=go">go吧</a><script>{"thread_id": "911"}</script>
     <div id="thread_theme_5"><li class="l_reply_num"><span class="red">786</span><span class="red">13</span></li></div>
-    <div class="l_post j_l_post" data-field='{"author":{"user_nickname":"z"},"content":{"post_id":1}}'><a class="p_author_face" href="/home/main?un=z"></a>IP属地:广东<span class="tail-info">2024-08-04 10:00</span></div>"""
+    <div class="l_post j_l_post" data-field='{"author":{"user_nickname":"z"},"content":{"post_id":1}}'><a class="p_author_face" href="/home/main?un=z"></a><span>IP属地:广东</span><span class="tail-info">2024-08-04 10:00</span></div>"""
     detail = next(r for r in found(html) if r["kind"] == "detail")
     assert (detail["native_id"], detail["title"], detail["content"], detail["reply_count"], detail["page_count"]) == ("911", "At 14", "told", 786, 13)
     assert (detail["user_nickname"], detail["ip_location"], detail["publish_time"]) == ("z", "广东", "2024-08-04 10:00")
