@@ -1,19 +1,19 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a document whose measure lies beyond a cutoff. Cutoffs are learned per stratum (the language column)
-from labelled rows outside the base rules, in two halves of their own (by a hash of doc_id):
-
-1. On the first half a fixed ladder of cutoffs is walked for each rule from lax to strict, and a cutoff counts as certified while the
-   exact binomial test rejects "the rule drops more than ``risk`` of the good documents of this stratum". The walk ends at
-   the first cutoff that is not certified (fixed-sequence testing, so the ladder itself costs no correction), and the level
-   of each walk is ``alpha`` divided by the number of walks (rules times strata, Bonferroni). Among the certified cutoffs the
-   one that separates bad from good best is chosen; a rule that separates nothing is off.
-2. On the second half the joint verdict is certified: the chosen rules are joined in the order of ``RULES``, and after each the exact test
-   asks whether all rules so far together drop more than ``risk`` of the good documents. The first rule with which that is not
-   certified is off, and all after it (a fixed sequence again, at ``alpha`` divided by the strata).
-
-So with probability ``1 - alpha`` the learned rules together drop at most ``risk`` of the good documents of any stratum that pass the
-base rules, which are not learned. Tests need independent trials, so of labelled documents of a stratum and half that share
+Each rule rejects a document whose measure lies beyond a cutoff of its ladder, which goes from lax to strict. Cutoffs are chosen and certified per stratum
+(the language column), from documents that pass the base rules:
+
+1. The choice looks at the documents labelled bad and at those not labelled good, never at which good ones are beyond a cutoff. For each rule and
+   rung it estimates how many good documents would go: the share of all documents beyond the cutoff, less what the bad ones explain. The rung with the best balance of caught bad and
+   estimated loss is the rule's goal; a rule that separates nothing has none. Goals, the best first, give one path of joint
+   verdicts: each rule is taken from its laxest rung to its goal, then the next is added; rungs that catch no further bad document are passed over.
+2. Along this path every joint verdict is tested on all good documents: the exact binomial test at ``alpha`` divided by the strata rejects "it
+   drops more than ``risk`` of the good documents". The first verdict that is not certified ends the path. As verdicts only grow and the path does not
+   depend on the outcomes, this is fixed-sequence testing, and neither rules nor rungs cost a correction; strata are corrected for by Bonferroni.
+
+A stratum whose good documents are too few for any certificate (``ln(alpha / strata) / ln(1 - risk)``) is not tested and takes no part in the correction; only numbers of documents decide that, not
+outcomes. So with probability ``1 - alpha`` the learned rules together drop at most ``risk`` of the good documents of any stratum that pass the
+base rules, which are not learned. Tests need independent trials, so of documents of a stratum and kind that share
 their smallest shingle of five words, by which near copies mostly agree, one counts (the one with the smallest doc_id).
 
 Cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike, each for itself, and count once in
@@ -29,10 +29,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plaza.llm import textbytes as tb
 from plaza.llm.shared import staged
@@ -91,10 +93,13 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def _beyond(value: Column, rule: str) -> Column:
-    """How many cutoffs of the ladder reject this value."""
+def _level(value: Column, rule: str) -> Column:
+    """The laxest rung whose cutoff rejects this value, counted from 1; one more than there are if none does.
+
+    A value beyond a cutoff is beyond all stricter ones too, so the number of cutoffs it is beyond gives the rung.
+    """
     sign, ladder = RULES[rule]
-    return sum(((value >= c) if sign > 0 else (value <= c)).cast("int") for c in ladder)
+    return F.lit(len(ladder) + 1) - sum(((value >= c) if sign > 0 else (value <= c)).cast("int") for c in ladder)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -123,72 +128,82 @@ def _base(min_words: int, max_repeat_percent: int) -> Column:
 
 
 def holdout(measured: DataFrame, labels: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """(stratum, half, good, reached): labelled documents that pass the base rules, near copies thinned, with the rungs that each rule reaches."""
-    marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.min("quality") > 0).alias("good"))
-    held = measured.where(~_base(min_words, max_repeat_percent)).join(marked, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
-    ratios = _ratios()
-    reached = F.struct(*[_beyond(ratios[r], r).alias(r) for r in RULES])
-    return held.groupBy("stratum", "half", "good", "least").agg(F.min_by(reached, F.struct("doc_id", "n_words")).alias("reached")).drop("least")
+    """(stratum, kind, levels, n): how many documents that pass the base rules have each tuple of levels. ``kind`` is good, bad, or none for those without a label.
 
-
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float = 0.05, weight: float = 3.0) -> DataFrame:
-    """Certified cutoffs: (stratum, rule, rung, cutoff, n_good, n_lost, bound); ``cutoff`` is null for a rule that is off.
-
-    Every labelled document is used. ``rung`` is the number of ladder steps taken; n_good, n_lost and bound are those of the joint
-    verdict up to this rule. The counts are small tables of strata x rules x rungs, summed on the executors.
+    Near copies are thinned. There are at most as many rows a stratum as the ladders have tuples of rungs.
     """
-    held = staged(holdout(measured, labels), "holdout")
-    rungs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"reached.{r}").alias("reached")) for r in RULES])).alias("x")
-    counts = held.where("half = 0").select("stratum", "good", rungs).groupBy("stratum", "x.rule", "x.reached").agg(
-        F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")
-    )
-    strata = max(1, held.select("stratum").distinct().count())
-    walks = len(RULES) * strata
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        ladder = RULES[pdf["rule"].iloc[0]][1]
-        good, bad = int(pdf["good"].sum()), int(pdf["bad"].sum())
-        best, choice = 0.0, 0
+    marked = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.when(F.min("quality") > 0, "good").otherwise("bad").alias("kind"))
+    passed = measured.where(~_base(min_words, max_repeat_percent)).drop("kind")
+    held = passed.join(marked, "doc_id", "left").withColumn("kind", F.coalesce("kind", F.lit("none")))
+    ratios = _ratios()
+    levels = F.struct(*[_level(ratios[r], r).alias(r) for r in RULES])
+    thinned = held.groupBy("stratum", "kind", "least").agg(F.min_by(levels, F.struct("doc_id", "n_words")).alias("levels"))
+    return thinned.groupBy("stratum", "kind", "levels").agg(F.count("*").alias("n"))
+
+
+def choose_path(levels: dict[str, np.ndarray], n: np.ndarray, kind: np.ndarray, weight: float, risk: float) -> list[dict[str, int]]:
+    """Joint verdicts, each the rung of every rule that is on, from the counts of one stratum. Of the good documents only their number is used."""
+    n_good, n_bad, n_none = (int(n[kind == k].sum()) for k in ("good", "bad", "none"))
+    if not n_good or not n_bad:
+        return []
+    bad, none, share = kind == "bad", kind == "none", n_bad / (n_good + n_bad)
+    goals = []
+    for k, (rule, (_, ladder)) in enumerate(RULES.items()):
+        best, goal = 0.0, 0
         for rung in range(1, len(ladder) + 1):
-            hit = pdf[pdf["reached"] >= rung]
-            lost, caught = int(hit["good"].sum()), int(hit["bad"].sum())
-            if not good or binomial_tail(lost, good, risk) > alpha / walks:
-                break
-            gain = caught / max(1, bad) - weight * lost / good
+            hit = levels[rule] <= rung
+            caught, seen = n[hit & bad].sum() / n_bad, n[hit & none].sum() / max(1, n_none)
+            lost = max(0.0, seen - share * caught) / (1 - share)
+            gain = caught - weight * max(0.0, lost - risk / 2) / risk
             if gain > best:
-                best, choice = gain, rung
-        return pd.DataFrame([(pdf["stratum"].iloc[0], pdf["rule"].iloc[0], choice)], columns=["stratum", "rule", "rung"])
-
-    chosen = staged(counts.groupBy("stratum", "rule").applyInPandas(walk, "stratum string, rule string, rung int"), "chosen")
-    limits = chosen.where("rung > 0").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rung"))).alias("limits"))
-    # How many of the rules, in their order, it takes to drop a good document of the second half; none of them: one more than there are.
-    drops = [F.when(F.col(f"reached.{r}") >= F.col("limits")[F.lit(r)], F.lit(k + 1)) for k, r in enumerate(RULES)]
-    second = held.where("half = 1 and good").join(F.broadcast(limits), "stratum", "left")  # one row for each stratum with labels
-    first = second.select("stratum", F.coalesce(*drops, F.lit(len(RULES) + 1)).alias("first")).groupBy("stratum", "first").agg(F.count("*").alias("n"))
-    both = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rung"))).alias("rungs"))
-    both = both.join(first.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("first", "n"))).alias("firsts")), "stratum", "left")
-
-    def certify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for stratum, rungs, firsts in zip(pdf["stratum"], pdf["rungs"], pdf["firsts"], strict=True):
-                rungs, firsts, on = dict(rungs), dict(firsts) if firsts is not None else {}, True
-                good = sum(firsts.values())
-                for k, (rule, (_, ladder)) in enumerate(RULES.items()):
-                    rung, lost = rungs.get(rule, 0), sum(n for f, n in firsts.items() if f <= k + 1)
-                    on = on and (rung == 0 or (good > 0 and binomial_tail(lost, good, risk) <= alpha / strata))
-                    taken = rung if on else 0
-                    out.append((stratum, rule, taken, float(ladder[taken - 1]) if taken else None, good, lost if taken else 0, upper_bound(lost, good, alpha / strata) if taken else None))
-            yield pd.DataFrame(out, columns=["stratum", "rule", "rung", "cutoff", "n_good", "n_lost", "bound"])
-
-    return both.mapInPandas(certify, "stratum string, rule string, rung int, cutoff double, n_good long, n_lost long, bound double")
+                best, goal = gain, rung
+        if goal:
+            goals.append((-best, k, rule, goal))
+    path, now, gone = [], {}, np.zeros(len(n), bool)
+    for _, _, rule, goal in sorted(goals):
+        for rung in range(1, goal + 1):
+            hit = levels[rule] <= rung
+            if n[hit & bad & ~gone].sum():
+                now, gone = now | {rule: rung}, gone | hit
+                path.append(now)
+    return path
+
+
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.01, alpha: float = 0.05, weight: float = 0.5) -> DataFrame:
+    """Certified cutoffs: (stratum, rule, rung, cutoff, n_good, n_lost, bound); rung 0 and a null cutoff for a rule that is off.
+
+    ``cutoff`` is what ``judge`` applies. n_good, n_lost and bound are those of the certified joint verdict of the stratum.
+    """
+    held = staged(holdout(measured, labels), "holdout")
+    good = held.where("kind = 'good'").groupBy("stratum").agg(F.sum("n").alias("n_good"))  # a row for each stratum with labels
+    ranked = good.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n_good"), "stratum")))
+    strata = ranked.where(F.col("n_good") >= F.log(F.lit(alpha) / F.col("place")) / math.log1p(-risk)).agg(F.max("place")).first()[0] or 0
+    tested = ranked.where(F.col("place") <= strata).select("stratum")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        levels, n, kind = {r: np.array([x[r] for x in pdf["levels"]]) for r in RULES}, pdf["n"].to_numpy(), pdf["kind"].to_numpy()
+        n_good, n_lost, certified = int(n[kind == "good"].sum()), 0, {}
+        for verdict in choose_path(levels, n, kind, weight, risk):
+            hit = np.any([levels[r] <= rung for r, rung in verdict.items()], axis=0)
+            lost = int(n[hit & (kind == "good")].sum())
+            if binomial_tail(lost, n_good, risk) > alpha / strata:
+                break
+            n_lost, certified = lost, verdict
+        bound = upper_bound(n_lost, n_good, alpha / strata)
+        out = []
+        for rule, (_, ladder) in RULES.items():
+            rung = certified.get(rule, 0)
+            out.append((pdf["stratum"].iloc[0], rule, rung, ladder[rung - 1] if rung else None, n_good, n_lost if rung else 0, bound if rung else None))
+        return pd.DataFrame(out, columns=["stratum", "rule", "rung", "cutoff", "n_good", "n_lost", "bound"])
+
+    return held.join(tested, "stratum").groupBy("stratum").applyInPandas(fit, "stratum string, rule string, rung int, cutoff double, n_good long, n_lost long, bound double")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Adds base_failed, the list of broken rules, and kept to ``measured``."""
     limits = cutoffs.where("rung > 0").groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "rung"))).alias("limits"))
     ratios = _ratios()
-    broken = F.array_compact(F.array(*[F.when(_beyond(ratios[r], r) >= F.col("limits")[F.lit(r)], F.lit(r)) for r in RULES]))
+    broken = F.array_compact(F.array(*[F.when(_level(ratios[r], r) <= F.col("limits")[F.lit(r)], F.lit(r)) for r in RULES]))
     base = _base(min_words, max_repeat_percent)
     out = measured.join(limits, "stratum", "left").withColumn("base_failed", base).withColumn("broken_rules", broken)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)).drop("limits")
