@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from plaza.functions import scalar as S
 from plaza.functions.digest import set_digest
 from plaza.sources.paths import staged
+from plaza.sources.stores import upsert_table
 
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 _QUOTES = {'"': "&quot;"}
@@ -257,13 +258,24 @@ def export_workbooks(df: DataFrame, path: str, book: str, sheet: str, columns: l
 
 
 def save(df: DataFrame, fmt: str, target: str, options: dict[str, str] | None = None) -> None:
-    """Writes by the name of a store: files, or ``db``, ``sqlite``, ``postgres`` and ``mysql`` by JDBC."""
+    """Writes by the name of a store: files; ``db``, ``sqlite``, ``postgres`` and ``mysql`` by JDBC; or ``excel`` workbooks.
+
+    With the option ``key`` (columns with commas between) a JDBC store is merged into, else appended to. Workbooks take the options ``book``, ``sheet`` and ``order``, which
+    are columns.
+    """
+    options = dict(options or {})
     if fmt in ("csv", "json", "jsonl", "parquet", "orc"):
         df = flat_values(df) if fmt == "csv" else df
-        df.write.mode("append").format("json" if fmt == "jsonl" else fmt).options(**(options or {})).save(target)
+        df.write.mode("append").format("json" if fmt == "jsonl" else fmt).options(**options).save(target)
     elif fmt in ("db", "sqlite", "postgres", "mysql"):
-        df.write.mode("append").format("jdbc").options(dbtable=target, **(options or {})).save()
-    elif fmt in ("mongodb", "excel"):
+        if key := options.pop("key", ""):
+            upsert_table(df, options.pop("url"), target, key.split(","), properties=options)
+        else:
+            df.write.mode("append").format("jdbc").options(dbtable=target, **options).save()
+    elif fmt == "excel":
+        book, sheet, order = (options[k] for k in ("book", "sheet", "order"))
+        export_workbooks(df, target, book, sheet, [c for c in df.columns if c not in (book, sheet)], order)
+    elif fmt == "mongodb":
         raise ValueError(f"{fmt} needs a connector that is not on the class path")
     else:
         raise ValueError(f"unknown store {fmt}")
