@@ -345,12 +345,13 @@ def labelled_sample(pages: DataFrame, known: DataFrame, sample: int) -> DataFram
     share = F.lit(int((1 << 20) * min(1.0, sample / max(1, pages.count()))))
     held = staged(pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < share).mapInArrow(_blocks, "page_id bigint, key bigint, chars bigint, features array<string>"), "blocks")
     texts = known.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    lines = staged(texts.mapInArrow(_lines, "doc bigint, key bigint"), "lines")
-    # The text of a page is the first one that has the page's longest block as a line.
-    longest = held.groupBy("page_id").agg(F.max_by("key", F.struct("chars", "key")).alias("key"))
-    text = lines.join(longest.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
+    lines = lambda of: of.mapInArrow(_lines, "doc bigint, key bigint")
+    # The text of a page is the first one that has the page's longest block as a line. There are as many such blocks and texts as pages in the sample, so lines
+    # of all texts are compared as they are read, and only those of the texts found are read again.
+    longest = staged(held.groupBy("page_id").agg(F.max_by("key", F.struct("chars", "key")).alias("key")), "longest")
+    text = lines(texts).join(F.broadcast(longest.select("key").distinct()), "key", "left_semi").groupBy("key").agg(F.min("doc").alias("doc"))
     owner = staged(longest.join(text, "key").select("page_id", "doc"), "owners")
-    own = lines.join(owner.select("doc").distinct(), "doc", "left_semi").withColumn("content", F.lit(1)).distinct()
+    own = lines(texts.join(F.broadcast(owner.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")).withColumn("content", F.lit(1)).distinct()
     marked = held.join(owner, "page_id").join(own, ["doc", "key"], "left").withColumn("content", F.coalesce("content", F.lit(0)))
     return marked.groupBy("features", "content").agg(F.count("*").alias("n"))
 
