@@ -194,6 +194,17 @@ def k13(spark, sf_dir):
     return M.parameter_matrix(_vectors(spark, sf_dir).select("id", "embedding"), [0.5, 0.6, 0.7], [2, 3])
 
 
+@query("b11_experiment_matrix")
+def b11_matrix(spark, sf_dir):
+    """The quality artifact of two clusterings of the comments that have a vector, written and read back."""
+    v = _vectors(spark, sf_dir).select("id", "embedding")
+    c = _texts(spark, sf_dir).select(F.col("comment_id").alias("id"), "text", "like_count", S.exclusion_reason(S.normalize_text("text")).alias("exclusion_reason")).join(v.select("id"), "id")
+    points = v.join(c.where("exclusion_reason is null").select("id"), "id")
+    metrics, review = M.experiment_matrix(fresh(spark, "experiments"), points, c, [0.6, 0.7], [3], "snapshot")
+    shown = review.groupBy("config_hash").agg(F.count("rank").alias("representatives"), F.count_if(F.col("status") == "noise").alias("noise_rows"))
+    return metrics.join(shown, "config_hash", "left").drop("config_hash", "snapshot_hash")
+
+
 @query("k14_review_table", _TOPICS + """, s AS (SELECT t.id, t.text, CASE WHEN r.reason IS NOT NULL THEN 'semantic_quality:' || r.reason WHEN t.id % 7 = 0 THEN 'noise' ELSE 'topic' END AS status FROM t JOIN r ON r.id = t.id),
 k AS (SELECT *, CASE WHEN status IN ('topic', 'noise') THEN status ELSE 'excluded' END AS kind FROM s)
 SELECT id, status, text, kind FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY sha256(id || ':review'), id) <= 10""")

@@ -50,7 +50,7 @@ class Node:
     def find(self, *tokens: str) -> list[Node]:
         """Descendants that have one of the class tokens."""
         want = set(tokens)
-        return [n for n in self.walk() if want & n.classes()]
+        return [n for n in self.walk() if "class" in n.attrs and want & n.classes()]
 
     def text(self) -> str:
         parts, todo = [], [self]
@@ -102,7 +102,7 @@ def parse(html: str) -> Node:
     return t.top
 
 
-def _first_text(node: Node, *tokens: str) -> str:
+def _first_text(node: Node | _Page, *tokens: str) -> str:
     found = node.find(*tokens)
     return found[0].text() if found else ""
 
@@ -134,7 +134,22 @@ def _record(kind: str, native: str, parent: str | None = None, title: str | None
     return kind, native, parent, title, content, name, link, time, place, replies, pages
 
 
-def _cards(top: Node) -> Iterator[tuple]:
+class _Page:
+    """The elements of a page by class token, so that a page is walked once for all kinds of records."""
+
+    def __init__(self, top: Node):
+        self.top, self.of = top, {}
+        for at, n in enumerate(top.walk()):
+            if "class" in n.attrs:
+                for c in n.classes():
+                    self.of.setdefault(c, []).append((at, n))
+
+    def find(self, *tokens: str) -> list[Node]:
+        found = {at: n for c in tokens for at, n in self.of.get(c, [])}
+        return [found[at] for at in sorted(found)]
+
+
+def _cards(top: _Page) -> Iterator[tuple]:
     """Threads in results of a search, of both layouts, each thread once."""
     seen = set()
     for n in top.find("s_post", "thread_item", "threadlist_lz", "threadcardclass"):
@@ -150,7 +165,7 @@ def _cards(top: Node) -> Iterator[tuple]:
         yield _record("note", native, None, _first_text(n, "p_title", "threadlist_title", "title-wrap") or content[:80], content, name, _link(n, "p_violet", "frs-author-name"), sent or _first(_TIME, n.text()), _place(n), replies)
 
 
-def _listed(top: Node) -> Iterator[tuple]:
+def _listed(top: _Page) -> Iterator[tuple]:
     """Threads in the list of a forum."""
     for n in top.find("j_thread_list"):
         field = n.field()
@@ -159,23 +174,25 @@ def _listed(top: Node) -> Iterator[tuple]:
             yield _record("note", native, None, _first_text(n, "j_th_tit") or _first_text(n, "threadlist_title"), _first_text(n, "threadlist_abs"), name, _link(n, "frs-author-name"), "", "", _count(field.get("reply_num")))
 
 
-def _detail(top: Node, html: str) -> Iterator[tuple]:
+def _detail(top: _Page, html: str) -> Iterator[tuple]:
     """The thread of a page of posts, from its first post and the totals beside it."""
     posts, totals = top.find("l_post"), [x for n in top.find("l_reply_num") for x in n.find("red")]
-    only = next((n.attrs.get("href", "") for n in top.walk() if n.attrs.get("id") == "lzonly_cntn"), "")
+    if not posts:
+        return
+    only = next((n.attrs.get("href", "") for n in top.top.walk() if n.attrs.get("id") == "lzonly_cntn"), "")
     native = only.split("?")[0].rsplit("/", 1)[-1] or (_first(_THREAD_ID, html, 1) if totals else "")
-    if not native or not posts:
+    if not native:
         return
-    forum, title = _first_text(top, "card_title_fname").removesuffix("吧"), next((n.text() for n in top.walk() if n.tag == "title"), "")
+    forum, title = _first_text(top, "card_title_fname").removesuffix("吧"), next((n.text() for n in top.top.walk() if n.tag == "title"), "")
     title = _SUFFIX.sub("", title).replace(f"【{forum}吧】", "").replace(f"【{forum}】", "").strip()
-    told = next((n.attrs.get("content", "") for n in top.walk() if n.tag == "meta" and n.attrs.get("name") == "description"), "")
+    told = next((n.attrs.get("content", "") for n in top.top.walk() if n.tag == "meta" and n.attrs.get("name") == "description"), "")
     author = posts[0].field().get("author") or {}
     name = _first_text(posts[0], "p_author_name") or str(author.get("user_nickname") or author.get("user_name") or "")
     replies, pages = [_count(x.text()) for x in totals[:2]] + [0] * (2 - len(totals[:2]))
     yield _record("detail", native, None, title, told.strip(), name, _link(posts[0], "p_author_face", "p_author_name"), _first(_TIME, posts[0].text()), _place(posts[0]), replies, pages)
 
 
-def _posts(top: Node) -> Iterator[tuple]:
+def _posts(top: _Page) -> Iterator[tuple]:
     for n in top.find("l_post"):
         field = n.field()
         content, author = field.get("content") or {}, field.get("author") or {}
@@ -184,7 +201,7 @@ def _posts(top: Node) -> Iterator[tuple]:
             yield _record("comment", post, None, None, _first_text(n, "d_post_content", "j_d_post_content"), name, _link(n, "p_author_name"), _first(_TIME, n.text()), _place(n), _count(content.get("comment_num")))
 
 
-def _replies(top: Node, parent: str | None) -> Iterator[tuple]:
+def _replies(top: _Page, parent: str | None) -> Iterator[tuple]:
     for n in top.find("lzl_single_post"):
         field = n.field()
         if native := str(field.get("spid") or ""):
@@ -195,7 +212,7 @@ def _replies(top: Node, parent: str | None) -> Iterator[tuple]:
 def records(html: str | None, parent: str | None = None) -> list[tuple]:
     """(kind, native_id, parent_id, title, content, user_nickname, user_link, publish_time, ip_location, reply_count, page_count) of one page."""
     html = _MARK.sub("", html or "")
-    top = parse(html)
+    top = _Page(parse(html))
     out = [*_cards(top), *_listed(top), *_detail(top, html), *_posts(top), *_replies(top, parent)]
     for n in top.find("userinfo_userdata", "userinfo_wrap"):
         if name := _first_text(n, "userinfo_username"):
