@@ -384,6 +384,52 @@ def r2(spark, sf_dir):
     return N.authors(raw, N.BILIBILI).select("native_author_id", "nickname", "profile_url", "verified", "follower_count")
 
 
+_FIVE = ("xhs", "kuaishou", "weibo", "tieba", "zhihu")
+
+
+def _landed_five(spark, sf_dir, kind):
+    """Rows of ``kind`` of five platforms from the documents, by the remainder of doc_id, under the names of each platform's landing table."""
+    d = load(spark, sf_dir, "documents").withColumn("at", F.col("doc_id") % 5)
+    key, when = F.col("doc_id").cast("string"), F.col("doc_id") % 28 + 1
+    native = dict(zip(_FIVE, ("note_id", "video_id", "note_id", "note_id", "content_id"), strict=True))
+    for k, name in enumerate(_FIVE):
+        x = d.where(F.col("at") == k)
+        epoch = (1_700_000_000 + F.col("doc_id") % 1_000_000).cast("string")
+        time = F.concat(F.lit("2024-8-"), when.cast("string"), F.lit(" 9:05")) if name == "tieba" else epoch
+        fields = {"user_id": F.concat(F.lit("u"), key), "user_link": F.concat(F.lit("https://example.com/"), key), "source_keyword": F.lit("k"), native[name]: key}
+        if kind == "content":
+            fields |= {{"xhs": "time", "tieba": "publish_time", "zhihu": "created_time"}.get(name, "create_time"): time, {"weibo": "content", "zhihu": "content_text"}.get(name, "desc"): F.col("lang"), "title": F.col("source")}
+            fields |= {{"tieba": "total_replay_num", "zhihu": "comment_count", "xhs": "comment_count", "weibo": "comments_count"}.get(name, "none"): F.col("n_chars").cast("string"), "content_type": F.lit("answer")}
+        else:
+            fields |= {"comment_id": F.concat(F.lit("c"), key), "content": F.col("lang"), {"tieba": "publish_time", "zhihu": "publish_time"}.get(name, "create_time"): time, "sub_comment_count": F.col("n_chars").cast("string"), "parent_comment_id": F.when(F.col("doc_id") % 2 == 0, "0").otherwise(F.concat(F.lit("p"), key))}
+        yield name, x.select(*[c.alias(n) for n, c in fields.items()])
+
+
+_FIVE_SQL = f"""WITH d AS (SELECT *, [{', '.join(f"'{x}'" for x in _FIVE)}][doc_id % 5 + 1] AS platform,
+CASE WHEN doc_id % 5 = 3 THEN TIMESTAMP '2024-08-01 09:05:00' + to_days(CAST(doc_id % 28 AS INT)) ELSE make_timestamp((1700000000 + doc_id % 1000000) * 1000000) END AS published_at,
+CASE WHEN doc_id % 5 = 3 THEN 'https://example.com/' || doc_id ELSE 'u' || doc_id END AS native_author_id FROM documents)
+"""
+
+
+@query("r3_contents", _FIVE_SQL + """SELECT platform, CAST(doc_id AS VARCHAR) AS native_content_id, ['note', 'video', 'note', 'thread', 'answer'][doc_id % 5 + 1] AS content_type, CASE WHEN platform <> 'weibo' THEN source END AS title, lang AS body, native_author_id, published_at,
+CASE WHEN platform <> 'kuaishou' THEN n_chars END AS comment_count, 0 AS n_errors FROM d""")
+def r3_contents(spark, sf_dir):
+    out = None
+    for name, rows in _landed_five(spark, sf_dir, "content"):
+        x = N.contents(rows, N.platform(name), "run").select("platform", "native_content_id", "content_type", "title", "body", "native_author_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "comment_count", F.size("errors").alias("n_errors"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("r3_comments", _FIVE_SQL + """SELECT platform, 'c' || doc_id AS native_comment_id, CAST(doc_id AS VARCHAR) AS native_content_id, native_author_id, CASE WHEN doc_id % 2 = 1 THEN 'p' || doc_id END AS parent_comment_id, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END AS depth, lang AS text, published_at, n_chars AS reply_count, 0 AS n_errors FROM d""")
+def r3_comments(spark, sf_dir):
+    out = None
+    for name, rows in _landed_five(spark, sf_dir, "comment"):
+        x = N.comments(rows, N.platform(name), "run").select("platform", "native_comment_id", "native_content_id", "native_author_id", "parent_comment_id", "depth", "text", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "reply_count", F.size("errors").alias("n_errors"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 # A, B: files ---------------------------------------------------------------------------------------------------------------------
 
 
