@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from collections import Counter
 import zipfile
 
 import numpy as np
@@ -29,21 +30,23 @@ def test_requests_stay_in_scope(spark):
         T.high_risk_comments(spark.range(1), spark.range(1), {}, 21)
 
 
-def test_tree_hash_is_ordered_and_bounded(spark):
-    rows = [("a" if i % 3 else "b", i, f"v{i}") for i in range(100)]
-    df = spark.createDataFrame(rows, "g string, k long, v string")
-    got = {r.g: r.hash for r in O.tree_hash(df, "g", "k", "v", width=4, levels=2).collect()}
-    assert got == {r.g: r.hash for r in O.tree_hash(df.orderBy(F.rand(1)).repartition(3), "g", "k", "v", width=4, levels=2).collect()}
+def test_tree_hash_equals_a_plain_tree(spark):
+    rows = [("a" if i % 3 else "b", f"id-{i}", f"v{i}") for i in range(100)] + [("a", "id-1", "v1")] * 2
+    df = spark.createDataFrame(rows, "g string, k string, v string")
+    got = {r.g: r.hash for r in O.tree_hash(df, "g", "k", "v").collect()}
+    assert got == {r.g: r.hash for r in O.tree_hash(df.orderBy(F.rand(1)).repartition(3), "g", "k", "v").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
-    def digest(pairs, levels):
-        for _ in range(levels):
+    def digest(lines):
+        nodes = [(sha(x), n, f"{x}:{n}") for x, n in Counter(lines).items()]
+        for size in (6, 3, 0):
             up = {}
-            for k, v in sorted(pairs):
-                up.setdefault(k // 4, []).append(f"{k}:{v}")
-            pairs = [(k, hashlib.sha256(",".join(x).encode()).hexdigest()) for k, x in up.items()]
-        return hashlib.sha256(",".join(f"{k}:{v}" for k, v in sorted(pairs)).encode()).hexdigest()
+            for name, n, child in nodes:
+                up.setdefault(name[:size], []).append((n, child))
+            nodes = [(name, n := sum(n for n, _ in x), f"{name}:{n}:" + sha("\n".join(sorted(c for _, c in x)))) for name, x in up.items()]
+        return nodes[0][2].split(":")[-1]
 
-    assert got == {g: digest([(k, v) for h, k, v in rows if h == g], 2) for g in "ab"}
+    assert got == {g: digest([f"{k}:{v}" for h, k, v in rows if h == g]) for g in "ab"}
 
 
 def test_json_array_in_parts(spark):
