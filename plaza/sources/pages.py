@@ -1,6 +1,6 @@
 """Forum pages (HTML) to notes, comments, sub-comments and creators: one page at a time in a ``mapInPandas`` job.
 
-The extractor reads elements by class tokens and ``data-field`` attributes that hold JSON. Pages keep sections in HTML comments until a script
+The extractor reads elements by class tokens and ``data-field`` attributes that hold JSON; tokens, ids and field names are fixed values of the pages. Pages keep sections in HTML comments until a script
 shows them; these are read like the rest. Times stay as they are written (``2024-8-6 22:11``), links become absolute. A page of replies does not say
 whose replies they are: the caller knows, and gives ``parent_id``.
 """
