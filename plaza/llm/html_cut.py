@@ -14,7 +14,7 @@ shortened. Without known texts the prior is the classifier.
 Cases: a null or empty page has an empty text; broken markup is read like browsers do in the main (unclosed paragraphs and
 items end at the next, stray end tags are ignored, an unclosed comment or script runs to the end); repeated rows are
 extracted alike; a null page_id is kept and not learned from; an empty table gives an empty result; other columns are ignored. Very long
-pages are handled by one row, in time linear in their tags.
+pages are handled by one row, and parsed in time linear in their tags (the flow over the few blocks that are not fixed first has no such bound).
 """
 
 from __future__ import annotations
