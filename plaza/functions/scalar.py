@@ -212,19 +212,25 @@ def informative_count(normalized: Column) -> Column:
     return F.regexp_count(_without_bracket_emoji(normalized), F.lit(INFORMATIVE))
 
 
-def exclusion_reason(normalized: Column, least: int = 2) -> Column:
-    """Why a normalized text carries too little meaning, or null if it is eligible. The first of the rules that holds counts."""
+# The rules of ``exclusion_reason`` in their order, and those of them that look at the amount of information alone.
+EXCLUSION_RULES = ("empty", "emoji_only", "numeric_only", "too_short", "generic_reply", "repetitive")
+INFORMATION_RULES = EXCLUSION_RULES[:4]
+
+
+def exclusion_reason(normalized: Column, least: int = 2, rules: Sequence[str] = EXCLUSION_RULES) -> Column:
+    """Why a normalized text carries too little meaning, or null if it is eligible. The first of ``rules`` that holds counts."""
     rest = _without_bracket_emoji(normalized)
     n = informative_count(normalized)
     letters = F.regexp_extract_all(F.lower(rest), F.lit(f"({INFORMATIVE})"))
-    return (
-        F.when(F.coalesce(normalized, F.lit("")) == "", "empty")
-        .when(n == 0, "emoji_only")
-        .when(rest.rlike(NUMERIC_ONLY), "numeric_only")
-        .when(n < least, "too_short")
-        .when(F.lower(rest).isin(*GENERIC_REPLIES), "generic_reply")
-        .when((n <= 8) & (F.size(F.array_distinct(letters)) == 1), "repetitive")
-    )
+    holds = {
+        "empty": F.coalesce(normalized, F.lit("")) == "",
+        "emoji_only": n == 0,
+        "numeric_only": rest.rlike(NUMERIC_ONLY),
+        "too_short": n < least,
+        "generic_reply": F.lower(rest).isin(*GENERIC_REPLIES),
+        "repetitive": (n <= 8) & (F.size(F.array_distinct(letters)) == 1),
+    }
+    return F.coalesce(*[F.when(holds[r], r) for r in EXCLUSION_RULES if r in rules])
 
 
 def information_score(normalized: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,10 +16,10 @@ def hash_rank(seed: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
-def strata(comments: DataFrame, seed: str) -> DataFrame:
-    """Adds normalized text, eligibility, length bucket, stratum and sample rank to (comment_id, text, depth)."""
+def strata(comments: DataFrame, seed: str, rules: Sequence[str] = S.EXCLUSION_RULES) -> DataFrame:
+    """Adds normalized text, eligibility by ``rules``, length bucket, stratum and sample rank to (comment_id, text, depth)."""
     x = comments.withColumn("normalized", S.normalize_text("text"))
-    x = x.withColumn("exclusion_reason", S.exclusion_reason(F.col("normalized"))).withColumn("quality_eligible", F.col("exclusion_reason").isNull())
+    x = x.withColumn("exclusion_reason", S.exclusion_reason(F.col("normalized"), rules=rules)).withColumn("quality_eligible", F.col("exclusion_reason").isNull())
     x = x.withColumn("length_bucket", S.length_bucket(S.informative_count(F.coalesce("normalized", F.lit("")))))
     family = F.when(F.col("quality_eligible"), "eligible").otherwise(F.concat(F.lit("excluded:"), F.col("exclusion_reason")))
     x = x.withColumn("stratum", F.concat_ws("|", family, "length_bucket", F.when(F.col("depth") == 0, "root").otherwise("reply")))
@@ -57,14 +59,14 @@ def round_robin(df: DataFrame, stratum: str, rank: Column, tie: str) -> DataFram
     return placed.withColumn("position", (earlier + same).cast("int")).drop("_all", "_i", "_s")
 
 
-def stratified_sample(comments: DataFrame, limit: int, seed: str) -> DataFrame:
+def stratified_sample(comments: DataFrame, limit: int, seed: str, rules: Sequence[str] = S.EXCLUSION_RULES) -> DataFrame:
     """At most ``limit`` (1 to 100) rows: pairs of equal texts, then eligible rows by turns of strata up to 80 %, then excluded, then the rest.
 
     Each stage keeps at most ``limit`` rows of a stratum before it orders them all, so only heads of groups reach one task.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1 to 100")
-    x = strata(comments, seed)
+    x = strata(comments, seed, rules)
     keep = ["comment_id", "quality_eligible", "stratum", "sample_rank", "text_hash"]
     x = x.select(*keep)
     budget = min(10, (limit // 10) * 2)
