@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plaza.functions import scalar as S
+from plaza.functions.batches import slices
 from plaza.operators.sampling import numbered
 
 LABELS = "sentiment string, sentiment_score double, emotion string, stance string, risk_level string, topics array<string>, risk_reasons array<string>, keywords array<string>, summary string"
@@ -59,16 +60,11 @@ def rule_labels(text: Column) -> Column:
             )
         )
 
-    return _once(counts, label)
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often it is used (bound by a lambda)."""
-    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+    return S.once(counts, label)
 
 
 def apply_labeler(work: DataFrame, labeler: Labeler, text: str = "text", retries: int = 2) -> DataFrame:
-    """Adds ``output`` (JSON) and ``failure``: ``labeler`` gets the texts of an Arrow batch; a batch that fails is halved down to the bad row."""
+    """Adds ``output`` (JSON) and ``failure``: ``labeler`` gets texts of an Arrow batch, some hundred at a time; of these, if they fail, the halves down to the bad row."""
 
     def label(texts: list[str]) -> list[tuple[str | None, str | None]]:
         for attempt in range(retries + 1):
@@ -82,12 +78,14 @@ def apply_labeler(work: DataFrame, labeler: Labeler, text: str = "text", retries
                     return label(texts[:half]) + label(texts[half:])
         return []
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            got = label(pdf[text].tolist()) if len(pdf) else []
-            yield pdf.assign(output=[x for x, _ in got], failure=[y for _, y in got])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                got = label(part.column(text).to_pylist())
+                made = [pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "output", "failure"])
 
-    return work.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in work.dtypes) + ", output string, failure string")
+    return work.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in work.dtypes) + ", output string, failure string")
 
 
 def validate_labels(df: DataFrame, output: str = "output") -> DataFrame:
@@ -112,7 +110,7 @@ def validate_labels(df: DataFrame, output: str = "output") -> DataFrame:
         return F.struct(error.alias("error"), x.alias("x"))
 
     parsed = F.struct(F.from_json(output, LABELS).alias("x"), F.array_sort(F.json_object_keys(output)).alias("keys"))
-    checked = df.withColumn("_checked", _once(parsed, check))
+    checked = df.withColumn("_checked", S.once(parsed, check))
     out = checked.withColumn("label_error", F.col("_checked.error"))
     return out.withColumn("label", F.when(F.col("_checked.error").isNull(), F.col("_checked.x"))).drop("_checked")
 
