@@ -239,7 +239,7 @@ def exclusion_reason(normalized: Column, least: int = 2, rules: Sequence[str] =
         rest, n = v["rest"], F.regexp_count(v["few"], F.lit(INFORMATIVE))
         letters = F.regexp_extract_all(F.lower(rest), F.lit(f"({INFORMATIVE})"))
         holds = {
-            "empty": F.coalesce(rest, F.lit("")) == "",
+            "empty": v["empty"],
             "emoji_only": n == 0,
             "numeric_only": rest.rlike(NUMERIC_ONLY),
             "too_short": n < least,
@@ -248,7 +248,7 @@ def exclusion_reason(normalized: Column, least: int = 2, rules: Sequence[str] =
         }
         return F.coalesce(*[F.when(holds[r], r) for r in EXCLUSION_RULES if r in rules])
 
-    return once(F.struct(_without_bracket_emoji(normalized).alias("rest"), few.alias("few")), first)
+    return once(F.struct(_without_bracket_emoji(normalized).alias("rest"), few.alias("few"), (F.coalesce(normalized, F.lit("")) == "").alias("empty")), first)
 
 
 def information_score(normalized: Column) -> Column:
