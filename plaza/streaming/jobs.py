@@ -198,7 +198,7 @@ def trailing_rate(rows: DataFrame, key: list[str], time: str, seconds: int = 60,
 def label_stream(stream: DataFrame, analyses_path: str, schema: T.StructType, model: str, checkpoint: str, label: Callable[[DataFrame], DataFrame], buckets: int = 64) -> StreamingQuery:
     """Labels the new comments of each micro-batch that have no analysis yet and adds rows; ``label`` adds ``output`` to texts.
 
-    The table of analyses is partitioned by a hash of the text's hash into ``buckets``, and a batch reads those that it touches.
+    The table of analyses is partitioned by a hash of the text's hash into ``buckets``, and a batch reads those that it touches and writes a file to each.
     """
     placed = F.pmod(F.xxhash64("input_hash"), F.lit(buckets)).cast("int")
 
@@ -212,6 +212,7 @@ def label_stream(stream: DataFrame, analyses_path: str, schema: T.StructType, mo
         old = known.withColumnsRenamed({c: f"_{c}" for c in ("comment_id", "input_hash", "id")})
         reused = copied.join(old, F.col("source_id") == F.col("_id")).drop("_comment_id", "_input_hash", "_id", "source_id", "text")
         reused = reused.withColumn("id", L.analysis_id(model)).select(*[F.col(f.name).cast(f.dataType) for f in schema])
-        rest.unionByName(reused).join(known.select("comment_id", "input_hash"), ["comment_id", "input_hash"], "left_anti").select(*schema.names, placed.alias("bucket")).write.mode("append").partitionBy("bucket").parquet(analyses_path)
+        new = rest.unionByName(reused).join(known.select("comment_id", "input_hash"), ["comment_id", "input_hash"], "left_anti").select(*schema.names, placed.alias("bucket"))
+        new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(analyses_path)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
